@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ def _settled(x: Column) -> Column:
 
 def fixed(c: Column | str, digits: int = 2, signed: bool = False, grouped: bool = False) -> Column:
     flags = ("+" if signed else "") + ("," if grouped else "")
-    return F.format_string(f"%{flags}.{digits}f", _settled(as_column(c).cast("double")))
+    x = as_column(c).cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%{flags}.{digits}f", _settled(x)))
 
 
 def percent(c: Column | str, digits: int = 0, signed: bool = False) -> Column:
@@ -60,3 +62,15 @@ def map_labels(c: Column | str, labels: Mapping[str, str], default: Column | Non
     for code, label in labels.items():
         chain = F.when(key == code, label) if chain is None else chain.when(key == code, label)
     return chain.otherwise(default if default is not None else F.lit(None).cast("string"))
+
+
+def render(template: str, **values: Column | str | int) -> Column:
+    """Fill ``{name}`` placeholders with columns or plain values; NULL if a column is."""
+    parts = []
+    for literal, field, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            value = values[field]
+            parts.append(value.cast("string") if isinstance(value, Column) else F.lit(str(value)))
+    return F.concat(*parts)

@@ -80,12 +80,12 @@ def src_json_files(s: Stages) -> DataFrame:
 
 
 @query("sink_csv_roundtrip", """
-SELECT region, tier, count(*) AS n, round(sum(outcome), 4) AS outcome FROM panel GROUP BY region, tier""")
+SELECT region, tier, count(*) AS n, round(sum(outcome), 6) AS outcome FROM panel GROUP BY region, tier""")
 def sink_csv_roundtrip(s: Stages) -> DataFrame:
     path = scratch_path(s.spark, "sink")
     files.write_csv(s.panel.select("region", "tier", "outcome"), path)
     back = files.read_csv(s.spark, path, "region string, tier string, outcome double")
-    return back.groupBy("region", "tier").agg(F.count("*").alias("n"), F.round(F.sum("outcome"), 4).alias("outcome"))
+    return back.groupBy("region", "tier").agg(F.count("*").alias("n"), F.round(F.sum("outcome"), 6).alias("outcome"))
 
 
 @query("sink_csv_text", """
