@@ -122,12 +122,11 @@ def correlation_by_group(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).filter(F.col("n") >= min_rows)
 
 
-def spearman(df: DataFrame, x: str, y: str, hot_min_rows: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of complete pairs, ties at their average rank."""
-    options = {} if hot_min_rows is None else {"hot_min_rows": hot_min_rows}
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = attach_order(pairs, order_by_value(pairs, x), {"_rx": average_rank()}, **options)
-    ranked = attach_order(ranked, order_by_value(pairs, y), {"_ry": average_rank()}, **options)
+    ranked = attach_order(pairs, order_by_value(pairs, x), {"_rx": average_rank()})
+    ranked = attach_order(ranked, order_by_value(pairs, y), {"_ry": average_rank()})
     return ranked.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 

@@ -10,18 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from allocora.runtime import shuffle_width
-
-# A value holding more than 1/HOT_PARTS of all rows is joined back by broadcast;
-# there can be at most HOT_PARTS of them.
-HOT_PARTS = 64
-HOT_MIN_ROWS = 10_000
+from allocora.runtime import shuffle_width, small_table
 
+MAX_RANGES = 2000
 
 @dataclass(frozen=True)
 class Ordered:
@@ -29,13 +26,14 @@ class Ordered:
 
     ``table`` has the group columns, the value, ``ties`` (rows with the value),
     ``before`` (rows of the group below it), ``total`` (rows of the group), and for
-    each extra sum ``s``: ``s`` itself, ``s_before`` and ``s_total``.
+    each extra sum ``s``: ``s`` itself, ``s_before`` and ``s_total``. ``hot`` lists
+    the values that fill more than about two ranges.
     """
 
     table: DataFrame
     value: str
     by: tuple[str, ...]
-    rows: int
+    hot: tuple[float, ...]
 
 
 def order_by_value(
@@ -48,20 +46,10 @@ def order_by_value(
     """Count the non-null values per group and accumulate the counts and sums in value order."""
     sums = dict(sums or {})
     by = tuple(by)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("ties"), *[expr.alias(s) for s, expr in sums.items()])
-    )
-    parts = ranges or min(shuffle_width(df.sparkSession), 2000)
-    probe = counted.agg(
-        F.percentile_approx(
-            F.col(value).cast("double"), [i / parts for i in range(1, parts)] or [0.5], 20 * max(parts, 500)
-        ).alias("cuts"),
-        F.sum("ties").alias("rows"),
-    ).first()
-    cuts = sorted(set(probe["cuts"] or [0.0]))
-    splits = [float("-inf"), *cuts, float("inf")]
+    rows = df.filter(F.col(value).isNotNull())
+    counted = rows.groupBy(*by, value).agg(F.count("*").alias("ties"), *[expr.alias(s) for s, expr in sums.items()])
+    cuts = _cut_points(rows, value, ranges or min(shuffle_width(df.sparkSession), MAX_RANGES))
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
         counted.withColumn("_v", F.col(value).cast("double"))
     ).drop("_v")
@@ -91,7 +79,19 @@ def order_by_value(
         *[(F.col(f"_run_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums],
         *[F.col(f"_all_{s}").alias(f"{s}_total") for s in sums],
     )
-    return Ordered(table, value, by, int(probe["rows"] or 0))
+    hot = tuple(sorted({a for a, b in pairwise(cuts) if a == b}))
+    return Ordered(table, value, by, hot)
+
+
+def _cut_points(rows: DataFrame, value: str, ranges: int) -> list[float]:
+    """Approximate equal-count cut points of the rows, from mergeable sketches.
+
+    A value found at two neighbouring cut points holds more rows than a range
+    should; counting has already made it one row.
+    """
+    probs = [i / ranges for i in range(1, ranges)] or [0.5]
+    sketch = F.percentile_approx(F.col(value).cast("double"), probs, max(10_000, 20 * ranges))
+    return sorted(rows.agg(sketch.alias("cuts")).first()["cuts"] or [0.0])
 
 
 def _join_ranges(running: DataFrame, offsets: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -111,26 +111,25 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
 
 
-def attach_order(df: DataFrame, ordered: Ordered, columns: Mapping[str, Column], hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def attach_order(df: DataFrame, ordered: Ordered, columns: Mapping[str, Column]) -> DataFrame:
     """Add figures of the ordered table to the rows they came from; NULL values get NULL.
 
     The join is by value: a value that is itself a sum of doubles must come from a
-    stage table, since a second summation may differ in its last digit.
-
-    Values that hold a large part of all rows are joined by broadcast (at most
-    ``HOT_PARTS`` values can be that frequent), all others by a shuffle join.
+    stage table, since a second summation may differ in its last digit. Rows with
+    a hot value are joined apart, to a table of the hot values alone, so that no
+    task receives all of them.
     """
     keys = [*ordered.by, ordered.value]
-    lookup = ordered.table.select(*keys, "ties", *[expr.alias(c) for c, expr in columns.items()])
-    limit = max(ordered.rows // HOT_PARTS, hot_min_rows)
-    if ordered.rows <= limit:
-        return _null_safe_left(df, lookup.drop("ties"), keys)
-    hot = lookup.filter(F.col("ties") > limit).drop("ties").withColumn("_hot", F.lit(True))
-    cold = lookup.filter(F.col("ties") <= limit).drop("ties")
-    marked = _null_safe_left(df, F.broadcast(hot), keys)
-    hot_rows = marked.filter(F.col("_hot")).drop("_hot")
-    cold_rows = marked.filter(F.col("_hot").isNull()).drop("_hot", *columns)
-    return hot_rows.unionByName(_null_safe_left(cold_rows, cold, keys))
+    lookup = ordered.table.select(*keys, *[expr.alias(c) for c, expr in columns.items()])
+    if not ordered.hot:
+        return _null_safe_left(df, lookup, keys)
+
+    def is_hot(frame: DataFrame) -> Column:
+        return F.coalesce(frame[ordered.value].cast("double").isin(*ordered.hot), F.lit(False))
+
+    hot = _null_safe_left(df.filter(is_hot(df)), small_table(lookup.filter(is_hot(lookup))), keys)
+    cold = _null_safe_left(df.filter(~is_hot(df)), lookup.filter(~is_hot(lookup)), keys)
+    return hot.unionByName(cold)
 
 
 def _null_safe_left(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:

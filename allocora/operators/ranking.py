@@ -12,20 +12,19 @@ from allocora.functions.text import percent
 from allocora.operators.ordered import attach_order, average_rank, min_rank, order_by_value, quantile_columns
 
 
-def tier_ranks(units: DataFrame, score: str, tier: str, hot_min_rows: int | None = None) -> DataFrame:
+def tier_ranks(units: DataFrame, score: str, tier: str) -> DataFrame:
     """Rank (lowest score first), size and average-rank share within the tier.
 
     Tiers are few and large, so ranks come from the ordered table and not from a
     window over the tier.
     """
     ordered = order_by_value(units.filter(F.col(tier).isNotNull()), score, [tier])
-    options = {} if hot_min_rows is None else {"hot_min_rows": hot_min_rows}
     columns = {
         "tier_rank": min_rank(),
         "tier_n": F.col("total").cast("int"),
         "tier_pct": F.round(average_rank() / F.col("total"), 3),
     }
-    return attach_order(units, ordered, columns, **options)
+    return attach_order(units, ordered, columns)
 
 
 def quartile_edges(units: DataFrame, score: str):
@@ -49,15 +48,13 @@ def quartile_profile(units: DataFrame, score: str, labels: Sequence[str] = fixed
     return units.withColumn(name, label)
 
 
-def relative_position(units: DataFrame, score: str, hot_min_rows: int | None = None) -> DataFrame:
+def relative_position(units: DataFrame, score: str) -> DataFrame:
     """Share of units strictly below and above, and the sentence made of it."""
-    options = {} if hot_min_rows is None else {"hot_min_rows": hot_min_rows}
     n = F.col("total")
     placed = attach_order(
         units,
         order_by_value(units, score),
         {"below": F.col("before") / n, "above": (n - F.col("before") - F.col("ties")) / n},
-        **options,
     )
     return placed.withColumn("position", position_text(F.col(score), F.col("below"), F.col("above")))
 

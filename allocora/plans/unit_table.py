@@ -65,12 +65,12 @@ def unit_scores(
 
 
 def unit_table(scored: DataFrame) -> DataFrame:
-    """Unit scores with peer ranks, thin flag and profile.
+    """Unit scores with peer ranks, thin flag and profile, of a table bucketed by unit.
 
     The averages are staged first: ranks are joined back by value, so the sums
     behind them must not be computed twice.
     """
-    base = stage(unit_scores(scored), "unit_scores", bucket_by="unit")
+    base = stage(unit_scores(scored), "unit_scores", bucket_by="unit", partitioned=True)
     units = tier_ranks(base, "score_mean", "tier")
     thin = units.withColumn("thin_data", F.col("n_periods") < fixed.THIN_PERIODS)
     return quartile_profile(thin, "score_mean")

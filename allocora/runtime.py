@@ -56,13 +56,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stage(df: DataFrame, label: str, bucket_by: str | None = None, sort_by: Sequence[str] = ()) -> DataFrame:
+def by_unit(df: DataFrame, unit: str) -> DataFrame:
+    """Hash-partition by a key that is not hot, as wide as the stage tables' buckets."""
+    return df.repartition(shuffle_width(df.sparkSession), unit)
+
+
+def stage(
+    df: DataFrame, label: str, bucket_by: str | None = None, sort_by: Sequence[str] = (), partitioned: bool = False
+) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read, keeps column pruning
     and filter pushdown for later readers, and with ``bucket_by`` saves them the
     shuffle on that key. The bucket key must not be hot: panels have one row per
-    unit and period, so a unit bucket is bounded by the number of periods.
+    unit and period, so a unit is bounded by the number of periods. Rows already
+    partitioned as by :func:`by_unit` (``partitioned``) are written as they lie.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -70,10 +78,9 @@ def stage(df: DataFrame, label: str, bucket_by: str | None = None, sort_by: Sequ
         df.write.parquet(path)
         return spark.read.parquet(path)
     table = f"allocora_{label}_{uuid.uuid4().hex}"
-    buckets = shuffle_width(spark)
     (
-        df.repartition(buckets, bucket_by)
-        .write.bucketBy(buckets, bucket_by)
+        (df if partitioned else by_unit(df, bucket_by))
+        .write.bucketBy(shuffle_width(spark), bucket_by)
         .sortBy(*(sort_by or (bucket_by,)))
         .option("path", path)
         .format("parquet")

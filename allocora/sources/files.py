@@ -47,6 +47,17 @@ def read_json_records(
     return usable_records(records, key, value)
 
 
+def read_json_pages(spark: SparkSession, path: str, record: str, key: str, value: str) -> DataFrame:
+    """Records of service pages, each one line holding ``[meta, [record, …]]``.
+
+    Pages are opened one by one in their tasks; a page is as large as the service
+    makes it, whatever the number of pages.
+    """
+    pages = spark.read.text(path).select(F.from_json("value", "array<string>").alias("_page"))
+    records = pages.select(F.inline(F.from_json(F.get("_page", F.lit(1)), f"array<struct<{record}>>")))
+    return usable_records(records, key, value)
+
+
 def records_from_text(df: DataFrame, text: str, record: str) -> DataFrame:
     """Parse a JSON text column into the fields of ``record``."""
     return df.withColumn("_r", F.from_json(F.col(text), record)).select("*", "_r.*").drop("_r", text)

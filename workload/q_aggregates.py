@@ -10,7 +10,7 @@ from allocora.operators import aggregates as agg
 from allocora.operators import concentration as conc
 from allocora.operators.trend import enough_history
 from allocora.plans.order_panel import PREDICTORS
-from workload.registry import Stages, query, r4up, r6, r9
+from workload.registry import Stages, query, r4up, r6, r9, rnd
 
 MEASURES = ["outcome", "need", "composite", "wealth", "gov"]
 LN = F.ln("outcome")
@@ -29,7 +29,7 @@ def agg_sum_by_key(s: Stages) -> DataFrame:
         F.year("o_orderdate").alias("period"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"),
     )
-    return agg.sum_by_key(rows, ["unit", "period"], "value").withColumn("value", F.round("value", 2))
+    return agg.sum_by_key(rows, ["unit", "period"], "value").withColumn("value", rnd("value", 2))
 
 
 @query("agg_unit_scores", """
@@ -39,14 +39,14 @@ FROM units""", uses="units")
 def agg_unit_scores(s: Stages) -> DataFrame:
     return s.units.select(
         "unit", "n_periods", *r6("score_mean", "score_std"), *r9("need_mean", "gov_mean"),
-        F.round("outcome_mean", 8).alias("outcome_mean"), *r4up("wealth_mean", "ratio_mean"),
+        rnd("outcome_mean", 8).alias("outcome_mean"), *r4up("wealth_mean", "ratio_mean"),
     )
 
 
 @query("agg_region_mean_of_means", """
 SELECT region, round(avg(score_mean), 6) AS mean_score, count(*) AS n FROM units GROUP BY region""", uses="units")
 def agg_region_mean_of_means(s: Stages) -> DataFrame:
-    return s.units.groupBy("region").agg(F.round(F.avg("score_mean"), 6).alias("mean_score"), F.count("*").alias("n"))
+    return s.units.groupBy("region").agg(rnd(F.avg("score_mean"), 6).alias("mean_score"), F.count("*").alias("n"))
 
 
 @query("agg_region_period_mean", """
@@ -63,7 +63,7 @@ UNION ALL SELECT 'region', region, round(avg(outcome), 4), round(avg(need), 6) F
 def agg_structural_means(s: Stages) -> DataFrame:
     def cut(column: str) -> DataFrame:
         return s.panel.filter(F.col(column).isNotNull()).groupBy(F.lit(column).alias("cut"), F.col(column).alias("level")).agg(
-            F.round(F.avg("outcome"), 4).alias("mean_outcome"), F.round(F.avg("need"), 6).alias("mean_need")
+            rnd(F.avg("outcome"), 4).alias("mean_outcome"), rnd(F.avg("need"), 6).alias("mean_need")
         )
 
     return cut("tier").unionByName(cut("region"))
@@ -93,15 +93,18 @@ def agg_crosstab(s: Stages) -> DataFrame:
 
 
 def _describe_sql(c: str) -> str:
-    return f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
- round(max({c}), 4) AS max, round(skewness({c}), 4) AS skew, round(quantile_cont({c}, 0.25), 4) AS q25, round(median({c}), 4) AS median,
- round(quantile_cont({c}, 0.75), 4) AS q75 FROM panel"""
+    figures = {
+        "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})", "skew": f"skewness({c})",
+        "q25": f"quantile_cont({c}, 0.25)", "median": f"median({c})", "q75": f"quantile_cont({c}, 0.75)",
+    }
+    rounded = ", ".join(f"round({e} + 1e-9, 4) AS {name}" for name, e in figures.items())
+    return f"SELECT '{c}' AS \"column\", count({c}) AS n, {rounded} FROM panel"
 
 
 @query("agg_describe", " UNION ALL ".join(_describe_sql(c) for c in MEASURES))
 def agg_describe(s: Stages) -> DataFrame:
-    rounded = [F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "skew", "q25", "median", "q75")]
-    return agg.describe(s.panel, MEASURES).select("column", "n", *rounded)
+    figures = ("mean", "std", "min", "max", "skew", "q25", "median", "q75")
+    return agg.describe(s.panel, MEASURES).select("column", "n", *r4up(*figures))
 
 
 @query("agg_skewness", """
@@ -110,7 +113,7 @@ def agg_skewness(s: Stages) -> DataFrame:
     from allocora.functions.numeric import skewness_corrected
 
     return _ln_panel(s).agg(
-        F.round(skewness_corrected("outcome"), 6).alias("skew_raw"), F.round(skewness_corrected("ln_value"), 6).alias("skew_ln")
+        rnd(skewness_corrected("outcome"), 6).alias("skew_raw"), rnd(skewness_corrected("ln_value"), 6).alias("skew_ln")
     )
 
 
@@ -227,7 +230,7 @@ SELECT unit, round(sum(outcome), 6) AS v, round(100 * sum(outcome) / (SELECT sum
 def agg_unit_shares(s: Stages) -> DataFrame:
     whole = s.panel.agg(F.sum("outcome")).scalar()
     totals = s.panel.groupBy("unit").agg(F.sum("outcome").alias("v"))
-    return totals.select("unit", F.round("v", 6).alias("v"), F.round(100 * F.col("v") / whole, 8).alias("pct"))
+    return totals.select("unit", rnd("v", 6).alias("v"), rnd(100 * F.col("v") / whole, 8).alias("pct"))
 
 
 GINI = """SELECT {by} count(*) AS n, round(2 * sum(rn * v) / (count(*) * sum(v)) - (count(*) + 1) * 1.0 / count(*), 6) AS gini
@@ -290,7 +293,7 @@ FINAL SELECT CAST(g.bin AS INTEGER) AS bin, round(lo + g.bin * ((hi - lo) / 60),
 FROM (SELECT unnest(range(60)) AS bin) g CROSS JOIN b LEFT JOIN c ON c.bin = g.bin""")
 def agg_histogram(s: Stages) -> DataFrame:
     bins = agg.histogram(s.panel, "outcome", 60)
-    return bins.select("bin", F.round("left_edge", 4).alias("left_edge"), F.round("right_edge", 4).alias("right_edge"), "n")
+    return bins.select("bin", rnd("left_edge", 4).alias("left_edge"), rnd("right_edge", 4).alias("right_edge"), "n")
 
 
 @query("agg_box_stats", """
@@ -319,5 +322,5 @@ def agg_flag_counts(s: Stages) -> DataFrame:
     for c in MEASURES))
 def quality_ranges(s: Stages) -> DataFrame:
     return agg.value_ranges(s.panel, MEASURES, "outcome").select(
-        "column", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), "not_positive"
+        "column", rnd("min", 4).alias("min"), rnd("max", 4).alias("max"), "not_positive"
     )

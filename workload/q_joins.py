@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from allocora.operators import joins, sets
 from allocora.operators.ranking import extremes
 from allocora.operators.trend import enough_history
-from workload.registry import Stages, query, r4up, r6, r9
+from workload.registry import Stages, query, r4up, r6, r9, rnd
 
 KEYS = ["unit", "period"]
 
@@ -176,7 +176,7 @@ UNION ALL SELECT unit, period, 'need', round(need, 9) FROM panel WHERE need IS N
 def set_union_sources(s: Stages) -> DataFrame:
     def measure(name: str) -> DataFrame:
         return s.panel.filter(F.col(name).isNotNull()).select(
-            *KEYS, F.lit(name).alias("measure"), F.round(name, 9).alias("v")
+            *KEYS, F.lit(name).alias("measure"), rnd(name, 9).alias("v")
         )
 
     return sets.stack([measure("outcome"), measure("need")])

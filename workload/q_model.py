@@ -36,13 +36,15 @@ def _two_rows(s: Stages) -> DataFrame:
 
 
 def _fitted(s: Stages) -> cluster.ClusteredFit:
-    return s._once("fitted", lambda: cluster.cluster_fit(s.model, s.solution))
+    rows = s.model
+    return cluster.cluster_fit(rows, gram.fit(rows, SPEC))
 
 
 @query("model_ols", f"""
 SELECT t.term, round(c.coef, 6) AS coef FROM (VALUES {TERM_VALUES}) t(i, term) JOIN (SELECT i, b[i] AS coef FROM fe_b, generate_series(1, 16) s(i)) c ON c.i = t.i""", uses="scored")
 def model_ols(s: Stages) -> DataFrame:
-    rows = [(t, s.solution.coefficients.get(t)) for t in s.solution.terms]
+    found = gram.fit(s.model, SPEC)
+    rows = [(t, found.coefficients.get(t)) for t in found.terms]
     return s.spark.createDataFrame(rows, "term string, coef double").select("term", *r6("coef"))
 
 
@@ -81,7 +83,8 @@ def model_cluster_se_fwl2(s: Stages) -> DataFrame:
 
 @query("model_scores", "SELECT unit, period, round(predicted, 6) AS predicted, round(score, 6) AS score FROM scored", uses="scored")
 def model_scores(s: Stages) -> DataFrame:
-    return score.add_scores(s.model, s.solution).select("unit", "period", *r6("predicted", "score"))
+    rows = s.model
+    return score.add_scores(rows, gram.fit(rows, SPEC)).select("unit", "period", *r6("predicted", "score"))
 
 
 @query("model_scores_fwl2", "WITH " + TWO_SQL + "\nFINAL SELECT unit, period, round(d2.y - b1*x1 - b2*x2, 6) AS score FROM d2, b2")
@@ -159,7 +162,7 @@ def _inter_spec() -> ModelSpec:
 
 def _inter_fit(s: Stages) -> cluster.ClusteredFit:
     rows = s.model.withColumn("post", (F.col("period") >= SPLIT_PERIOD).cast("int"))
-    return s._once("interaction", lambda: cluster.cluster_fit(rows, gram.fit(rows, _inter_spec())))
+    return cluster.cluster_fit(rows, gram.fit(rows, _inter_spec()))
 
 
 @query("model_interaction", INTER_SQL + f"""
@@ -257,12 +260,13 @@ NESTED_SQL = (
 
 @query("model_nested_specs", NESTED_SQL, uses="model")
 def model_nested_specs(s: Stages) -> DataFrame:
-    full = s.gram
+    rows = SPEC.complete(s.model)
+    full = gram.gram(rows, gram.make_design(rows, SPEC))
     dummies = [t for t in full.terms if "[" in t]
     models = {"base": BASE, "with size": SIZED, "full": (*SIZED, *dummies)}
     out = []
     for name, found in score.nested_models(full, models).items():
-        f = cluster.cluster_fit(s.model, found)
+        f = cluster.cluster_fit(rows, found)
         for term in found.kept:
             if "[" not in term:
                 t = f.term(term)

@@ -11,7 +11,7 @@ from allocora.operators.aggregates import extreme_row
 from allocora.operators.reshape import complete_cases, fill_within_unit
 from allocora.plans.order_panel import INPUTS
 from allocora.plans.reports import region_gap
-from workload.registry import Stages, query, r6
+from workload.registry import Stages, query, r6, rnd
 
 
 @query("flagship_lowest_units", """
@@ -61,8 +61,8 @@ def win_quartile_edges(s: Stages) -> DataFrame:
     from allocora.operators.ordered import order_by_value, quantile_columns
 
     return order_by_value(s.units, "score_mean").table.agg(
-        F.round(F.min("score_mean"), 6).alias("lowest"),
-        F.round(F.max("score_mean"), 6).alias("highest"),
+        rnd(F.min("score_mean"), 6).alias("lowest"),
+        rnd(F.max("score_mean"), 6).alias("highest"),
         *quantile_columns("score_mean", {"q1": 0.25, "q2": 0.5, "q3": 0.75}),
     ).select("lowest", "highest", *r6("q1", "q2", "q3"))
 

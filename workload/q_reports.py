@@ -10,7 +10,7 @@ from allocora.operators import quality
 from allocora.operators.joins import assert_unique_key
 from allocora.plans import reports
 from allocora.plans.order_panel import BASE_PERIOD, HORIZON, INPUTS
-from workload.registry import Stages, query, r6
+from workload.registry import Stages, query, r6, rnd
 from workload.sql import signed2, text2
 
 FIRST = 1995
@@ -87,7 +87,7 @@ FROM units u LEFT JOIN regional r ON r.region = u.region LEFT JOIN projection p
 def report_facts(s: Stages) -> DataFrame:
     return _facts(s).select(
         "unit", "profile", "tier_rank", "region_status", *r6("gap_base", "gap_horizon"),
-        F.round("fit_horizon", 4).alias("fit_horizon"), F.round("annual_pct", 4).alias("annual_pct"), "trend_significant",
+        rnd("fit_horizon", 4).alias("fit_horizon"), rnd("annual_pct", 4).alias("annual_pct"), "trend_significant",
     )
 
 

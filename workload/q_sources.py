@@ -9,7 +9,7 @@ from allocora.functions import fixed, labels, numeric, text
 from allocora.operators import reshape
 from allocora.runtime import scratch_path
 from allocora.sources import files
-from workload.registry import Stages, query, r6
+from workload.registry import Stages, query, r6, rnd
 
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 CSV_SCHEMA = "unit bigint, label string, period int, outcome double, tier string"
@@ -79,13 +79,29 @@ def src_json_files(s: Stages) -> DataFrame:
     return records.groupBy("code", "k").agg(F.count("*").alias("n"))
 
 
+@query("src_json_pages", """
+SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END AS v, event_type AS code FROM events
+WHERE event_type <> '' AND event_type <> 'error' AND event_id % 7 <> 0""", uses="")
+def src_json_pages(s: Stages) -> DataFrame:
+    path = scratch_path(s.spark, "pages")
+    code = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("code")
+    value = F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("v")
+    # Pages of at most 500 records.
+    pages = s.table("events").groupBy(F.floor(F.col("event_id") / 500).alias("page")).agg(
+        F.to_json(F.collect_list(F.struct(code, value))).alias("records")
+    )
+    line = F.concat(F.lit('[{"page": '), F.col("page").cast("string"), F.lit("}, "), F.col("records"), F.lit("]"))
+    pages.select(line).write.text(path)
+    return files.read_json_pages(s.spark, path, "code: string, v: bigint", "code", "v")
+
+
 @query("sink_csv_roundtrip", """
 SELECT region, tier, count(*) AS n, round(sum(outcome), 6) AS outcome FROM panel GROUP BY region, tier""")
 def sink_csv_roundtrip(s: Stages) -> DataFrame:
     path = scratch_path(s.spark, "sink")
     files.write_csv(s.panel.select("region", "tier", "outcome"), path)
     back = files.read_csv(s.spark, path, "region string, tier string, outcome double")
-    return back.groupBy("region", "tier").agg(F.count("*").alias("n"), F.round(F.sum("outcome"), 6).alias("outcome"))
+    return back.groupBy("region", "tier").agg(F.count("*").alias("n"), rnd(F.sum("outcome"), 6).alias("outcome"))
 
 
 @query("sink_csv_text", """
@@ -180,7 +196,7 @@ def filter_regex(s: Stages) -> DataFrame:
 @query("proj_ratio", """
 SELECT unit, period, round(CASE WHEN need <> 0 THEN outcome / need END + 1e-9, 4) AS ratio FROM panel""")
 def proj_ratio(s: Stages) -> DataFrame:
-    return s.panel.select("unit", "period", F.round(numeric.ratio("outcome", "need") + F.lit(1e-9), 4).alias("ratio"))
+    return s.panel.select("unit", "period", rnd(numeric.ratio("outcome", "need") + F.lit(1e-9), 4).alias("ratio"))
 
 
 @query("proj_log_transforms", """
@@ -191,10 +207,10 @@ def proj_log_transforms(s: Stages) -> DataFrame:
     return s.panel.select(
         "unit",
         "period",
-        F.round(F.ln("outcome"), 6).alias("ln_value"),
-        F.round(F.log1p("outcome"), 6).alias("log1p_value"),
-        F.round(F.exp("need"), 6).alias("exp_need"),
-        F.round(F.expm1("gov"), 6).alias("expm1_gov"),
+        rnd(F.ln("outcome"), 6).alias("ln_value"),
+        rnd(F.log1p("outcome"), 6).alias("log1p_value"),
+        rnd(F.exp("need"), 6).alias("exp_need"),
+        rnd(F.expm1("gov"), 6).alias("expm1_gov"),
     )
 
 
@@ -237,7 +253,7 @@ def fmt_ordinal_and_signed(s: Stages) -> DataFrame:
         text.fixed("score_mean", signed=True).alias("score_text"),
         text.percent("tier_pct").alias("pct_text"),
         text.fixed("wealth_mean", 1, grouped=True).alias("wealth_text"),
-        F.round("score_mean", 3).alias("score_rounded"),
+        rnd("score_mean", 3).alias("score_rounded"),
     )
 
 

@@ -10,7 +10,7 @@ from allocora.operators import rank_tests, trend
 from allocora.plans import reports
 from allocora.plans.order_panel import BASE_PERIOD, HORIZON
 from workload import sql
-from workload.registry import Stages, query, r6
+from workload.registry import Stages, query, r6, rnd
 
 P_SQL = sql.p_value("r2", "n")
 
@@ -40,7 +40,7 @@ def trend_projection(s: Stages) -> DataFrame:
     attributes = ["unit_name", "region", "profile", "tier"]
     rows = trend.unit_projection(s.panel, s.units, attributes, BASE_PERIOD, HORIZON)
     return rows.select(
-        "unit", "n_periods", "profile", "tier", "region", *[F.round(c, 4).alias(c) for c in PROJECTED], "trend_significant", "direction"
+        "unit", "n_periods", "profile", "tier", "region", *[rnd(c, 4).alias(c) for c in PROJECTED], "trend_significant", "direction"
     )
 
 
@@ -116,7 +116,7 @@ FINAL """
 SELECT trends, profile, round(median(annual_pct), 4) AS median, round(avg(annual_pct), 4) AS mean, count(*) AS n FROM g GROUP BY trends, profile""", uses="projection")
 def trend_growth_by_profile(s: Stages) -> DataFrame:
     growth = reports.growth_by_profile(s.projection)
-    return growth.select("trends", "profile", F.round("median", 4).alias("median"), F.round("mean", 4).alias("mean"), "n")
+    return growth.select("trends", "profile", rnd("median", 4).alias("median"), rnd("mean", 4).alias("mean"), "n")
 
 
 @query("trend_growth_verdict", GROWTH_SQL + """
@@ -124,7 +124,7 @@ SELECT round(lowest, 4) AS lowest, round(highest, 4) AS highest, CASE WHEN lowes
 FROM (SELECT median(annual_pct) FILTER (profile = 'Chronically Underfunded') AS lowest, median(annual_pct) FILTER (profile = 'Over-Resourced') AS highest FROM g WHERE trends = 'all') x""", uses="projection")
 def trend_growth_verdict(s: Stages) -> DataFrame:
     verdict = reports.growth_verdict(reports.growth_by_profile(s.projection))
-    return verdict.select(F.round("lowest", 4).alias("lowest"), F.round("highest", 4).alias("highest"), "verdict")
+    return verdict.select(rnd("lowest", 4).alias("lowest"), rnd("highest", 4).alias("highest"), "verdict")
 
 
 # Chi-square tail with 3 degrees of freedom: erfc(sqrt(h/2)) + sqrt(2h/pi) exp(-h/2), erfc by Simpson's rule.
@@ -169,8 +169,8 @@ def trend_scatter_fit(s: Stages) -> DataFrame:
     y, x = F.ln("outcome"), F.col("need")
     rows = s.panel.filter((F.col("outcome") > 0) & x.isNotNull())
     return rows.agg(
-        F.count("*").alias("n"), F.round(F.regr_slope(y, x), 6).alias("slope"),
-        F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"),
+        F.count("*").alias("n"), rnd(F.regr_slope(y, x), 6).alias("slope"),
+        rnd(F.regr_intercept(y, x), 6).alias("intercept"), rnd(F.regr_r2(y, x), 6).alias("r2"),
     )
 
 
@@ -179,4 +179,4 @@ SELECT q.unit, g.period, round(exp(q.intercept + q.slope * g.period) - 1, 4) AS
 FROM projection q CROSS JOIN (SELECT unnest(range(1995, 2009))::INTEGER AS period) g LEFT JOIN panel p ON p.unit = q.unit AND p.period = g.period""", uses="projection")
 def forecast_curve(s: Stages) -> DataFrame:
     curve = reports.forecast_curve(s.panel, s.projection, 1995, BASE_PERIOD, HORIZON)
-    return curve.select("unit", "period", F.round("curve", 4).alias("curve"), *r6("observed"), "part")
+    return curve.select("unit", "period", rnd("curve", 4).alias("curve"), *r6("observed"), "part")

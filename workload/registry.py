@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allocora.model.gram import Gram, Solution, gram, make_design, solve
+from allocora.functions import numeric
+from allocora.model.gram import Solution, fit
 from allocora.model.score import add_scores
 from allocora.operators.trend import region_gap_trend, unit_projection
 from allocora.plans import order_panel as op
@@ -53,6 +54,9 @@ class Stages:
             self._made[name] = make()
         return self._made[name]
 
+    def _bucketed(self, df: DataFrame, label: str) -> DataFrame:
+        return stage(df, label, bucket_by="unit", sort_by=("unit", "period"), partitioned=True)
+
     def table(self, name: str) -> DataFrame:
         return op.table(self.spark, self.sf_dir, name)
 
@@ -60,30 +64,22 @@ class Stages:
     def panel(self) -> DataFrame:
         return self._once(
             "panel",
-            lambda: stage(op.order_panel(self.spark, self.sf_dir), "panel", bucket_by="unit", sort_by=("unit", "period")),
+            lambda: self._bucketed(op.order_panel(self.spark, self.sf_dir), "panel"),
         )
 
     @property
     def model(self) -> DataFrame:
         return op.model_frame(self.panel)
 
-    @property
-    def gram(self) -> Gram:
-        def make():
-            rows = self.model
-            return gram(rows, make_design(rows, op.SPEC))
-
-        return self._once("gram", make)
-
     @property
     def solution(self) -> Solution:
-        return self._once("solution", lambda: solve(self.gram))
+        return self._once("solution", lambda: fit(self.model, op.SPEC))
 
     @property
     def scored(self) -> DataFrame:
         return self._once(
             "scored",
-            lambda: stage(add_scores(self.model, self.solution), "scored", bucket_by="unit", sort_by=("unit", "period")),
+            lambda: self._bucketed(add_scores(self.model, self.solution), "scored"),
         )
 
     @property
@@ -107,15 +103,20 @@ class Stages:
         return region_gap_trend(self.scored, op.BASE_PERIOD, op.HORIZON)
 
 
+def rnd(c, digits: int):
+    """Rounded double without negative zero."""
+    return numeric.rounded(c, digits)
+
+
 def r6(*names: str):
-    return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
+    return [rnd(n, 6).alias(n) for n in names]
 
 
 def r9(*names: str):
     """For averages of two-decimal figures, whose sixth decimal is often a half-way case."""
-    return [F.round(F.col(n).cast("double"), 9).alias(n) for n in names]
+    return [rnd(n, 9).alias(n) for n in names]
 
 
 def r4up(*names: str):
     """For large averages of two-decimal figures: four decimals, half-way cases always up."""
-    return [F.round(F.col(n) + F.lit(1e-9), 4).alias(n) for n in names]
+    return [rnd(F.col(n) + F.lit(1e-9), 4).alias(n) for n in names]

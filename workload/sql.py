@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 PANEL = """
 li AS (
   SELECT l_orderkey, avg(l_discount) AS need, avg(l_extendedprice) AS wealth, avg(l_tax) AS gov,
@@ -207,7 +209,8 @@ CHAIN = {
 def compose(uses: str, select: str) -> str:
     """Full statement; a ``select`` starting with WITH adds tables of its own."""
     parts = list(CHAIN[uses])
-    body = select.strip()
+    # Adding zero turns a rounded negative zero into zero.
+    body = re.sub(r"\bround\(", "0.0 + round(", select.strip())
     if body.upper().startswith("WITH "):
         own, body = split_with(body)
         parts.append(own)
