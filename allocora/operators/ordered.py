@@ -52,7 +52,8 @@ def order_by_value(
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
         counted.withColumn("_v", F.col(value).cast("double"))
-    ).drop("_v")
+    )
+    ranged = ranged.withColumn("_range", F.col("_range").cast("int")).drop("_v")
 
     counts = ["ties", *sums]
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_in_{c}") for c in counts])

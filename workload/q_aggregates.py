@@ -13,11 +13,10 @@ from allocora.plans.order_panel import PREDICTORS
 from workload.registry import Stages, query, r4up, r6, r9, rnd
 
 MEASURES = ["outcome", "need", "composite", "wealth", "gov"]
-LN = F.ln("outcome")
 
 
 def _ln_panel(s: Stages) -> DataFrame:
-    return s.panel.filter("outcome > 0").withColumn("ln_value", LN)
+    return s.panel.filter("outcome > 0").withColumn("ln_value", F.ln("outcome"))
 
 
 @query("agg_sum_by_key", """
