@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from allocora.functions.tails import chi2_tail, normal_two_sided
+from allocora.functions.tails import chi2_tail, normal_two_sided, rank_sum_two_sided
 from allocora.operators.ordered import average_rank, order_by_value
 
+EXACT_SIZE = 8
+
 
 @dataclass(frozen=True)
 class RankSums:
@@ -60,7 +62,11 @@ def kruskal(df: DataFrame, value: str, group: str, levels: Sequence[str]) -> dic
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> dict[str, float | int | None]:
-    """U of the first group and its two-sided p-value, normal with tie and continuity correction."""
+    """U of the first group and its two-sided p-value.
+
+    Exact for a group of at most ``EXACT_SIZE`` without ties, else normal with tie
+    and continuity correction.
+    """
     s = rank_sums(df, value, group, [first, second])
     n1, n2, n = s.n[first], s.n[second], s.total
     if not n1 or not n2:
@@ -69,5 +75,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str)
     variance = n1 * n2 / 12 * ((n + 1) - s.ties / (n * (n - 1)))
     if variance <= 0:
         return {"n1": n1, "n2": n2, "u": u, "p": None}
+    if min(n1, n2) <= EXACT_SIZE and not s.ties:
+        return {"n1": n1, "n2": n2, "u": u, "p": rank_sum_two_sided(u, min(n1, n2), max(n1, n2))}
     z = (max(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / variance**0.5
     return {"n1": n1, "n2": n2, "u": u, "p": min(1.0, normal_two_sided(max(z, 0.0)))}

@@ -71,6 +71,5 @@ def unit_table(scored: DataFrame) -> DataFrame:
     behind them must not be computed twice.
     """
     base = stage(unit_scores(scored), "unit_scores", bucket_by="unit", partitioned=True)
-    units = tier_ranks(base, "score_mean", "tier")
-    thin = units.withColumn("thin_data", F.col("n_periods") < fixed.THIN_PERIODS)
-    return quartile_profile(thin, "score_mean")
+    profiled = quartile_profile(base.withColumn("thin_data", F.col("n_periods") < fixed.THIN_PERIODS), "score_mean")
+    return tier_ranks(profiled, "score_mean", "tier")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SMALL_TABLE_ROWS = 10_000
 
 _local_scratch: dict[str, str] = {}
+_stage_tables: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -86,9 +87,16 @@ def stage(
         .format("parquet")
         .saveAsTable(table)
     )
+    _stage_tables.setdefault(spark.sparkContext.applicationId, []).append(table)
     return spark.table(table)
 
 
+def drop_stage_tables(spark: SparkSession) -> None:
+    """Take this application's bucketed stage tables out of the catalog; the files stay."""
+    for table in _stage_tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Broadcast ``df`` if it is proven to have at most ``max_rows`` rows.
 

@@ -11,7 +11,7 @@ from allocora.model.within import demean
 from allocora.operators import aggregates as agg
 from allocora.operators import joins, quality, reshape
 from allocora.plans import reports
-from allocora.runtime import collect_bounded, scratch_path, small_table, stage
+from allocora.runtime import collect_bounded, drop_stage_tables, scratch_path, small_table, stage
 from allocora.sources import files
 
 
@@ -62,6 +62,20 @@ def test_stage_is_bucketed_and_readable(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_stage_tables_leave_the_catalog(spark):
+    session = spark.newSession()
+    stage(session.range(5).toDF("unit"), "gone", bucket_by="unit")
+    names = {t.name for t in session.catalog.listTables()}
+    assert any(n.startswith("allocora_gone") for n in names)
+    from allocora import runtime
+
+    kept = runtime._stage_tables[spark.sparkContext.applicationId]
+    runtime._stage_tables[spark.sparkContext.applicationId] = [t for t in kept if t.startswith("allocora_gone")]
+    drop_stage_tables(session)
+    runtime._stage_tables[spark.sparkContext.applicationId] = [t for t in kept if not t.startswith("allocora_gone")]
+    assert not any(t.name.startswith("allocora_gone") for t in session.catalog.listTables())
+
+
 def test_small_table_broadcasts_only_when_proven(spark):
     big = spark.range(50).toDF("k")
     left = spark.range(100).toDF("k")

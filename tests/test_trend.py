@@ -120,6 +120,20 @@ def test_rank_tests_by_hand(spark):
     assert pair["u"] == u and 0 < pair["p"] < 0.1
 
 
+def test_exact_rank_sum_by_enumeration(spark):
+    from itertools import combinations
+
+    from allocora.functions.tails import rank_sum_two_sided
+
+    for m, n in ((1, 4), (3, 5), (4, 4)):
+        us = [sum(ranks) - m * (m + 1) / 2 for ranks in combinations(range(1, m + n + 1), m)]
+        for u in sorted(set(us)):
+            tail = sum(x >= max(u, m * n - u) for x in us) / len(us)
+            assert rank_sum_two_sided(u, m, n) == pytest.approx(min(1.0, 2 * tail))
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0), ("b", 5.0)], "g string, v double")
+    assert rank_tests.mann_whitney(df, "v", "g", "a", "b") == {"n1": 2, "n2": 3, "u": 0.0, "p": pytest.approx(0.2)}
+
+
 def test_rank_tests_without_variation(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "g string, v double")
     assert rank_tests.kruskal(df, "v", "g", ["a", "b"])["h"] is None

@@ -140,10 +140,21 @@ def model_group_cv_summary(s: Stages) -> DataFrame:
     return cv.cv_summary(folds).select(*r6("r2_mean", "r2_std", "mae_mean", "mae_std"))
 
 
-@query("cv_balanced_folds")
+# One unit at a time, largest first, to the lightest fold; the lowest fold among ties.
+BALANCED_SQL = """
+WITH queue AS (SELECT unit, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, unit) AS rn FROM model GROUP BY unit),
+walk(rn, unit, fold, loads) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), CAST([0, 0, 0, 0, 0] AS BIGINT[])
+  UNION ALL
+  SELECT q.rn, q.unit, CAST(list_position(w.loads, list_min(w.loads)) - 1 AS INTEGER),
+         list_transform(w.loads, lambda v, i: v + CASE WHEN i = list_position(w.loads, list_min(w.loads)) THEN q.c ELSE 0 END)
+  FROM walk w JOIN queue q ON q.rn = w.rn + 1)
+FINAL SELECT unit, fold FROM walk WHERE rn > 0"""
+
+
+@query("cv_balanced_folds", BALANCED_SQL, uses="model")
 def cv_balanced_folds(s: Stages) -> DataFrame:
-    rows = cv.balanced_fold(s.model.select("unit", "period"), "unit")
-    return rows.groupBy("fold").agg(F.countDistinct("unit").alias("n_units"), F.count("*").alias("n_rows"))
+    return cv.balanced_fold(s.model.select("unit", "period"), "unit").select("unit", "fold").distinct()
 
 
 INTER_LIST = sql.design_list((*sql.NUMERICS, f"need * (period >= {SPLIT_PERIOD})::INT"))
