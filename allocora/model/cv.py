@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from allocora.model.gram import grams_by, make_design, solve
 from allocora.model.spec import ModelSpec
-from allocora.operators.ordered import attach_order, order_by_value
+from allocora.operators.ordered import with_order
 from allocora.runtime import collect_bounded
 
 
@@ -57,7 +57,7 @@ def balanced_fold(df: DataFrame, unit: str, k: int = 5, fold: str = "fold") -> D
     sizes = df.groupBy(unit).agg(F.count("*").cast("int").alias("_size"))
     classes = collect_bounded(sizes.groupBy("_size").count(), 100_000, "unit sizes")
     sequences = fold_order([(r["_size"], r["count"]) for r in classes], k)
-    placed = attach_order(sizes, order_by_value(sizes, unit, ["_size"]), {"_at": F.col("before")})
+    placed = with_order(sizes, unit, {"_at": F.col("before")}, ["_size"])
     choice = None
     for size, sequence in sequences.items():
         start = max(len(sequence) - k, 0)

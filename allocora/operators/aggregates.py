@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allocora.functions.numeric import count_where, ratio, share, skewness_corrected
-from allocora.operators.ordered import attach_order, average_rank, exact_quantiles, order_by_value, quantile_columns
+from allocora.operators.ordered import average_rank, exact_quantiles, with_order
 from allocora.runtime import small_table
 
 
@@ -125,8 +125,7 @@ def correlation_by_group(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of complete pairs, ties at their average rank."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = attach_order(pairs, order_by_value(pairs, x), {"_rx": average_rank()})
-    ranked = attach_order(ranked, order_by_value(pairs, y), {"_ry": average_rank()})
+    ranked = with_order(with_order(pairs, x, {"_rx": average_rank()}, keep=[y]), y, {"_ry": average_rank()}, keep=["_rx"])
     return ranked.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
@@ -163,17 +162,18 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (extremes within 1.5 interquartile ranges) per group."""
-    ordered = order_by_value(df, value, by)
-    boxes = ordered.table.groupBy(*by).agg(
-        F.max("total").alias("n"), *quantile_columns(value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    )
+    rows = df.filter(F.col(value).isNotNull())
+    boxes = exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        ordered.table.select(*by, value)
-        .join(small_table(boxes), list(by))
-        .groupBy(*by, "n", "q1", "median", "q3")
-        .agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"))
+        rows.join(small_table(boxes), list(by))
+        .groupBy(*by, "q1", "median", "q3")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.when(inside, F.col(value))).alias("whisker_low"),
+            F.max(F.when(inside, F.col(value))).alias("whisker_high"),
+        )
     )
 
 

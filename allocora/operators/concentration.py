@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from allocora.functions import fixed
 from allocora.functions.numeric import ratio
-from allocora.operators.ordered import Ordered, order_by_value
+from allocora.operators.ordered import order_by_value
 
 POINTS_PER_BLOCK = 1000
 
 
-def _ordered_mass(df: DataFrame, value: str, by: Sequence[str] = ()) -> Ordered:
+def _ordered_mass(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     kept = df.filter(F.col(value) >= 0)
     return order_by_value(kept, value, by, sums={"mass": F.sum(value)})
 
@@ -26,7 +26,7 @@ def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     weighted = F.sum(F.col(value) * (c * b + c * (c + 1) / 2))
     n = F.max("total")
     mass = F.max("mass_total")
-    return ordered.table.groupBy(*by).agg(
+    return ordered.groupBy(*by).agg(
         n.alias("n"), (ratio(2 * weighted, n * mass) - (n + 1) / n).alias("gini")
     )
 
@@ -36,7 +36,7 @@ def lorenz(df: DataFrame, value: str) -> DataFrame:
 
     Tied units are first emitted as blocks, spread over the tasks, then as points.
     """
-    table = _ordered_mass(df, value).table
+    table = _ordered_mass(df, value)
     blocks = table.select(
         value, "ties", "before", "total", "mass_before", "mass_total",
         F.explode(F.sequence(F.lit(0), (F.col("ties") - 1).cast("long"), F.lit(POINTS_PER_BLOCK).cast("long"))).alias("start"),
@@ -57,7 +57,7 @@ def lorenz(df: DataFrame, value: str) -> DataFrame:
 
 def concentration_facts(df: DataFrame, value: str, top: int = fixed.CONCENTRATION_TOP) -> DataFrame:
     """One row: where the curve reaches half, and the shares of the bottom half and the top."""
-    table = _ordered_mass(df, value).table
+    table = _ordered_mass(df, value)
     v, b, c = F.col(value), F.col("before"), F.col("ties")
     n, mass = F.col("total"), F.col("mass_total")
 

@@ -1,13 +1,14 @@
 """Ranks, running sums and exact quantiles without a single-task sort.
 
-The values are first counted, so ties and hot values become one row each. The
-counted values are cut into ranges of similar size; running sums are taken within
-a range and the totals of the earlier ranges added. Every task holds one range,
-whatever the number or size of the groups.
+Approximate cut points split the values into ranges of similar row counts. Order
+within a range is settled by one task per group and range; the counts and sums of
+the earlier ranges, a small table, are added to it. A value that alone fills more
+than a range becomes a range of its own, whose rows need no sorting at all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import pairwise
@@ -19,21 +20,64 @@ from pyspark.sql import functions as F
 from allocora.runtime import shuffle_width, small_table
 
 MAX_RANGES = 2000
+# Groups times ranges; a row has a few whole numbers, so this stays near 10 MB.
+OFFSET_ROWS = 200_000
+
 
 @dataclass(frozen=True)
-class Ordered:
-    """Counted values with running figures.
+class Ranges:
+    """Boundaries of the ranges, and the numbers of those that hold one hot value."""
+
+    splits: tuple[float, ...]
+    hot: tuple[int, ...]
+
+    def mark(self, rows: DataFrame, value: str) -> DataFrame:
+        numbered = Bucketizer(splits=list(self.splits), inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
+            rows.withColumn("_v", F.col(value).cast("double"))
+        )
+        return numbered.withColumn("_range", F.col("_range").cast("int")).drop("_v")
+
+    def is_hot(self) -> Column:
+        return F.col("_range").isin(*self.hot) if self.hot else F.lit(False)
 
-    ``table`` has the group columns, the value, ``ties`` (rows with the value),
-    ``before`` (rows of the group below it), ``total`` (rows of the group), and for
-    each extra sum ``s``: ``s`` itself, ``s_before`` and ``s_total``. ``hot`` lists
-    the values that fill more than about two ranges.
+
+def find_ranges(rows: DataFrame, value: str, ranges: int | None = None) -> Ranges:
+    """Cut the non-null values by mergeable quantile sketches, in one pass without a shuffle of rows.
+
+    A value found at two neighbouring cut points holds more rows than a range should.
     """
+    n = ranges or min(shuffle_width(rows.sparkSession), MAX_RANGES)
+    probs = [i / n for i in range(1, n)] or [0.5]
+    sketch = F.percentile_approx(F.col(value).cast("double"), probs, max(10_000, 20 * n))
+    cuts = sorted(rows.agg(sketch.alias("cuts")).first()["cuts"] or [0.0])
+    repeated = {a for a, b in pairwise(cuts) if a == b}
+    splits = sorted({-math.inf, math.inf, *cuts, *(math.nextafter(v, math.inf) for v in repeated)})
+    return Ranges(tuple(splits), tuple(i for i, v in enumerate(splits) if v in repeated))
+
+
+def _offsets(ranged: DataFrame, by: Sequence[str], counts: Mapping[str, Column]) -> DataFrame:
+    """Per group and range: its own figures, those of the earlier ranges and of the whole group."""
+    totals = ranged.groupBy(*by, "_range").agg(*[e.alias(f"_in_{c}") for c, e in counts.items()])
+    # One row per group and range: small, and never the rows themselves.
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    return totals.select(
+        *by,
+        "_range",
+        *[F.col(f"_in_{c}") for c in counts],
+        *[F.coalesce(F.sum(f"_in_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in counts],
+        *[F.sum(f"_in_{c}").over(whole).alias(f"_all_{c}") for c in counts],
+    )
+
 
-    table: DataFrame
-    value: str
-    by: tuple[str, ...]
-    hot: tuple[float, ...]
+def _join_ranges(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join on group and range; rows without a group belong together too."""
+    keys = [*by, "_range"]
+    renamed = offsets.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    condition = rows["_range"] == renamed["_k__range"]
+    for c in by:
+        condition = condition & rows[c].eqNullSafe(renamed[f"_k_{c}"])
+    return rows.join(renamed, condition, "inner").drop(*[f"_k_{c}" for c in keys])
 
 
 def order_by_value(
@@ -42,35 +86,22 @@ def order_by_value(
     by: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     ranges: int | None = None,
-) -> Ordered:
-    """Count the non-null values per group and accumulate the counts and sums in value order."""
+) -> DataFrame:
+    """Distinct non-null values per group in value order, with running figures.
+
+    Has the group columns, the value, ``ties`` (rows with the value), ``before``
+    (rows of the group below it), ``total`` (rows of the group), and for each extra
+    sum ``s``: ``s`` itself, ``s_before`` and ``s_total``.
+    """
     sums = dict(sums or {})
-    by = tuple(by)
     rows = df.filter(F.col(value).isNotNull())
-    counted = rows.groupBy(*by, value).agg(F.count("*").alias("ties"), *[expr.alias(s) for s, expr in sums.items()])
-    cuts = _cut_points(rows, value, ranges or min(shuffle_width(df.sparkSession), MAX_RANGES))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
-        counted.withColumn("_v", F.col(value).cast("double"))
-    )
-    ranged = ranged.withColumn("_range", F.col("_range").cast("int")).drop("_v")
-
+    counted = rows.groupBy(*by, value).agg(F.count("*").alias("ties"), *[e.alias(s) for s, e in sums.items()])
+    ranged = find_ranges(rows, value, ranges).mark(counted, value)
     counts = ["ties", *sums]
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_in_{c}") for c in counts])
-    # One row per group and range: small, and never the rows themselves.
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    offsets = totals.select(
-        *by,
-        "_range",
-        *[F.coalesce(F.sum(f"_in_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in counts],
-        *[F.sum(f"_in_{c}").over(whole).alias(f"_all_{c}") for c in counts],
-    )
+    offsets = _offsets(ranged, by, {c: F.sum(c) for c in counts})
     local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    running = ranged.select(
-        "*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_run_{c}") for c in counts]
-    )
-    table = _join_ranges(running, offsets, by).select(
+    running = ranged.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_run_{c}") for c in counts])
+    return _join_ranges(running, offsets, by).select(
         *by,
         value,
         "ties",
@@ -80,28 +111,6 @@ def order_by_value(
         *[(F.col(f"_run_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums],
         *[F.col(f"_all_{s}").alias(f"{s}_total") for s in sums],
     )
-    hot = tuple(sorted({a for a, b in pairwise(cuts) if a == b}))
-    return Ordered(table, value, by, hot)
-
-
-def _cut_points(rows: DataFrame, value: str, ranges: int) -> list[float]:
-    """Approximate equal-count cut points of the rows, from mergeable sketches.
-
-    A value found at two neighbouring cut points holds more rows than a range
-    should; counting has already made it one row.
-    """
-    probs = [i / ranges for i in range(1, ranges)] or [0.5]
-    sketch = F.percentile_approx(F.col(value).cast("double"), probs, max(10_000, 20 * ranges))
-    return sorted(rows.agg(sketch.alias("cuts")).first()["cuts"] or [0.0])
-
-
-def _join_ranges(running: DataFrame, offsets: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Join on group and range; rows without a group belong together too."""
-    renamed = offsets.select(*[F.col(c).alias(f"_k_{c}") if c in (*by, "_range") else F.col(c) for c in offsets.columns])
-    condition = running["_range"] == renamed["_k__range"]
-    for c in by:
-        condition = condition & running[c].eqNullSafe(renamed[f"_k_{c}"])
-    return running.join(renamed, condition, "inner")
 
 
 def min_rank() -> Column:
@@ -112,50 +121,90 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
 
 
-def attach_order(df: DataFrame, ordered: Ordered, columns: Mapping[str, Column]) -> DataFrame:
-    """Add figures of the ordered table to the rows they came from; NULL values get NULL.
-
-    The join is by value: a value that is itself a sum of doubles must come from a
-    stage table, since a second summation may differ in its last digit. Rows with
-    a hot value are joined apart, to a table of the hot values alone, so that no
-    task receives all of them.
-    """
-    keys = [*ordered.by, ordered.value]
-    lookup = ordered.table.select(*keys, *[expr.alias(c) for c, expr in columns.items()])
-    if not ordered.hot:
-        return _null_safe_left(df, lookup, keys)
-
-    def is_hot(frame: DataFrame) -> Column:
-        return F.coalesce(frame[ordered.value].cast("double").isin(*ordered.hot), F.lit(False))
+def with_order(
+    df: DataFrame,
+    value: str,
+    columns: Mapping[str, Column],
+    by: Sequence[str] = (),
+    ranges: int | None = None,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add figures made of ``before``, ``ties`` and ``total`` to every row; rows without a value get NULL.
 
-    hot = _null_safe_left(df.filter(is_hot(df)), small_table(lookup.filter(is_hot(lookup))), keys)
-    cold = _null_safe_left(df.filter(~is_hot(df)), lookup.filter(~is_hot(lookup)), keys)
-    return hot.unionByName(cold)
+    ``keep`` limits the columns that are carried along.
 
+    Rows are shuffled once, by group and range. Rows with a hot value are not
+    shuffled: their figures are those of their range.
+    """
+    keep = list(keep or df.columns)
+    rows = df.filter(F.col(value).isNotNull())
+    cut = find_ranges(rows, value, ranges)
+    ranged = cut.mark(rows, value)
+    offsets = small_table(_offsets(ranged, by, {"n": F.count("*")}), OFFSET_ROWS)
+    local = Window.partitionBy(*by, "_range").orderBy(value)
+    peers = Window.partitionBy(*by, "_range", value)
+    sorted_rows = ranged.filter(~cut.is_hot()).select(
+        "*", (F.rank().over(local) - 1).alias("_run"), F.count("*").over(peers).alias("ties")
+    )
+    parts = [
+        _join_ranges(sorted_rows, offsets, by).select(
+            *keep, (F.col("_off_n") + F.col("_run")).alias("before"), "ties", F.col("_all_n").alias("total")
+        )
+    ]
+    if cut.hot:
+        hot_rows = ranged.filter(cut.is_hot())
+        parts.append(
+            _join_ranges(hot_rows, offsets, by).select(
+                *keep, F.col("_off_n").alias("before"), F.col("_in_n").alias("ties"), F.col("_all_n").alias("total")
+            )
+        )
+    missing = F.lit(None).cast("bigint")
+    parts.append(
+        df.filter(F.col(value).isNull()).select(*keep, missing.alias("before"), missing.alias("ties"), missing.alias("total"))
+    )
+    ordered = parts[0]
+    for part in parts[1:]:
+        ordered = ordered.unionByName(part)
+    return ordered.select(*keep, *[e.alias(c) for c, e in columns.items()])
 
-def _null_safe_left(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = lookup.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in lookup.columns])
-    condition = F.lit(True)
-    for i, c in enumerate(keys):
-        test = df[c] == renamed[f"_k_{c}"] if c == keys[-1] else df[c].eqNullSafe(renamed[f"_k_{c}"])
-        condition = test if i == 0 else condition & test
-    return df.join(renamed, condition, "left").drop(*[f"_k_{c}" for c in keys])
 
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """Linearly interpolated exact quantiles per group.
 
-def quantile_columns(value: str, probs: Mapping[str, float]) -> list[Column]:
-    """Aggregates over an ordered table: linearly interpolated exact quantiles."""
-    columns = []
+    Counting the ranges tells which of them hold the wanted positions; only the
+    rows of those few ranges are shuffled and sorted.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value)
+    ranged = find_ranges(rows, value, ranges).mark(rows, value)
+    offsets = _offsets(ranged, by, {"n": F.count("*")})
+
+    def positions(p: float) -> tuple[Column, Column, Column]:
+        at = F.lit(float(p)) * (F.col("_all_n") - 1)
+        return at, F.floor(at), F.ceil(at)
+
+    def holds(start: Column, length: Column, position: Column) -> Column:
+        return (start <= position) & (position < start + length)
+
+    wanted = F.lit(False)
+    for p in probs.values():
+        for position in positions(p)[1:]:
+            wanted = wanted | holds(F.col("_off_n"), F.col("_in_n"), position)
+    counted = (
+        _join_ranges(ranged, small_table(offsets.filter(wanted)), by)
+        .groupBy(*by, "_range", value, "_off_n", "_all_n")
+        .agg(F.count("*").alias("ties"))
+    )
+    local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_off_n") + F.coalesce(F.sum("ties").over(local), F.lit(0))
+    placed = counted.withColumn("before", before)
+    figures = []
     for name, p in probs.items():
-        at = F.lit(p) * (F.col("total") - 1)
-        picks = []
-        for position in (F.floor(at), F.ceil(at)):
-            here = (F.col("before") <= position) & (position < F.col("before") + F.col("ties"))
-            picks.append(F.max(F.when(here, F.col(value).cast("double"))))
-        weight = F.lit(p) * (F.max("total") - 1) - F.floor(F.lit(p) * (F.max("total") - 1))
-        columns.append((picks[0] + weight * (picks[1] - picks[0])).alias(name))
-    return columns
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    ordered = order_by_value(df, value, by)
-    return ordered.table.groupBy(*by).agg(*quantile_columns(value, probs))
+        at, low, high = positions(p)
+        x = F.col(value).cast("double")
+        lower = F.max(F.when(holds(F.col("before"), F.col("ties"), low), x))
+        upper = F.max(F.when(holds(F.col("before"), F.col("ties"), high), x))
+        weight = F.max(at - low)
+        figures.append((lower + weight * (upper - lower)).alias(name))
+    return placed.groupBy(*by).agg(*figures)

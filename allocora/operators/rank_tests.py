@@ -37,7 +37,7 @@ def rank_sum_table(df: DataFrame, value: str, group: str, levels: Sequence[str])
     columns: list[Column] = [F.sum(t * t * t - t).alias("ties")]
     for g in members:
         columns += [F.sum(g).alias(f"n_{g}"), F.sum(F.col(g) * average_rank()).alias(f"r_{g}")]
-    return ordered.table.agg(*columns)
+    return ordered.agg(*columns)
 
 
 def rank_sums(df: DataFrame, value: str, group: str, levels: Sequence[str]) -> RankSums:

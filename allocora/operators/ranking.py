@@ -9,28 +9,27 @@ from pyspark.sql import functions as F
 
 from allocora.functions import fixed
 from allocora.functions.text import percent
-from allocora.operators.ordered import attach_order, average_rank, min_rank, order_by_value, quantile_columns
+from allocora.operators.ordered import average_rank, exact_quantiles, min_rank, with_order
 
 
 def tier_ranks(units: DataFrame, score: str, tier: str) -> DataFrame:
     """Rank (lowest score first), size and average-rank share within the tier.
 
-    Tiers are few and large, so ranks come from the ordered table and not from a
-    window over the tier.
+    Tiers are few and large, so ranks come from ranges of the score within the
+    tier and not from a window over it. Units without a tier have no rank.
     """
-    ordered = order_by_value(units.filter(F.col(tier).isNotNull()), score, [tier])
     columns = {
         "tier_rank": min_rank(),
         "tier_n": F.col("total").cast("int"),
         "tier_pct": F.round(average_rank() / F.col("total"), 3),
     }
-    return attach_order(units, ordered, columns)
+    ranked = with_order(units.filter(F.col(tier).isNotNull()), score, columns, [tier])
+    return ranked.unionByName(units.filter(F.col(tier).isNull()), allowMissingColumns=True)
 
 
 def quartile_edges(units: DataFrame, score: str):
     """The inner quartile edges as one row on the driver."""
-    ordered = order_by_value(units, score)
-    return ordered.table.agg(*quantile_columns(score, {"q1": 0.25, "q2": 0.5, "q3": 0.75})).first()
+    return exact_quantiles(units, score, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).first()
 
 
 def quartile_profile(units: DataFrame, score: str, labels: Sequence[str] = fixed.PROFILES, name: str = "profile") -> DataFrame:
@@ -51,11 +50,8 @@ def quartile_profile(units: DataFrame, score: str, labels: Sequence[str] = fixed
 def relative_position(units: DataFrame, score: str) -> DataFrame:
     """Share of units strictly below and above, and the sentence made of it."""
     n = F.col("total")
-    placed = attach_order(
-        units,
-        order_by_value(units, score),
-        {"below": F.col("before") / n, "above": (n - F.col("before") - F.col("ties")) / n},
-    )
+    shares = {"below": F.col("before") / n, "above": (n - F.col("before") - F.col("ties")) / n}
+    placed = with_order(units, score, shares)
     return placed.withColumn("position", position_text(F.col(score), F.col("below"), F.col("above")))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from allocora.operators.aggregates import box_stats, describe, histogram, spearman
 from allocora.operators.concentration import concentration_facts, gini, lorenz, top_k_shares
-from allocora.operators.ordered import attach_order, average_rank, exact_quantiles, min_rank, order_by_value
+from allocora.operators.ordered import average_rank, exact_quantiles, find_ranges, min_rank, order_by_value, with_order
 from allocora.operators.ranking import quartile_profile, relative_position, tier_ranks
 
 
@@ -28,9 +28,8 @@ def spark_frame(spark, pdf):
 def test_ranks_match_pandas_with_ties_and_hot_value(spark, hot_share):
     pdf = frame_of(hot_share=hot_share)
     df = spark_frame(spark, pdf)
-    ordered = order_by_value(df, "v", ["g"])
-    assert bool(ordered.hot) == bool(hot_share)
-    out = attach_order(df, ordered, {"lo": min_rank(), "avg": average_rank(), "n": F.col("total")}).toPandas().sort_values("id")
+    assert bool(find_ranges(df, "v").hot) == bool(hot_share)
+    out = with_order(df, "v", {"lo": min_rank(), "avg": average_rank(), "n": F.col("total")}, ["g"]).toPandas().sort_values("id")
     by_group = pdf.groupby("g")["v"]
     assert len(out) == len(pdf)
     np.testing.assert_allclose(out["lo"].to_numpy(float), by_group.rank(method="min").to_numpy())
@@ -39,7 +38,7 @@ def test_ranks_match_pandas_with_ties_and_hot_value(spark, hot_share):
 
 def test_rows_without_group_are_a_group(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, None, 1.0), (3, "x", 5.0)], "id int, g string, v double")
-    out = attach_order(df, order_by_value(df, "v", ["g"]), {"r": min_rank()})
+    out = with_order(df, "v", {"r": min_rank()}, ["g"])
     assert {r.id: r.r for r in out.collect()} == {1: 2, 2: 1, 3: 1}
 
 
@@ -53,6 +52,25 @@ def test_quantiles_match_numpy(spark):
             assert row[name] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 40])
+def test_any_number_of_ranges(spark, ranges):
+    pdf = frame_of()
+    df = spark_frame(spark, pdf)
+    out = with_order(df, "v", {"r": min_rank()}, ["g"], ranges=ranges, keep=["id"]).toPandas().sort_values("id")
+    np.testing.assert_allclose(out["r"].to_numpy(float), pdf.groupby("g")["v"].rank(method="min").to_numpy())
+    row = exact_quantiles(df, "v", {"q": 0.1, "m": 0.5}, ranges=ranges).first()
+    assert (row.q, row.m) == (pytest.approx(pdf.v.quantile(0.1)), pytest.approx(pdf.v.median()))
+    counted = order_by_value(df, "v", ranges=ranges).toPandas().sort_values("v")
+    assert list(counted["before"]) == list(counted["ties"].cumsum() - counted["ties"])
+
+
+def test_whole_numbers_and_infinities(spark):
+    df = spark.createDataFrame([(i, i // 3) for i in range(30)], "id int, v int")
+    assert {r.id: r.r for r in with_order(df, "v", {"r": min_rank()}).collect()} == {i: i // 3 * 3 + 1 for i in range(30)}
+    wide = spark.createDataFrame([(float("-inf"),), (0.0,), (-0.0,), (float("inf"),)], "v double")
+    assert sorted(r.r for r in with_order(wide, "v", {"r": min_rank()}).collect()) == [1, 2, 2, 4]
+
+
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert exact_quantiles(empty, "v", {"q": 0.5}, ["g"]).count() == 0

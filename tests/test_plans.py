@@ -54,7 +54,7 @@ def window_keys(text):
 
 
 def test_ranks_have_no_window_over_a_group(stages):
-    found = window_keys(plan(order_by_value(stages.units, "score_mean", ["tier"]).table))
+    found = window_keys(plan(order_by_value(stages.units, "score_mean", ["tier"])))
     assert found
     for summed, keys in found:
         # Counted rows per range, or the totals of the ranges.

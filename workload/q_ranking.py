@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from allocora.functions import fixed
 from allocora.operators import ranking
 from allocora.operators.aggregates import extreme_row
+from allocora.operators.ordered import exact_quantiles
 from allocora.operators.reshape import complete_cases, fill_within_unit
 from allocora.plans.order_panel import INPUTS
 from allocora.plans.reports import region_gap
@@ -58,13 +59,8 @@ def win_quartile_profile(s: Stages) -> DataFrame:
 SELECT round(min(score_mean), 6) AS lowest, round(max(score_mean), 6) AS highest, round(quantile_cont(score_mean, 0.25), 6) AS q1,
        round(quantile_cont(score_mean, 0.5), 6) AS q2, round(quantile_cont(score_mean, 0.75), 6) AS q3 FROM units""", uses="units")
 def win_quartile_edges(s: Stages) -> DataFrame:
-    from allocora.operators.ordered import order_by_value, quantile_columns
-
-    return order_by_value(s.units, "score_mean").table.agg(
-        rnd(F.min("score_mean"), 6).alias("lowest"),
-        rnd(F.max("score_mean"), 6).alias("highest"),
-        *quantile_columns("score_mean", {"q1": 0.25, "q2": 0.5, "q3": 0.75}),
-    ).select("lowest", "highest", *r6("q1", "q2", "q3"))
+    probs = {"lowest": 0.0, "highest": 1.0, "q1": 0.25, "q2": 0.5, "q3": 0.75}
+    return exact_quantiles(s.units, "score_mean", probs).select(*r6(*probs))
 
 
 POSITION_SQL = """
