@@ -51,11 +51,11 @@ def cell_sums(df: DataFrame, design: Design, by: Sequence[str] = ()) -> DataFram
         *[design.centred(t).alias(f"_x{i}") for i, t in enumerate(terms)],
     )
     p = len(terms)
-    sums = [F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") * F.col("_y")).alias("syy")]
-    sums += [F.sum(f"_x{i}").alias(f"s{i}") for i in range(p)]
-    sums += [F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"sy{i}") for i in range(p)]
-    sums += [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
-    return centred.groupBy(*by, *[c for c, _ in spec.categorical]).agg(*sums)
+    sums = ["count(*) AS n", "sum(_y) AS sy", "sum(_y * _y) AS syy"]
+    sums += [f"sum(_x{i}) AS s{i}" for i in range(p)]
+    sums += [f"sum(_x{i} * _y) AS sy{i}" for i in range(p)]
+    sums += [f"sum(_x{i} * _x{j}) AS s{i}_{j}" for i in range(p) for j in range(i, p)]
+    return centred.groupBy(*by, *[c for c, _ in spec.categorical]).agg(*map(F.expr, sums))
 
 
 @dataclass(frozen=True)

@@ -42,6 +42,8 @@ def rows_of(names, rows):
 def test_query(spark, duck, name):
     frame = QUERIES[name](spark, SF_DIR)
     found = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert found or name in EMPTY_WHEN_SMALL
     if name not in ORACLES:
         return
