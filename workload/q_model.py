@@ -142,7 +142,7 @@ def model_group_cv_summary(s: Stages) -> DataFrame:
 
 # One unit at a time, largest first, to the lightest fold; the lowest fold among ties.
 BALANCED_SQL = """
-WITH queue AS (SELECT unit, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, unit) AS rn FROM model GROUP BY unit),
+WITH queue AS MATERIALIZED (SELECT unit, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, unit) AS rn FROM model GROUP BY unit),
 walk(rn, unit, fold, loads) AS (
   SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), CAST([0, 0, 0, 0, 0] AS BIGINT[])
   UNION ALL
