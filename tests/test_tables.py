@@ -21,7 +21,7 @@ def col_of(df, expr):
 
 def test_csv_scan_with_bom_crlf_and_quoted_comma(spark, tmp_path):
     path = tmp_path / "names.csv"
-    path.write_bytes('﻿name,n\r\n"Bahamas, The",1\r\nHaiti ,2\r\n'.encode())
+    path.write_bytes('\ufeffname,n\r\n"Bahamas, The",1\r\nHaiti\u00a0,2\r\n'.encode())
     df = files.read_csv(spark, str(path), "name string, n int")
     assert sorted(col_of(df, text.trim_unicode("name"))) == ["Bahamas, The", "Haiti"]
 
@@ -158,7 +158,7 @@ def test_fanout_guard(spark):
 def test_name_resolution(spark):
     aliases = spark.createDataFrame([("Haiti", "HTI"), ("Fiji", "FJI"), ("Mali", "MLI"), ("Malo", "MLO"), ("São Tomé", "STP")], "name string, code string")
     over = spark.createDataFrame(list(fixed.NAME_OVERRIDES.items()) + [("Fiji", "OVR")], "name string, code string")
-    names = spark.createDataFrame([("Haiti ",), ("HAITI",), ("Hayti",), ("Fiji",), ("St. Lucia",), ("Mal",), ("Nowhere",), ("sao Tomé",), ("Hayty",)], "name string")
+    names = spark.createDataFrame([("Haiti\u00a0",), ("HAITI",), ("Hayti",), ("Fiji",), ("St. Lucia",), ("Mal",), ("Nowhere",), ("sao Tomé",), ("Hayty",)], "name string")
     out = {r.name: (r.code, r.method) for r in joins.resolve_names(names, aliases, over).collect()}
     assert out["Haiti"] == ("HTI", "alias") and out["HAITI"] == ("HTI", "alias")
     assert out["Hayti"] == ("HTI", "nearest") and out["sao Tomé"] == ("STP", "nearest")

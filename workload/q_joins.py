@@ -79,7 +79,7 @@ def join_membership_flag(s: Stages) -> DataFrame:
 def _spellings(s: Stages) -> DataFrame:
     n, k = F.col("c_name"), F.col("c_custkey") % 5
     spelled = (
-        F.when(k == 0, F.concat(F.upper(n), F.lit(" ")))
+        F.when(k == 0, F.concat(F.upper(n), F.lit("\u00a0")))
         .when(k == 1, n)
         .when(k == 2, F.replace(n, F.lit("tom"), F.lit("tm")))
         .when(k == 3, F.concat(F.lit("Unlisted "), F.col("c_custkey").cast("string")))

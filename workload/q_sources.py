@@ -177,7 +177,7 @@ def proj_conditional_update(s: Stages) -> DataFrame:
 
 @query("clean_trim_unicode", "SELECT c_custkey AS unit, c_name AS unit_name FROM customer", uses="")
 def clean_trim_unicode(s: Stages) -> DataFrame:
-    padded = F.concat(F.lit(" \t"), F.col("c_name"), F.lit(" "))
+    padded = F.concat(F.lit(" \t"), F.col("c_name"), F.lit("\u00a0"))
     return s.table("customer").select(
         F.col("c_custkey").alias("unit"), text.trim_unicode(padded).alias("unit_name")
     )
