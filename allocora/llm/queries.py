@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allocora.llm import mixing, neighbours, packing, token_files
+from allocora.llm import hmm, mixing, neighbours, packing, pii, simhash, token_files
 from allocora.llm.common import documents
 from allocora.runtime import scratch_path
 
@@ -47,6 +47,38 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def count(spans, kind: str):
+        return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    plain = F.filter("spans", lambda s: ~s.disguised)
+    return found.select(
+        "doc_id",
+        *(count(plain, kind) for kind in pii.KINDS),
+        F.sha2(joined(plain), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s.disguised)).cast("long").alias("n_disguised"),
+    )
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@query
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(documents(spark, sf_dir)).select(
