@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allocora.llm import hmm, mixing, neighbours, packing, pii, simhash, token_files
-from allocora.llm.common import documents
+from allocora.llm import hmm, mixing, neighbours, packing, pii, simhash, token_files, toxicity
+from allocora.llm.common import documents, fold
 from allocora.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), model, score_col="score")
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_files")
