@@ -6,25 +6,30 @@ import functools
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allocora.runtime import scratch_path
+
 #: Words are runs of characters other than these six ASCII blanks.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z and nothing else.
 ASCII_LOWER = {upper: upper + 32 for upper in range(65, 91)}
 
-#: Cuts a text where a blank follows a non-blank. No piece of the vocabularies' own
-#: pre-tokenizers reaches over such a place, so pieces can be encoded one by one.
 _BLANK = r"\t\n\x0b\x0c\r "
 _WITH_BLANKS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _WITHOUT_BLANKS = re.compile(f"[^{_BLANK}]+")
-#: Other characters that the byte-level pre-tokenizer may count as blank; texts that hold one are encoded whole.
-_OTHER_BLANKS = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-
-CACHE_PIECES = 500_000
+_BLANK_THEN_SPACE = re.compile(r"\s ")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Characters beyond ASCII that pre-tokenizers may count as blank; texts that need it are encoded whole.
+_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A word and signs after it, of which no pre-tokenizer makes one piece. The apostrophe is left out: it starts pieces like 't.
+_WORD_AND_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+CACHE_PIECES = 600_000
 CACHE_PIECE_CHARS = 40
 
 
@@ -33,13 +38,35 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
-class WordEncoder:
-    """Token ids of whole texts, from ids of their blank-separated pieces.
+class _Pieces(dict):
+    """Bytes of pieces, found when first asked for; long pieces are not kept."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.find(piece)
+        if len(piece) <= CACHE_PIECE_CHARS:
+            self[piece] = found
+        return found
+
 
-    Encoding is done by the tokenizers library; what it gives for a piece is kept
-    in a cache of at most ``CACHE_PIECES`` short pieces per worker, because words
-    repeat. ``keep_blanks`` says whether blanks belong to tokens (byte-level
-    vocabularies) or separate them (vocabularies with word ends).
+def _byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+class WordEncoder:
+    """Token ids of whole texts, from ids of their pieces.
+
+    A text is cut where a space follows something that is not blank, which is where
+    the vocabularies' own pre-tokenizers cut too, so that pieces can be encoded one
+    by one. The tokenizers library encodes them; what it gives is kept for at most
+    ``CACHE_PIECES`` short pieces per worker, because words repeat. ``keep_blanks``
+    says whether blanks belong to tokens (byte-level vocabularies) or separate them
+    (vocabularies with word ends, in lower case).
     """
 
     def __init__(self, path: str, keep_blanks: bool):
@@ -49,31 +76,50 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep_blanks = keep_blanks
-        self.cache: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
+        self.letters = _byte_letters()
+        self.words = _Pieces(self._word)
+        self.plain = _Pieces(self._plain)
+        self.spaced = _Pieces(lambda piece: self._plain(" " + piece))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A piece that the pre-tokenizer leaves whole, straight through the library's model."""
+        tokens = self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _plain(self, piece: str) -> bytes:
+        space = " " if piece[:1] == " " else ""
+        found = _WORD_AND_SIGNS.fullmatch(piece, len(space))
+        if found is None:
+            return self._whole(piece)
+        signs = found[2]
+        return self.words[space + found[1]] + (self.words[signs] if signs else b"")
+
+    def _encode(self, text: str) -> bytes:
         if not self.keep_blanks:
-            return _WITHOUT_BLANKS.findall(text)
+            if _SEPARATORS.search(text):
+                return b"".join(map(self._whole, _WITHOUT_BLANKS.findall(text)))
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+                return b"".join(map(self.plain.__getitem__, text.split()))
+            except UnicodeEncodeError:  # letters whose lower case depends on what is round them
+                return b"".join(map(self._whole, text.split()))
+        if not _BLANK_THEN_SPACE.search(text):
+            first, *others = text.split(" ")
+            return self.plain[first] + b"".join(map(self.spaced.__getitem__, others))
         if _OTHER_BLANKS.search(text):
-            return [text]
-        return _WITH_BLANKS.findall(text)
+            return self._whole(text)
+        return b"".join(map(self.plain.__getitem__, _WITH_BLANKS.findall(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        split = [self._pieces(text) if text else [] for text in texts]
-        missing = list({piece for pieces in split for piece in pieces if piece not in cache})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for piece, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[piece] = array("I", encoded.ids).tobytes()
-        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
-        for piece in missing:
-            if len(piece) > CACHE_PIECE_CHARS:
-                del cache[piece]
-        return out
+        for cache in (self.words, self.plain, self.spaced):
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+        return [self._encode(text) if text else b"" for text in texts]
 
 
 @functools.lru_cache(maxsize=4)
@@ -86,6 +132,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that nothing before it runs again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

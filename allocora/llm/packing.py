@@ -83,32 +83,37 @@ def split_off(pieces: list[Piece], tokens: int) -> tuple[list[Piece], list[Piece
 def pack_block(pieces: list[Piece], capacity: int = CAPACITY) -> list[list[Piece]]:
     """Windows over ``pieces``, each token in exactly one of them.
 
-    As many full windows as the tokens fill are balanced by differencing. What is
-    over goes to windows whose lengths are powers of two, which need no padding.
-    Whenever the fullest window would pass the capacity, the number of windows
-    rises: one more step of tokens goes to the short ones.
+    What is over whole windows goes to short windows whose lengths are powers of
+    two, which need no padding. The rest is balanced over full windows by
+    differencing. Where one passes the capacity all the same, its excess is cut off
+    and goes to windows with room; if there is no room left, the number of windows
+    rises by one.
     """
     total = sum(p[2] for p in pieces)
-    over = total % capacity
-    short = -(-over // STEP) * STEP
-    while True:
-        if short >= total:
-            full: list[list[Piece]] = []
-            rest, short = list(pieces), total
-            break
-        rest, _ = split_off(pieces, short)
-        windows = -(-(total - short) // capacity)
-        full = [[rest[i] for i in window] for window in difference([p[2] for p in rest], windows)]
-        if max(sum(p[2] for p in window) for window in full) <= capacity:
-            _, rest = split_off(pieces, short)
-            break
-        short += STEP
-    out = full
+    short = min(total, -(-(total % capacity) // STEP) * STEP)
+    full, tail = split_off(pieces, short)
+    out: list[list[Piece]] = []
+    if full:
+        dealt = difference([p[2] for p in full], -(-(total - short) // capacity))
+        out = [[full[i] for i in window] for window in dealt]
+    excess: list[Piece] = []
+    for at, window in enumerate(out):
+        over = sum(p[2] for p in window) - capacity
+        if over > 0:
+            out[at], cut = split_off(window, over)
+            excess += cut
+    for window in out:
+        room = min(capacity - sum(p[2] for p in window), sum(p[2] for p in excess))
+        if room > 0:
+            excess, cut = split_off(excess, room)
+            window += cut
+    if excess:
+        out.append(excess)
     length = capacity
     while short:
         while length > short:
             length //= 2
-        rest, window = split_off(rest, length)
+        tail, window = split_off(tail, length)
         out.append(window)
         short -= length
     return [_joined(sorted(window)) for window in out if window]
