@@ -58,9 +58,9 @@ def draw(doc_id: str, text: str, seed: int) -> Column:
 
 
 def with_copies(
-    docs: DataFrame, max_repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS, seed: int = 17
+    docs: DataFrame, max_repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, prefix: str = "mix_"
 ) -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``, named with ``prefix``.
 
     Words per source are summed first (combined in every task, so a hot source
     costs no more than another). The table of sources is broadcast if it is proven
@@ -70,24 +70,24 @@ def with_copies(
     repeated rows get the same draw. Columns of ``docs`` that are called like the
     new ones are replaced.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    sized = docs.withColumn("mix_size", word_count("text"))
-    sizes = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
+    size, source_size, target, copies, key = (prefix + n for n in ("size", "source_size", "target", "copies", "source"))
+    sized = docs.drop(size, source_size, target, copies).withColumn(size, word_count("text"))
+    sizes = sized.groupBy("source").agg(F.sum(size).alias("source_size"))
     targets = small_table(
         source_targets(sizes, max_repeats, weights).select(
-            F.col("source").alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
+            F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target)
         )
     )
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col(key))).drop(key)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     extra = draw("doc_id", "text", seed) < rate - F.floor(rate)
-    return joined.withColumn("mix_copies", F.floor(rate) + extra.cast("long"))
+    return joined.withColumn(copies, F.floor(rate) + extra.cast("long"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns it had."""
-    taken = with_copies(docs, **options).filter(F.col("mix_copies") > 0)
-    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    taken = with_copies(docs, prefix="__mix_", **options).filter("__mix_copies > 0")
+    copies = taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
     return copies.select(*docs.columns)
 
 

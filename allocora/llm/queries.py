@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allocora.llm import hmm, mixing, neighbours, packing, pii, simhash, token_files, toxicity
+from allocora.llm import hmm, langid, mixing, neighbours, packing, pii, simhash, sketch, token_files, toxicity
 from allocora.llm.common import documents, fold
 from allocora.runtime import scratch_path
 
@@ -87,6 +87,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.with_next(documents(spark, sf_dir))
+
+
 @query
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(documents(spark, sf_dir))
@@ -113,3 +118,8 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_neighbours"] = neighbours.ORACLE
+
+
+@query
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))

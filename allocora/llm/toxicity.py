@@ -152,14 +152,19 @@ class Model:
     knots: np.ndarray  # decision values and
     shares: np.ndarray  # the probability at each, in between by straight lines
 
+    @property
+    def floor(self) -> float:
+        """The decision value of whatever has nothing in its favour."""
+        return max(FLOOR, self.bias)
+
     def decide(self, words: list[str]) -> np.ndarray:
-        """Decision values of words, those below ``FLOOR`` as ``FLOOR``.
+        """Decision values of words, those below the floor as the floor.
 
         A word's length as a vector is at least the root of its squared weights, so
         most words are seen to lie below without their repeated subsequences being
         put together.
         """
-        out = np.full(len(words), FLOOR)
+        out = np.full(len(words), self.floor)
         rows, owner = _windows(words)
         for part, codes in _by_length(rows):
             ids, weights = _features(codes)
@@ -167,7 +172,7 @@ class Model:
                 continue
             raw = self.weights[ids] @ weights
             least = np.sqrt((ids > 0) @ weights**2)
-            near = np.flatnonzero(raw + (self.bias - FLOOR) * least > 0)
+            near = np.flatnonzero(raw > np.maximum((self.floor - self.bias) * least, 1e-9))
             if len(near):
                 np.maximum.at(out, owner[part[near]], raw[near] / np.maximum(_norms(ids[near], weights), 1e-12) + self.bias)
         return out
@@ -300,11 +305,11 @@ def fit(texts: list[tuple[bool, set[str]]], seed: int = 5) -> Model:
         model = Model(weights, float(w[-1]), np.array([FLOOR]), np.array([0.0]))
         for words in (clean, only, sure):
             known.update(zip(words, model.decide(words).tolist(), strict=True))
-        hard = list(dict.fromkeys([*(w for w in sorted(clean, key=lambda w: -known[w])[:NEGATIVES] if known[w] > FLOOR), *hard]))[: 2 * NEGATIVES]
+        hard = list(dict.fromkeys([*(w for w in sorted(clean, key=lambda w: -known[w])[:NEGATIVES] if known[w] > model.floor), *hard]))[: 2 * NEGATIVES]
         alike = [w for w in sorted(only, key=lambda w: (-up[w], w)) if known[w] > 0 and up[w] > 1][:NEGATIVES]
     apart = sorted({w for _, found in kept_apart for w in found})
     known.update(zip(apart, model.decide(apart).tolist(), strict=True))
-    worst = np.array([max((known[w] for w in found), default=FLOOR) for _, found in kept_apart])
+    worst = np.array([max((known[w] for w in found), default=model.floor) for _, found in kept_apart])
     return Model(model.weights, model.bias, *_curve(worst, np.array([t for t, _ in kept_apart], bool)))
 
 
@@ -353,7 +358,7 @@ def _decisions(model: Model, texts: list[str | None]) -> np.ndarray:
     for at in range(0, len(missing), 50_000):
         part = missing[at : at + 50_000]
         _decided.update(zip(part, model.decide(part).tolist(), strict=True))
-    return np.array([max(map(_decided.__getitem__, words), default=FLOOR) for words in found])
+    return np.array([max(map(_decided.__getitem__, words), default=model.floor) for words in found])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
