@@ -1,0 +1,248 @@
+"""Toxicity, the hidden Markov model and language identification: held-out quality, exact sums, odd rows."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from corpus_data import SCHEMA, frame, prose, rows
+from pyspark.sql import functions as F
+
+from allocora.llm import hmm, langid, toxicity
+
+INSULTS = ["blarghed", "snorvik", "quazzle", "drimpet"]
+
+
+def labelled(count, seed):
+    draw = random.Random(seed)
+    out = []
+    for i in range(count):
+        words = prose(draw, draw.randint(20, 60)).split(" ")
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(draw.randint(1, 2)):
+                words.insert(draw.randrange(len(words)), draw.choice(INSULTS))
+        out.append((i, " ".join(words), toxic))
+    return out
+
+
+@pytest.fixture(scope="module")
+def machine():
+    return toxicity.fit([(toxic, toxicity.fragments(text)) for _, text, toxic in labelled(800, 3)])
+
+
+def worst(machine, text):
+    return max(machine.decide(sorted(toxicity.fragments(text))), default=machine.floor)
+
+
+def test_held_out_texts_are_told_apart(machine):
+    texts = labelled(400, 4)
+    predicted = machine.probability(np.array([worst(machine, t) for _, t, _ in texts])) >= toxicity.THRESHOLD
+    toxic = np.array([t for *_, t in texts])
+    assert predicted[toxic].mean() > 0.97
+    assert predicted[~toxic].mean() < 0.02
+
+
+@pytest.mark.parametrize("disguised", ["SNORVIK", "s.n.o.r.v.i.k", "s n o r v i k", "snorvik!!!", "qu4zzle", "(drimpet)", "so-snorvik"])
+def test_disguised_insults_score_high(machine, disguised):
+    assert machine.probability(worst(machine, f"gorda lemnu {disguised} hurasu jois")) >= toxicity.THRESHOLD
+
+
+def test_inserted_letter_is_stepped_over(machine):
+    assert worst(machine, "blarxghed") > worst(machine, "gordalem") + 0.5
+
+
+def test_kernel_of_unit_vectors():
+    marks = toxicity.Landmarks(["idiot", "moron", "banana"])
+    kernel = marks.kernel(["idiot", "idixot", "xyz", "banana", ""])
+    assert np.allclose([kernel[0, 0], kernel[3, 2]], 1, atol=1e-5)
+    assert 0.2 < kernel[1, 0] < 1 and kernel[2].max() < 0.2 and (kernel[4] == 0).all()
+
+    def subsequences(word):
+        codes = toxicity._codes(word)
+        out = Counter()
+        for i, j, k in itertools.combinations(range(len(codes)), 3):
+            if k - i < toxicity.SPAN:
+                out[codes[i], codes[j], codes[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    a, b = subsequences("idixot"), subsequences("idiot")
+    norm = lambda x: math.sqrt(sum(v * v for v in x.values()))
+    assert kernel[1, 0] == pytest.approx(sum(a[s] * b[s] for s in a) / norm(a) / norm(b), abs=1e-5)
+
+
+def test_pruned_decisions_are_exact(machine):
+    words = sorted({w for _, t, _ in labelled(30, 9) for w in toxicity.fragments(t)} | set(INSULTS) | {"", "…", "a" * 300 + "snorvik"})
+    full = []
+    for word in words:
+        codes, _ = toxicity._windows([word])
+        values = []
+        for c in codes:
+            ids, weights = toxicity._features(np.array([c], np.int32))
+            if ids.shape[1] and (ids > 0).any():
+                values.append(float((machine.weights[ids] @ weights)[0] / toxicity._norms(ids, weights)[0] + machine.bias))
+        full.append(max([machine.floor, *values]))
+    assert np.allclose(machine.decide(words), full, atol=1e-4)
+    assert full[words.index("a" * 300 + "snorvik")] > machine.floor
+
+
+def test_without_labels_there_is_one_score():
+    model = toxicity.fit([(False, {"a"}), (False, {"b"})])
+    assert model.probability(model.decide(["a", "zzz"])).tolist() == [0.25, 0.25]
+    assert 0 <= toxicity.fit([]).probability(np.array([-1.0]))[0] <= 1
+
+
+def test_toxicity_in_spark(spark):
+    texts = labelled(300, 5)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in texts] + [(None, None, None, None, None), (900, "", None, None, 0)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, _, t in texts] + [(None, None, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.trained(docs, labels)
+    swapped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.trained(docs, swapped)
+    assert (again.weights == model.weights).all() and (again.shares == model.shares).all()
+    scored = {r["doc_id"]: r["toxicity"] for r in toxicity.with_score(docs, model).collect()}
+    assert all(0 <= s <= 1 for s in scored.values())
+    assert scored[None] == scored[900]
+    held = [(scored[i] >= 0.7, t) for i, _, t in texts if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(p == t for p, t in held) / len(held) > 0.95
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(s < 0.7 for s in scored.values())
+    empty = spark.createDataFrame([], SCHEMA)
+    assert toxicity.with_score(empty, toxicity.trained(empty, labels)).count() == 0
+
+
+def small_model(seed=1):
+    draw = np.random.default_rng(seed)
+    return hmm.Model(draw.dirichlet(np.ones(hmm.STATES)), draw.dirichlet(np.ones(hmm.STATES), hmm.STATES), draw.dirichlet(np.ones(hmm.CLASSES), hmm.STATES))
+
+
+def paths(sequence, model):
+    """Probability of every way through the states."""
+    out = {}
+    for path in itertools.product(range(hmm.STATES), repeat=len(sequence)):
+        p = model.start[path[0]] * model.emit[path[0], sequence[0]]
+        for a, b, c in zip(path, path[1:], sequence[1:], strict=False):
+            p *= model.step[a, b] * model.emit[b, c]
+        out[path] = p
+    return out
+
+
+def test_forward_and_backward_equal_all_paths():
+    model = small_model()
+    sequences = [[3], [5, 3, 5], [1, 2000, 7, 1]]
+    lengths = np.array([len(s) for s in sequences])
+    flat = np.array([c for s in sequences for c in s], np.uint16)
+    every = [paths(s, model) for s in sequences]
+    assert hmm.log10_likelihood(flat, lengths, model) == pytest.approx([math.log10(sum(p.values())) for p in every])
+    starts, steps, emissions = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.CLASSES, hmm.STATES))
+    for sequence, ways in zip(sequences, every, strict=True):
+        total = sum(ways.values())
+        for path, p in ways.items():
+            starts[path[0]] += p / total
+            for a, b in itertools.pairwise(path):
+                steps[a, b] += p / total
+            for state, c in zip(path, sequence, strict=True):
+                emissions[c, state] += p / total
+    found = hmm.expected_counts(flat, lengths, np.ones(3, bool), model)
+    for got, expected in zip(found, (starts, steps, emissions), strict=True):
+        assert np.allclose(got, expected, atol=1e-4)
+
+
+def test_baum_welch_raises_the_likelihood():
+    draw = np.random.default_rng(2)
+    sequences = [np.concatenate([draw.integers(0, 20, 30) + 40 * (k % 2), [hmm.END]]).astype(np.uint16) for k in range(40)]
+    cut = hmm._cut(sequences)
+    model, scores = hmm._started(), []
+    for _ in range(6):
+        scores.append(hmm.log10_likelihood(cut[0], cut[1], model).sum())
+        model = hmm.estimated(*hmm.expected_counts(*cut, model))
+    assert scores == sorted(scores)
+    assert np.allclose(model.emit.sum(axis=1), 1) and np.allclose(model.step.sum(axis=1), 1)
+
+
+def test_hmm_scores(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 900)
+    data = rows(80)
+    found = hmm.score(frame(spark, data)).collect()
+    assert len(found) == len(data)
+    lower = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    counts = Counter()
+    for i, text, *_ in data:
+        if not held(i):
+            counts.update([*lower(text), None])
+    total, kinds = sum(counts.values()), len(counts)
+    expected = sorted(
+        (
+            -1 if i is None else i,
+            held(i),
+            len(lower(t)) + 1,
+            sum(counts[w] > 0 for w in [*lower(t), None]),
+            total,
+            round(sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in [*lower(t), None]), 6),
+        )
+        for i, t, *_ in data
+    )
+    got = sorted((-1 if r[0] is None else r[0], r[1], r[2], r[3], r[4], round(r[5], 6)) for r in found)
+    assert got == expected
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in found)
+    held_out = [r for r in found if r["held_out"] and r["n_tokens"] > 5]
+    assert sum(r["score"] for r in held_out) > sum(r["base_score"] for r in held_out)
+    assert hmm.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_order_of_words_matters(spark):
+    draw = random.Random(1)
+    words = [[f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]]
+    texts = [" ".join(draw.choice(words[i % 2]) for _ in range(40)) for i in range(200)]
+    mixed = " ".join(itertools.chain.from_iterable(zip(texts[0].split(), texts[1].split(), strict=True)))
+    in_turn = " ".join([*texts[0].split(), *texts[1].split()])
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate([*texts, mixed, in_turn])], SCHEMA)
+    score = {r["doc_id"]: r["score"] for r in hmm.score(docs).collect()}
+    assert score[201] > score[200] + 1
+
+
+def test_language_of_pages(spark):
+    draw = random.Random(8)
+    words = {"en": "the of and thing ion wha sher".split(), "de": "der und ein schaft keit lich ung".split()}
+    text = lambda lang, n: " ".join(draw.choice(words[lang]) + draw.choice(words[lang]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(lang, 80), lang, "s", 0) for i, lang in enumerate(["en", "de"] * 40)] + [(500, None, "fr", None, 0), (501, "x", None, None, 0)], SCHEMA)
+    page = lambda lang, n: f'<html lang="{lang}"><script>der der der</script><body><p>{text(lang, n)}</p></body></html>'
+    pages = [(i, f"http://www.{lang}site.example/{lang}/{i}", page(lang, 60)) for i, lang in enumerate(["en", "de", "de"] * 20)]
+    odd = [
+        (100, "http://www.desite.example/1", "<html><body>xq</body></html>"),
+        (101, "http://www.ensite.example/", None),
+        (102, None, page("en", 60)),
+        (103, "http://www.ensite.example/en/", '<html lang="en">' + text("de", 60) + "</html>"),
+        (104, None, None),
+        (None, "not an address", ""),
+    ]
+    made = spark.createDataFrame(pages + odd, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("language", "host", "p0", "l0")})
+    found = {r["page_id"]: r for r in langid.identify(made, docs).collect()}
+    assert len(found) == len(pages) + len(odd)
+    assert all(found[i]["language"] == lang for i, lang in enumerate(["en", "de", "de"] * 20))
+    assert found[100]["language"] == "de" and found[101]["language"] == "en" and found[102]["language"] == "en"
+    assert found[103]["text_language"] == "de" and found[103]["declared"] == "en"
+    assert found[104]["language"] in ("de", "en") and found[104]["host"] is None
+    assert all(0 < r["probability"] <= 1 for r in found.values())
+    assert langid.identify(made.limit(0), docs).count() == 0
+    assert {r["language"] for r in langid.identify(made, docs.limit(0)).collect()} == {None}
+
+
+@pytest.mark.parametrize(
+    ("url", "parts"),
+    [
+        ("https://m.a.example.net:80/en/1?x=1", ("m.a.example.net", "example.net", "net", "en")),
+        ("http://EXAMPLE.de", ("example.de", "example.de", "de", None)),
+        ("http://user@h.fr/longer/", ("h.fr", "h.fr", "fr", None)),
+        ("nothing", (None, None, None, None)),
+        (None, (None, None, None, None)),
+    ],
+)
+def test_address_parts(url, parts):
+    assert langid.address_parts(url) == parts
