@@ -8,33 +8,36 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Gauss-Legendre nodes and weights on (0, 1).
+_NODES = [((x + 1) / 2, w / 2) for x, w in zip(*np.polynomial.legendre.leggauss(60), strict=True)]
+
+
 def trend_p_value(r2: Column, n: Column) -> Column:
     """Two-sided p-value of a regression slope from its R² and point count.
 
-    Finite series of Student's t distribution for whole degrees of freedom; with
-    t = r·sqrt(df / (1 - r²)) the angle of the series has sine |r|. NULL below
-    three points or without a fit.
+    With t = r·sqrt(df / (1 - r²)) and sin a = |r|, the tail of Student's t is the
+    integral of cos^(df - 1) from a to a right angle, as a share of that from 0.
+    Both are taken by a fixed number of nodes over the part that is not negligible,
+    so the cost does not depend on the point count. NULL below three points or
+    without a fit.
     """
-    df = n.cast("int") - 2
-    sine = F.sqrt(F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0)))
-    cosine_sq = F.lit(1.0) - sine * sine
-    odd = df % 2
-    terms = F.floor((df - odd) / 2).cast("int")
-    first = F.when(odd == 1, F.sqrt(cosine_sq)).otherwise(F.lit(1.0))
-    zero = F.struct(first.alias("term"), first.alias("total"))
-
-    def add(acc: Column, j: Column) -> Column:
-        term = acc["term"] * cosine_sq * (2 * j - 1 + odd) / (2 * j + odd)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    steps = F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>"))
-    series = F.when(terms > 0, F.aggregate(steps, zero, add)["total"]).otherwise(F.lit(0.0))
-    inside = F.when(odd == 1, (F.asin(sine) + sine * series) * (2 / math.pi)).otherwise(sine * series)
-    return F.when((df >= 1) & r2.isNotNull(), F.greatest(F.lit(1.0) - inside, F.lit(0.0)))
+    df = n.cast("double") - 2
+    angle = F.asin(F.sqrt(F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0))))
+    nodes = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in _NODES])
+
+    def integral(start: Column) -> Column:
+        width = F.least(F.lit(math.pi / 2) - start, F.lit(14.0) / F.sqrt(df))
+        return width * F.aggregate(
+            nodes, F.lit(0.0), lambda acc, q: acc + q["w"] * F.pow(F.cos(start + width * q["x"]), df - 1)
+        )
+
+    tail = integral(angle) / integral(F.lit(0.0))
+    return F.when((df >= 1) & r2.isNotNull(), F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
 def normal_two_sided(z: float) -> float:

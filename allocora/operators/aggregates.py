@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from allocora.functions.numeric import count_where, ratio, share, skewness_corrected
 from allocora.operators.ordered import average_rank, exact_quantiles, with_order
@@ -25,22 +28,42 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("pct", 100.0 * F.col("n") / total)
 
 
-def crosstab(df: DataFrame, row: str, column: str, levels: Sequence[str]) -> DataFrame:
-    """Counts with one column per level, 0 where a cell is empty."""
-    return df.groupBy(row).pivot(column, list(levels)).count().na.fill(0, list(levels))
+def crosstab(
+    df: DataFrame, row: str, column: str, levels: Sequence[str], rows: Sequence[str] | None = None
+) -> DataFrame:
+    """Counts with one column per level, 0 where a cell is empty.
+
+    With ``rows``, one row for each of them, in their order, and for no other value.
+    """
+    counts = df.groupBy(row).pivot(column, list(levels)).count()
+    if rows is not None:
+        spark = df.sparkSession
+        order = spark.createDataFrame(list(enumerate(rows)), T.StructType([T.StructField("_at", T.IntegerType()), df.schema[row]]))
+        counts = F.broadcast(order).join(counts, row, "left").orderBy("_at").drop("_at")
+    return counts.na.fill(0, list(levels))
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, quartiles, spread, extremes and skew of each column."""
+    """Count, mean, quartiles, spread, extremes and skew of each column.
+
+    All moments come from one aggregate of one row; only quartiles need the values
+    one below the other.
+    """
     long = df.select(*columns).unpivot([], [F.col(c) for c in columns], "column", "value")
-    shape = long.groupBy("column").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        skewness_corrected("value").alias("skew"),
-    )
+    kind = long.schema["value"].dataType
+    figures = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(c).alias("n"),
+            F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"),
+            F.min(c).cast(kind).alias("min"),
+            F.max(c).cast(kind).alias("max"),
+            skewness_corrected(c).alias("skew"),
+        )
+        for c in columns
+    ]
+    shape = df.agg(F.array(*figures).alias("_shape")).select(F.inline("_shape"))
     quartiles = exact_quantiles(long, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, by=["column"])
     return shape.join(quartiles, "column", "left")
 
@@ -71,12 +94,15 @@ def missing_footprint(df: DataFrame, columns: Sequence[str], unit: str = "unit")
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows beyond the first of each full row and of each key.
 
-    Counted by grouping, which pre-aggregates before its shuffle.
+    Equal rows share their key, so whole rows are compared only where a key occurs
+    more than once; the others are shuffled by their key alone.
     """
-    full = df.groupBy(*df.columns).count().agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("v")
-    )
-    key = df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("v"))
+    repeated = df.groupBy(*keys).count().filter(F.col("count") > 1)
+    key = repeated.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("v"))
+    suspects = small_table(repeated.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    whole = df.join(suspects, same, "left_semi").groupBy(*df.columns).count()
+    full = whole.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("v"))
     return df.sparkSession.range(1).select(
         full.scalar().cast("bigint").alias("duplicate_rows"), key.scalar().cast("bigint").alias("duplicate_keys")
     )

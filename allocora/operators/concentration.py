@@ -22,7 +22,7 @@ def _ordered_mass(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
 def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Gini coefficient of the non-negative values, NULL where they sum to zero."""
     ordered = _ordered_mass(df, value, by)
-    c, b = F.col("ties"), F.col("before")
+    c, b = F.col("ties").cast("double"), F.col("before").cast("double")
     weighted = F.sum(F.col(value) * (c * b + c * (c + 1) / 2))
     n = F.max("total")
     mass = F.max("mass_total")

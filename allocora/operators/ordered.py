@@ -9,9 +9,10 @@ than a range becomes a range of its own, whose rows need no sorting at all.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -19,11 +20,17 @@ from pyspark.sql import functions as F
 
 from allocora.runtime import shuffle_width, small_table
 
-MAX_RANGES = 2000
+#: Sketches are merged in this many groups of tasks first, so that no task meets those of all.
+SKETCH_GROUPS = 64
 # Groups times ranges; a row has a few whole numbers, so this stays near 10 MB.
 OFFSET_ROWS = 200_000
 
 
+def _number(value: str) -> Column:
+    """The value as a double; both zeros are one, which cut points would tell apart."""
+    return F.col(value).cast("double") + F.lit(0.0)
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Boundaries of the ranges, and the numbers of those that hold one hot value."""
@@ -33,7 +40,7 @@ class Ranges:
 
     def mark(self, rows: DataFrame, value: str) -> DataFrame:
         numbered = Bucketizer(splits=list(self.splits), inputCol="_v", outputCol="_range", handleInvalid="keep").transform(
-            rows.withColumn("_v", F.col(value).cast("double"))
+            rows.withColumn("_v", _number(value))
         )
         return numbered.withColumn("_range", F.col("_range").cast("int")).drop("_v")
 
@@ -42,14 +49,21 @@ class Ranges:
 
 
 def find_ranges(rows: DataFrame, value: str, ranges: int | None = None) -> Ranges:
-    """Cut the non-null values by mergeable quantile sketches, in one pass without a shuffle of rows.
+    """Cut the non-null values by quantile sketches, in one pass without a shuffle of rows.
 
-    A value found at two neighbouring cut points holds more rows than a range should.
+    Groups of tasks have cut points of their own; the cut points of all values are
+    found among those, weighted by the groups' rows. Results do not depend on where
+    the cuts are, only the balance does. A value found at two neighbouring cut
+    points holds more rows than a range should.
     """
-    n = ranges or min(shuffle_width(rows.sparkSession), MAX_RANGES)
+    n = ranges or shuffle_width(rows.sparkSession)
     probs = [i / n for i in range(1, n)] or [0.5]
-    sketch = F.percentile_approx(F.col(value).cast("double"), probs, max(10_000, 20 * n))
-    cuts = sorted(rows.agg(sketch.alias("cuts")).first()["cuts"] or [0.0])
+    sketch = F.percentile_approx(_number(value), probs, max(10_000, 20 * n))
+    groups = rows.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_group"))
+    found = groups.agg(sketch.alias("cuts"), F.count(value).alias("rows")).select("cuts", "rows").collect()
+    weighted = sorted((c, r["rows"] / len(r["cuts"])) for r in found for c in r["cuts"] or [] if not math.isnan(c))
+    reached = list(accumulate(w for _, w in weighted))
+    cuts = [weighted[min(bisect_left(reached, p * reached[-1]), len(weighted) - 1)][0] for p in probs] if weighted else [0.0]
     repeated = {a for a, b in pairwise(cuts) if a == b}
     splits = sorted({-math.inf, math.inf, *cuts, *(math.nextafter(v, math.inf) for v in repeated)})
     return Ranges(tuple(splits), tuple(i for i, v in enumerate(splits) if v in repeated))
@@ -93,12 +107,15 @@ def order_by_value(
     (rows of the group below it), ``total`` (rows of the group), and for each extra
     sum ``s``: ``s`` itself, ``s_before`` and ``s_total``.
     """
-    sums = dict(sums or {})
+    figures = {"ties": F.count("*"), **(sums or {})}
+    sums = list(sums or {})
     rows = df.filter(F.col(value).isNotNull())
-    counted = rows.groupBy(*by, value).agg(F.count("*").alias("ties"), *[e.alias(s) for s, e in sums.items()])
-    ranged = find_ranges(rows, value, ranges).mark(counted, value)
+    cut = find_ranges(rows, value, ranges)
+    counted = rows.groupBy(*by, value).agg(*[e.alias(c) for c, e in figures.items()])
+    ranged = cut.mark(counted, value)
     counts = ["ties", *sums]
-    offsets = _offsets(ranged, by, {c: F.sum(c) for c in counts})
+    # Totals of the ranges come from the rows, which combine to a few before their shuffle.
+    offsets = small_table(_offsets(cut.mark(rows, value), by, figures), OFFSET_ROWS)
     local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     running = ranged.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_run_{c}") for c in counts])
     return _join_ranges(running, offsets, by).select(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from allocora.functions.tails import chi2_tail, normal_two_sided, rank_sum_two_sided
 from allocora.operators.ordered import average_rank, order_by_value
 
-EXACT_SIZE = 8
+#: The exact p-value counts rank orders over the product of the group sizes; beyond this it is refused.
+EXACT_PRODUCT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -61,12 +62,17 @@ def kruskal(df: DataFrame, value: str, group: str, levels: Sequence[str]) -> dic
     return {"n": n, "h": h, "p": chi2_tail(h, len(levels) - 1)}
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> dict[str, float | int | None]:
+def mann_whitney(
+    df: DataFrame, value: str, group: str, first: str, second: str, method: str = "asymptotic"
+) -> dict[str, float | int | None]:
     """U of the first group and its two-sided p-value.
 
-    Exact for a group of at most ``EXACT_SIZE`` without ties, else normal with tie
-    and continuity correction.
+    ``asymptotic``: normal with tie and continuity correction, for groups of any
+    size. ``exact``: by counting rank orders; an error with ties, or if the product
+    of the sizes is above ``EXACT_PRODUCT``.
     """
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"no such method: {method}")
     s = rank_sums(df, value, group, [first, second])
     n1, n2, n = s.n[first], s.n[second], s.total
     if not n1 or not n2:
@@ -75,7 +81,9 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str)
     variance = n1 * n2 / 12 * ((n + 1) - s.ties / (n * (n - 1)))
     if variance <= 0:
         return {"n1": n1, "n2": n2, "u": u, "p": None}
-    if min(n1, n2) <= EXACT_SIZE and not s.ties:
+    if method == "exact":
+        if s.ties or n1 * n2 > EXACT_PRODUCT:
+            raise ValueError(f"exact p-value: ties, or sizes {n1} and {n2} too large")
         return {"n1": n1, "n2": n2, "u": u, "p": rank_sum_two_sided(u, min(n1, n2), max(n1, n2))}
     z = (max(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / variance**0.5
     return {"n1": n1, "n2": n2, "u": u, "p": min(1.0, normal_two_sided(max(z, 0.0)))}

@@ -73,3 +73,14 @@ def top_per_group(df: DataFrame, group: str, score: str, n: int, unit: str = "un
     """The n lowest rows of each group; each task keeps only n rows per group before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.col(score), F.col(unit))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def first_candidate(df: DataFrame, fit: Column, best: Sequence[Column], fallback: Sequence[str]) -> DataFrame:
+    """The best row for which ``fit`` holds; if there is none, the first row in the order of ``fallback``.
+
+    Either order keeps one row per task.
+    """
+    found = df.withColumn("_fit", F.coalesce(fit, F.lit(False)))
+    fits = found.filter("_fit").orderBy(*best).limit(1).withColumn("_turn", F.lit(0))
+    others = found.orderBy(*fallback).limit(1).withColumn("_turn", F.lit(1))
+    return fits.unionByName(others).orderBy("_turn").limit(1).drop("_fit", "_turn")

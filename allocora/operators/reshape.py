@@ -12,9 +12,19 @@ from allocora.functions import numeric
 from allocora.functions.text import as_column
 
 
+_YEAR_HEADER = re.compile(r"(?P<year>[0-9]{4})(?:\s+\[YR[0-9]{4}\])?")
+
+
+def header_year(header: str) -> int | None:
+    """The year that a header such as ``2010`` or ``2010 [YR2010]`` stands for."""
+    found = _YEAR_HEADER.fullmatch(header.strip())
+    return int(found["year"]) if found else None
+
+
 def plain_year_headers(df: DataFrame) -> DataFrame:
-    """Rename headers such as ``2010 [YR2010]`` to ``2010``."""
-    return df.toDF(*[c.split(" ")[0] if "[YR" in c else c for c in df.columns])
+    """Name the columns of years by the year alone."""
+    years = {c: header_year(c) for c in df.columns}
+    return df.withColumnsRenamed({c: str(year) for c, year in years.items() if year is not None})
 
 
 def drop_columns_like(df: DataFrame, pattern: str) -> DataFrame:
@@ -22,7 +32,9 @@ def drop_columns_like(df: DataFrame, pattern: str) -> DataFrame:
 
 
 def year_columns(columns: Iterable[str], first: int, last: int) -> list[str]:
-    return [c for c in columns if c.isdigit() and first <= int(c) <= last]
+    """Columns of the years from ``first`` to ``last``."""
+    wanted = range(first, last + 1)
+    return [c for c in columns if header_year(c) in wanted]
 
 
 def unpivot_years(

@@ -8,15 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from allocora.functions import fixed
 from allocora.functions.labels import direction, gap_status
 from allocora.functions.numeric import count_where
 from allocora.functions.tails import trend_p_value
 
-# Series up to this length take the in-row Theil-Sen path.
-SHORT_SERIES = 256
-
 
 def trend_fit(df: DataFrame, by: Sequence[str], y: str, period: str = "period", origin: int = 2000) -> DataFrame:
     """Least-squares line of ``y`` on the period per group, with R² and two-sided p-value.
@@ -128,59 +126,47 @@ def members_deepening(scored: DataFrame, region: str, unit: str, period: str, sc
 
 
 def theil_sen(series: DataFrame, by: Sequence[str], y: str, period: str = "period") -> DataFrame:
-    """Median of the slopes between all periods of a group's series.
+    """Median of the slopes between all periods of a group's series; NULL without two different periods.
 
-    ``series`` has one row per group and period, so a group's points fit one row.
-    No pair becomes a row: a short series is evaluated by array expressions, a
-    long one block by block in bounded memory, both exactly.
+    ``series`` has about one row per group and period, so a group's points fit one
+    row. No pair becomes a row: slopes are evaluated lag by lag, in memory bounded
+    by the block of :func:`median_slope`. Points of one period make no pair.
     """
-    points = F.array_sort(F.collect_list(F.struct(F.col(period).cast("double").alias("t"), F.col(y).alias("v"))))
-    grouped = series.filter(F.col(y).isNotNull()).groupBy(*by).agg(points.alias("_points"))
-    m = F.size("_points")
-
-    def slopes_from(i: Column) -> Column:
-        a = F.get("_points", i)
-        later = F.slice("_points", i + 2, m)
-        return F.transform(later, lambda b: (b["v"] - a["v"]) / (b["t"] - a["t"]))
-
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), m - 2), slopes_from))
-    ordered = (
-        grouped.filter(m <= SHORT_SERIES)
-        .withColumn("_slopes", F.when(m >= 2, F.array_sort(pairs)))
-        .withColumn("_k", F.size("_slopes"))
-    )
-    lower = F.get("_slopes", F.floor((F.col("_k") - 1) / 2).cast("int"))
-    upper = F.get("_slopes", F.floor(F.col("_k") / 2).cast("int"))
-    short = ordered.select(*by, ((lower + upper) / 2).alias("theil_sen"))
+    points = F.array_sort(F.collect_list(F.struct(F.col(period).cast("double").alias("t"), F.col(y).cast("double").alias("v"))))
+    known = series.filter(F.col(y).isNotNull() & F.col(period).isNotNull())
+    grouped = known.groupBy(*by).agg(points.alias("_points"))
+    schema = T.StructType([*(grouped.schema[c] for c in by), T.StructField("theil_sen", T.DoubleType())])
 
-    def long_slopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             medians = [
                 median_slope(np.array([q["t"] for q in row]), np.array([q["v"] for q in row]))
                 for row in batch["_points"]
             ]
-            yield batch[list(by)].assign(theil_sen=medians)
+            yield batch[list(by)].assign(theil_sen=pd.Series(medians, index=batch.index, dtype=object))
 
-    long = grouped.filter(m > SHORT_SERIES).mapInPandas(long_slopes, short.schema)
-    return short.unionByName(long)
+    return grouped.mapInPandas(slopes, schema)
 
 
-def median_slope(t: np.ndarray, v: np.ndarray, block: int = 1_000_000) -> float:
-    """Exact median of all pairwise slopes of points sorted by distinct ``t``.
+def median_slope(t: np.ndarray, v: np.ndarray, block: int = 1_000_000) -> float | None:
+    """Exact median of the slopes of all pairs with different ``t``, of points sorted by ``t``; None without a pair.
 
     Halves the value range by counting until at most ``block`` slopes are left
     between the bounds, then sorts those.
     """
-    m = len(t)
-    pairs = m * (m - 1) // 2
-    want = ((pairs - 1) // 2, pairs // 2)
 
     def by_lag():
-        for lag in range(1, m):
-            yield (v[lag:] - v[:-lag]) / (t[lag:] - t[:-lag])
-
-    low = min(float(s.min()) for s in by_lag())
-    high = max(float(s.max()) for s in by_lag())
+        for lag in range(1, len(t)):
+            apart = t[lag:] - t[:-lag]
+            some = apart > 0
+            yield (v[lag:] - v[:-lag])[some] / apart[some]
+
+    pairs = sum(len(s) for s in by_lag())
+    if not pairs:
+        return None
+    want = ((pairs - 1) // 2, pairs // 2)
+    low = min(float(s.min(initial=np.inf)) for s in by_lag())
+    high = max(float(s.max(initial=-np.inf)) for s in by_lag())
     below, inside = 0, pairs
     while inside > block and low < high:
         middle = low + (high - low) / 2

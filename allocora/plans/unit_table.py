@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allocora.functions import fixed
@@ -31,10 +31,12 @@ def unit_scores(
     averages: Mapping[str, str] = AVERAGES,
     carried: tuple[str, ...] = ("unit_name", "region"),
 ) -> DataFrame:
-    """One row per unit: period count, mean and spread of the score, averages, modal and recent tier.
+    """One row per unit: period count, mean and spread of the known scores, averages, modal and recent tier.
 
     Counting per unit and tier first and combining those rows gives the modal tier
-    and every average from one pass over the scored rows.
+    and every average from one pass over the scored rows. Rows without a score
+    count as periods only. Spreads are combined as count, mean and squared
+    deviations, so that a large mean costs no digits.
     """
     sums = {**{f"_s_{c}": F.sum(c) for c in averages}, **{f"_c_{c}": F.count(c) for c in averages}}
     need, outcome = list(averages)[0], list(averages)[1]
@@ -42,26 +44,47 @@ def unit_scores(
     levels = scored.groupBy(unit, tier).agg(
         F.count("*").alias("_n"),
         F.max(period).alias("_last"),
-        F.sum(score).alias("_score"),
-        F.sum(F.col(score) * F.col(score)).alias("_score2"),
+        F.struct(
+            F.count(score).cast("double").alias("n"),
+            F.coalesce(F.avg(score), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.var_pop(score) * F.count(score), F.lit(0.0)).alias("squares"),
+        ).alias("_score"),
         F.sum(quotient).alias("_q"),
         F.count(quotient).alias("_qn"),
         *[F.first(c).alias(c) for c in carried],
         *[e.alias(n) for n, e in sums.items()],
     )
     n = F.sum("_n")
-    mean = F.sum("_score") / n
-    spread = F.sqrt(F.try_divide(F.greatest(F.sum("_score2") - n * mean * mean, F.lit(0.0)), n - 1))
-    return levels.groupBy(unit).agg(
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    score_of = F.aggregate(F.collect_list("_score"), none, _combined)  # a unit has few tiers
+    units = levels.groupBy(unit).agg(
         *[F.first(c).alias(c) for c in carried],
         n.cast("int").alias("n_periods"),
-        mean.alias("score_mean"),
-        spread.alias("score_std"),
+        score_of.alias("_score"),
         *[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_c_{c}")).alias(name) for c, name in averages.items()],
         F.try_divide(F.sum("_q"), F.sum("_qn")).alias("ratio_mean"),
         F.max_by(tier, F.when(F.col(tier).isNotNull(), F.struct("_n", "_last"))).alias("tier"),
         recent_level(tier, "_last").alias("tier_recent"),
     )
+    known, squares = F.col("_score.n"), F.col("_score.squares")
+    figures = {
+        "score_mean": F.when(known > 0, F.col("_score.mean")),
+        "score_std": F.when(known > 1, F.sqrt(squares / (known - 1))),
+    }
+    after = units.columns.index("_score")
+    return units.select(*units.columns[:after], *[c.alias(name) for name, c in figures.items()], *units.columns[after + 1 :])
+
+
+def _combined(a: Column, b: Column) -> Column:
+    """Count, mean and squared deviations of two sets together."""
+    n = a["n"] + b["n"]
+    apart = b["mean"] - a["mean"]
+    share = F.when(n > 0, b["n"] / n).otherwise(F.lit(0.0))
+    return F.struct(
+        n.alias("n"),
+        (a["mean"] + apart * share).alias("mean"),
+        (a["squares"] + b["squares"] + apart * apart * a["n"] * share).alias("squares"),
+    )
 
 
 def unit_table(scored: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry_module.queries()
 ORACLES = entry_module.oracle_sql()
 # No rows at this size; checked on the next larger tables.
-EMPTY_WHEN_SMALL = {"set_difference", "topk_default_candidate", "report_exclusions"}
+EMPTY_WHEN_SMALL = {"set_difference", "report_exclusions"}
 
 
 @pytest.fixture(scope="module")

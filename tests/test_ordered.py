@@ -111,27 +111,29 @@ def test_relative_position_text(spark):
     assert out[4] == "Better funded than 75% of countries"
 
 
-def brute_gini(x):
-    x = np.sort(x)
-    n = len(x)
-    return (n + 1 - 2 * np.sum(np.cumsum(x)) / x.sum()) / n
+def mean_difference_share(values):
+    """Gini by its definition: the mean absolute difference of all pairs, by twice the mean."""
+    n = len(values)
+    return sum(abs(a - b) for a in values for b in values) / n**2 / (2 * sum(values) / n)
 
 
 @pytest.mark.parametrize("values", [[1.0, 2, 3, 4, 10], [5.0] * 7, [0.0, 0, 0, 8], [0.0, 1, 1, 1, 2, 2, 9]])
-def test_concentration_matches_numpy(spark, values):
+def test_concentration_by_definition(spark, values):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "unit int, v double")
-    x = np.sort(values)
-    n = len(x)
-    cum = np.concatenate([[0.0], np.cumsum(x) / x.sum()])
-    assert gini(df, "v").first().gini == pytest.approx(brute_gini(np.array(values)))
-    points = lorenz(df, "v").orderBy("point").toPandas()
-    np.testing.assert_allclose(points["cum_value"], cum, atol=1e-12)
-    np.testing.assert_allclose(points["cum_units"], np.arange(n + 1) / n)
+    rising, total = sorted(values), sum(values)
+    curve, held = [0.0], 0.0
+    for v in rising:
+        held += v
+        curve.append(held / total)
+    half = next(k for k, share in enumerate(curve) if share >= 0.5)
+    assert gini(df, "v").first().gini == pytest.approx(mean_difference_share(values))
+    points = lorenz(df, "v").orderBy("point").collect()
+    assert [p.cum_value for p in points] == pytest.approx(curve)
+    assert [p.cum_units for p in points] == pytest.approx([k / len(values) for k in range(len(values) + 1)])
     facts = concentration_facts(df, "v", top=2).first()
-    half = int(np.searchsorted(cum, 0.5))
     assert facts.half_index == half
-    assert facts.bottom_half_share == pytest.approx(cum[int(round(0.5 * n))])
-    assert facts.top_share == pytest.approx(x[::-1][:2].sum() / x.sum())
+    assert facts.bottom_half_share == pytest.approx(sum(rising[: round(len(values) / 2)]) / total)
+    assert facts.top_share == pytest.approx(sum(rising[-2:]) / total)
 
 
 def test_concentration_of_nothing(spark):

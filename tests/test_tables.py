@@ -9,7 +9,7 @@ from allocora.functions.labels import p_text, stars
 from allocora.functions.numeric import nan_to_null, ratio, skewness_corrected, to_number
 from allocora.model.within import demean
 from allocora.operators import aggregates as agg
-from allocora.operators import joins, quality, reshape
+from allocora.operators import joins, quality, ranking, reshape
 from allocora.plans import reports
 from allocora.runtime import collect_bounded, drop_stage_tables, scratch_path, small_table, stage
 from allocora.sources import files
@@ -36,13 +36,79 @@ def test_csv_scan_fails_on_mismatch(spark, tmp_path):
 def test_preamble_source(spark, tmp_path):
     path = tmp_path / "wide.csv"
     path.write_text('"Data Source","x",\n\n"Last Updated","y",\n\n"Name","Code","2010","2011",\n"A, B","AAA","1.5","..",\n"C","CCC","","2",\nfooter\n')
-    df = files.read_csv_with_preamble(spark, str(path), 4, "Code", "^[A-Z]{3}$")
+    df = files.read_csv_with_preamble(spark, str(path), 4, "Code", "^[A-Z]{3}$", footer=["footer"])
     assert df.columns == ["Name", "Code", "2010", "2011", "Unnamed: 4"]
     long = reshape.unpivot_years(reshape.drop_columns_like(df, "^Unnamed"), ["Code"], 2010, 2023, "v")
     cells = {(r.Code, r.period): r.v for r in long.withColumn("v", reshape.clean_number("v")).collect()}
     assert cells == {("AAA", 2010): 1.5, ("AAA", 2011): None, ("CCC", 2010): None, ("CCC", 2011): 2.0}
 
 
+@pytest.mark.parametrize("bad", ["A7,6", "4,8,9,10", "7", '"8'])
+def test_preamble_source_rejects_what_is_not_announced(spark, tmp_path, bad):
+    path = tmp_path / "bad.csv"
+    path.write_text(f"Source,x\n\nid,v\n1,5\n{bad}\n3,7\nthe end\n")
+    rows, rejected = files.preamble_rows(spark, str(path), 2, "id", "^[0-9]+$", footer=["the end"])
+    assert sorted((r.id, r.v) for r in rows.collect()) == [("1", "5"), ("3", "7")]
+    assert [r.line for r in rejected.collect()] == [bad]
+    with pytest.raises(files.RejectedRowsError, match="1 rows rejected"):
+        files.read_csv_with_preamble(spark, str(path), 2, "id", "^[0-9]+$", footer=["the end"])
+
+
+def test_preamble_in_every_file(spark, tmp_path):
+    for name, row in (("a.csv", "1,5"), ("b.csv", "2,6")):
+        (tmp_path / name).write_text(f"Source,x\nid,v\n{row}\n")
+    df = files.read_csv_with_preamble(spark, str(tmp_path), 1, "id", "^[0-9]+$")
+    assert sorted((r.id, r.v) for r in df.collect()) == [("1", "5"), ("2", "6")]
+
+
+def test_malformed_json_fails(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"code":"AAA","v":3}\n{"code":"B","v":"x"}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_json_records(spark, str(tmp_path / "r.json"), "code string, v bigint", "code", "v").collect()
+    (tmp_path / "p.json").write_text('[{"page":1},[{"code":"AAA","v":3}]]\n[{"page":2},[{"code":')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_json_pages(spark, str(tmp_path / "p.json"), "code: string, v: bigint", "code", "v").collect()
+    texts = spark.createDataFrame([("{",)], "t string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.records_from_text(texts, "t", "k bigint").collect()
+
+
+def test_nan_in_sources_is_missing(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("name,v\na,NaN\nb,1.5\n")
+    got = files.read_csv(spark, str(tmp_path / "n.csv"), "name string, v double").collect()
+    assert {r.name: r.v for r in got} == {"a": None, "b": 1.5}
+
+
+def test_csv_text_with_header(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, name string")
+    assert [r.line for r in files.csv_text(df, header=True).collect()] == ["id,name", "1,x"]
+
+
+def test_unit_scores_of_unscored_periods_and_large_means(spark):
+    from allocora.plans.unit_table import unit_scores
+
+    rows = [(1, p, s, t) for p, (s, t) in enumerate([(1.0, "H"), (None, "H"), (None, None)])]
+    rows += [(2, p, 1e8 + p / 10, "LH"[p % 2]) for p in range(5)] + [(3, 0, None, "L"), (4, 0, 2.0, "L")]
+    df = spark.createDataFrame(rows, "unit int, period int, score double, tier string")
+    df = df.selectExpr("*", "1D need", "1D outcome", "1D wealth", "1D gov", "'n' unit_name", "'r' region")
+    got = {r.unit: (r.n_periods, r.score_mean, r.score_std) for r in unit_scores(df).collect()}
+    assert got[1] == (3, 1.0, None) and got[3] == (1, None, None) and got[4] == (1, 2.0, None)
+    assert got[2] == (5, pytest.approx(1e8 + 0.2), pytest.approx(0.15811388, rel=1e-6))
+
+
+def test_crosstab_has_every_row_asked_for(spark):
+    df = spark.createDataFrame([("b", "x"), ("b", "y"), (None, "x"), ("z", "x")], "r string, c string")
+    got = agg.crosstab(df, "r", "c", ["x", "y"], rows=["a", "b"]).collect()
+    assert [tuple(r) for r in got] == [("a", 0, 0), ("b", 1, 1)]
+
+
+def test_first_candidate_falls_back(spark):
+    df = spark.createDataFrame([(1, "b", 0.9), (2, "a", 0.5)], "unit int, name string, r2 double")
+    best = [F.col("r2").desc(), F.col("unit")]
+    assert ranking.first_candidate(df, F.col("r2") > 0.3, best, ["name"]).first().unit == 1
+    assert ranking.first_candidate(df, F.col("r2") > 2, best, ["name"]).first().unit == 2
+
+
 def test_json_pages_and_records(spark, tmp_path):
     (tmp_path / "p.json").write_text('[{"page":1},[{"code":"AAA","v":3},{"code":"","v":1},{"code":"BBB","v":null}]]\n')
     rows = files.read_json_pages(spark, str(tmp_path / "p.json"), "code: string, v: bigint", "code", "v").collect()

@@ -131,7 +131,12 @@ def test_exact_rank_sum_by_enumeration(spark):
             tail = sum(x >= max(u, m * n - u) for x in us) / len(us)
             assert rank_sum_two_sided(u, m, n) == pytest.approx(min(1.0, 2 * tail))
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0), ("b", 5.0)], "g string, v double")
-    assert rank_tests.mann_whitney(df, "v", "g", "a", "b") == {"n1": 2, "n2": 3, "u": 0.0, "p": pytest.approx(0.2)}
+    exact = rank_tests.mann_whitney(df, "v", "g", "a", "b", method="exact")
+    assert exact == {"n1": 2, "n2": 3, "u": 0.0, "p": pytest.approx(0.2)}
+    assert rank_tests.mann_whitney(df, "v", "g", "a", "b")["p"] != exact["p"]
+    tied = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 2.0)], "g string, v double")
+    with pytest.raises(ValueError, match="exact"):
+        rank_tests.mann_whitney(tied, "v", "g", "a", "b", method="exact")
 
 
 def test_rank_tests_without_variation(spark):
@@ -139,3 +144,37 @@ def test_rank_tests_without_variation(spark):
     assert rank_tests.kruskal(df, "v", "g", ["a", "b"])["h"] is None
     assert rank_tests.mann_whitney(df, "v", "g", "a", "b")["p"] is None
     assert rank_tests.kruskal(df, "v", "g", ["a", "z"])["h"] is None
+
+
+def test_theil_sen_leaves_out_equal_periods(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 5.0), ("a", 2, 2.0), ("a", 4, 9.0), ("b", 3, 1.0), ("b", 3, 2.0)], "g string, period int, y double")
+    got = {r.g: r.theil_sen for r in trend.theil_sen(df, ["g"], "y").collect()}
+    slopes = sorted([1.0, -3.0, 8 / 3, 4 / 3, 3.5])
+    assert got == {"a": pytest.approx(slopes[2]), "b": None}
+
+
+def test_p_value_of_any_count(spark):
+    rows = [(r2, n) for n in (3, 4, 5, 10, 31, 1000, 3_000_000) for r2 in (0.0, 1e-7, 0.01, 0.3, 0.9, 1.0)]
+    df = spark.createDataFrame(rows, "r2 double, n long")
+    got = {(r.r2, r.n): r.p for r in df.withColumn("p", trend_p_value(F.col("r2"), F.col("n"))).collect()}
+    for r2, n in rows:
+        angle, df_ = math.asin(math.sqrt(r2)), n - 2
+        if n <= 31:
+            # Finite sums of Student's t for whole degrees of freedom.
+            sine, cosine_sq = math.sin(angle), math.cos(angle) ** 2
+            if df_ % 2:
+                term, total = math.cos(angle), 0.0
+                for j in range(1, (df_ - 1) // 2 + 1):
+                    total += term
+                    term *= cosine_sq * 2 * j / (2 * j + 1)
+                inside = (angle + sine * total) * 2 / math.pi
+            else:
+                term, total = 1.0, 0.0
+                for j in range(1, df_ // 2 + 1):
+                    total += term
+                    term *= cosine_sq * (2 * j - 1) / (2 * j)
+                inside = sine * total
+            assert got[r2, n] == pytest.approx(1 - inside, abs=1e-11)
+        elif n == 3_000_000 and r2 < 0.5:
+            z = math.sqrt(r2 * df_ / (1 - r2))
+            assert got[r2, n] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)

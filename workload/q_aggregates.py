@@ -10,6 +10,7 @@ from allocora.operators import aggregates as agg
 from allocora.operators import concentration as conc
 from allocora.operators.trend import enough_history
 from allocora.plans.order_panel import PREDICTORS
+from allocora.plans.unit_table import unit_scores
 from workload.registry import Stages, query, r4up, r6, r9, rnd
 
 MEASURES = ["outcome", "need", "composite", "wealth", "gov"]
@@ -42,6 +43,15 @@ def agg_unit_scores(s: Stages) -> DataFrame:
     )
 
 
+@query("agg_unit_scores_all_periods", """
+SELECT p.unit, CAST(count(*) AS INTEGER) AS n_periods, round(avg(c.score), 6) AS score_mean, round(stddev_samp(c.score), 6) AS score_std
+FROM panel p LEFT JOIN scored c ON c.unit = p.unit AND c.period = p.period GROUP BY p.unit""", uses="scored")
+def agg_unit_scores_all_periods(s: Stages) -> DataFrame:
+    scores = s.scored.select("unit", "period", "score")
+    rows = s.panel.join(scores, ["unit", "period"], "left")
+    return unit_scores(rows).select("unit", "n_periods", *r6("score_mean", "score_std"))
+
+
 @query("agg_region_mean_of_means", """
 SELECT region, round(avg(score_mean), 6) AS mean_score, count(*) AS n FROM units GROUP BY region""", uses="units")
 def agg_region_mean_of_means(s: Stages) -> DataFrame:
@@ -85,10 +95,10 @@ def agg_value_counts(s: Stages) -> DataFrame:
 
 
 @query("agg_crosstab", """
-SELECT profile, count(*) FILTER (tier = 'L') AS "L", count(*) FILTER (tier = 'LM') AS "LM", count(*) FILTER (tier = 'UM') AS "UM", count(*) FILTER (tier = 'H') AS "H"
-FROM units GROUP BY profile""", uses="units")
+SELECT p.profile, count(*) FILTER (tier = 'L') AS "L", count(*) FILTER (tier = 'LM') AS "LM", count(*) FILTER (tier = 'UM') AS "UM", count(*) FILTER (tier = 'H') AS "H"
+FROM (VALUES ('Chronically Underfunded'), ('Underfunded'), ('Adequately Funded'), ('Over-Resourced')) p(profile) LEFT JOIN units u ON u.profile = p.profile GROUP BY p.profile""", uses="units")
 def agg_crosstab(s: Stages) -> DataFrame:
-    return agg.crosstab(s.units, "profile", "tier", fixed.TIER_ORDER)
+    return agg.crosstab(s.units, "profile", "tier", fixed.TIER_ORDER, rows=fixed.PROFILES)
 
 
 def _describe_sql(c: str) -> str:

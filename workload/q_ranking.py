@@ -128,13 +128,14 @@ def sort_multi_key(s: Stages) -> DataFrame:
 
 
 @query("topk_default_candidate", """
-SELECT unit, unit_name, round(r2, 6) AS r2 FROM projection WHERE profile = 'Chronically Underfunded' AND trend_significant AND n_periods = 7
-ORDER BY projection.r2 DESC, unit LIMIT 1""", uses="projection")
+SELECT unit, unit_name, round(r2, 6) AS r2 FROM (
+  SELECT *, coalesce(profile = 'Chronically Underfunded' AND trend_significant AND n_periods = 7, false) AS fit FROM projection) x
+ORDER BY fit DESC, CASE WHEN fit THEN x.r2 END DESC NULLS LAST, CASE WHEN fit THEN unit END NULLS LAST, unit_name, unit LIMIT 1""", uses="projection")
 def topk_default_candidate(s: Stages) -> DataFrame:
-    candidates = s.projection.filter(
-        (F.col("profile") == fixed.PROFILES[0]) & F.col("trend_significant") & (F.col("n_periods") == 7)
-    )
-    return ranking.extremes(candidates, "r2", 1, lowest=False).select("unit", "unit_name", *r6("r2"))
+    fit = (F.col("profile") == fixed.PROFILES[0]) & F.col("trend_significant") & (F.col("n_periods") == 7)
+    best = [F.col("r2").desc_nulls_last(), F.col("unit")]
+    chosen = ranking.first_candidate(s.projection, fit, best, ["unit_name", "unit"])
+    return chosen.select("unit", "unit_name", *r6("r2"))
 
 
 @query("topk_default_trajectory", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +44,16 @@ FROM (SELECT DISTINCT unit FROM panel) u CROSS JOIN y LEFT JOIN panel p ON p.uni
 def src_csv_preamble(s: Stages) -> DataFrame:
     wide = _wide(s)
     path = scratch_path(s.spark, "preamble")
-    header = ",".join(wide.columns[:-1]) + ","
-    head = s.spark.createDataFrame([("\n".join(["Source,orders", "", "Updated,daily", "", header]),)], "line string")
-    head.write.text(f"{path}/head")
-    files.csv_text(wide).write.text(f"{path}/rows")
-    read = files.read_csv_with_preamble(
-        s.spark, f"{path}/rows", 4, "unit", r"^\d+$", head_path=f"{path}/head"
-    )
+    head = ["Source,orders", "", "Updated,daily", "", ",".join(wide.columns[:-1]) + ","]
+    foot = "End of orders"
+
+    def whole_file(batches):
+        """Each task writes a file with preamble, header, rows and footer."""
+        for batch in (pa.RecordBatch.from_pydict({"line": head}), *batches, pa.RecordBatch.from_pydict({"line": [foot]})):
+            yield batch
+
+    files.csv_text(wide).mapInArrow(whole_file, "line string").write.text(path)
+    read = files.read_csv_with_preamble(s.spark, path, 4, "unit", r"^\d+$", footer=[foot])
     clean = reshape.plain_year_headers(reshape.drop_columns_like(read, "^Unnamed"))
     long = reshape.unpivot_years(clean, ["unit"], 1995, 2001, "n_orders")
     return long.withColumn("n_orders", reshape.clean_number("n_orders"))
@@ -105,9 +109,9 @@ def sink_csv_roundtrip(s: Stages) -> DataFrame:
 
 
 @query("sink_csv_text", """
-SELECT concat_ws(',', unit, period, coalesce(tier, '')) AS line FROM panel""")
+SELECT concat_ws(',', unit, period, coalesce(tier, '')) AS line FROM panel UNION ALL SELECT 'unit,period,tier'""")
 def sink_csv_text(s: Stages) -> DataFrame:
-    return files.csv_text(s.panel, ["unit", "period", "tier"])
+    return files.csv_text(s.panel, ["unit", "period", "tier"], header=True)
 
 
 @query("reshape_unpivot", """

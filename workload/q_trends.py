@@ -50,11 +50,12 @@ def label_direction(s: Stages) -> DataFrame:
 
 
 @query("agg_direction_crosstab", """
-SELECT profile, count(*) FILTER (direction = 'Rising') AS "Rising", count(*) FILTER (direction = 'Falling') AS "Falling", count(*) FILTER (direction = 'Flat') AS "Flat" FROM projection GROUP BY profile""", uses="projection")
+SELECT p.profile, count(*) FILTER (direction = 'Rising') AS "Rising", count(*) FILTER (direction = 'Falling') AS "Falling", count(*) FILTER (direction = 'Flat') AS "Flat"
+FROM (VALUES ('Chronically Underfunded'), ('Underfunded'), ('Adequately Funded'), ('Over-Resourced')) p(profile) LEFT JOIN projection q ON q.profile = p.profile GROUP BY p.profile""", uses="projection")
 def agg_direction_crosstab(s: Stages) -> DataFrame:
     from allocora.operators.aggregates import crosstab
 
-    return crosstab(s.projection, "profile", "direction", ["Rising", "Falling", "Flat"])
+    return crosstab(s.projection, "profile", "direction", ["Rising", "Falling", "Flat"], rows=fixed.PROFILES)
 
 
 @query("trend_excluded_units", """
@@ -132,15 +133,28 @@ CHI3 = """(SELECT 1 - 2 / sqrt(pi()) * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN
   FROM generate_series(0, 2000) g(i)) + sqrt(2 * h / pi()) * exp(-h / 2)"""
 
 
-@query("test_kruskal", f"""
-WITH r AS (SELECT profile, rank() OVER (ORDER BY annual_pct) + (count(*) OVER (PARTITION BY annual_pct) - 1) / 2.0 AS r, count(*) OVER () AS n FROM projection),
-h AS (SELECT max(n) AS n, 12.0 / (max(n) * (max(n) + 1)) * sum(s * s / c) - 3 * (max(n) + 1) AS h FROM (SELECT profile, sum(r) AS s, count(*) AS c, max(n) AS n FROM r GROUP BY profile) x)
-FINAL SELECT n, round(h, 6) AS h, round({CHI3}, 6) AS p FROM h""", uses="projection")
-def test_kruskal(s: Stages) -> DataFrame:
-    found = rank_tests.kruskal(s.projection, "annual_pct", "profile", fixed.PROFILES)
+def _kruskal_sql(where: str) -> str:
+    return f"""
+WITH r AS (SELECT profile, rank() OVER (ORDER BY annual_pct) + (count(*) OVER (PARTITION BY annual_pct) - 1) / 2.0 AS r, count(*) OVER () AS n FROM projection WHERE {where}),
+h AS (SELECT max(n) AS n, 12.0 / (max(n) * (max(n) + 1)) * sum(s * s / c) - 3 * (max(n) + 1) AS h, count(*) AS k FROM (SELECT profile, sum(r) AS s, count(*) AS c, max(n) AS n FROM r GROUP BY profile) x)
+FINAL SELECT n, CASE WHEN k = 4 THEN round(h, 6) END AS h, CASE WHEN k = 4 THEN round({CHI3}, 6) END AS p FROM h"""
+
+
+def _kruskal(s: Stages, rows: DataFrame) -> DataFrame:
+    found = rank_tests.kruskal(rows, "annual_pct", "profile", fixed.PROFILES)
     return s.spark.createDataFrame([(found["n"], found["h"], found["p"])], "n bigint, h double, p double").select("n", *r6("h", "p"))
 
 
+@query("test_kruskal", _kruskal_sql("TRUE"), uses="projection")
+def test_kruskal(s: Stages) -> DataFrame:
+    return _kruskal(s, s.projection)
+
+
+@query("test_kruskal_significant", _kruskal_sql("trend_significant"), uses="projection")
+def test_kruskal_significant(s: Stages) -> DataFrame:
+    return _kruskal(s, s.projection.filter("trend_significant"))
+
+
 @query("test_mannwhitney", """
 WITH r AS (SELECT profile, rank() OVER (ORDER BY annual_pct) + (count(*) OVER (PARTITION BY annual_pct) - 1) / 2.0 AS r
   FROM projection WHERE profile IN ('Chronically Underfunded', 'Over-Resourced')),
@@ -150,7 +164,7 @@ z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2
 FINAL SELECT n1, n2, round(u, 6) AS u, round((SELECT 1 - 2 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(i * z / 2000, 2) / 2)) * (z / 2000) / 3 / sqrt(2 * pi())
   FROM generate_series(0, 2000) g(i)), 6) AS p FROM z""", uses="projection")
 def test_mannwhitney(s: Stages) -> DataFrame:
-    found = rank_tests.mann_whitney(s.projection, "annual_pct", "profile", fixed.PROFILES[0], fixed.PROFILES[3])
+    found = rank_tests.mann_whitney(s.projection, "annual_pct", "profile", fixed.PROFILES[0], fixed.PROFILES[3], method="asymptotic")
     row = (found["n1"], found["n2"], found["u"], found["p"])
     return s.spark.createDataFrame([row], "n1 bigint, n2 bigint, u double, p double").select("n1", "n2", *r6("u", "p"))
 

@@ -69,7 +69,7 @@ class Stages:
 
     @property
     def model(self) -> DataFrame:
-        return op.model_frame(self.panel)
+        return self._once("model", lambda: self._bucketed(op.model_frame(self.panel), "model"))
 
     @property
     def solution(self) -> Solution:
