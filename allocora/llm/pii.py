@@ -201,7 +201,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
 
     Plain spans are those of the patterns on the text as it is. A span found in the
     normalised text counts as disguised if the source reads differently there and
-    no plain span of its kind overlaps it.
+    it holds any plain span of its kind that it meets, and more.
     """
     if not text:
         return []
@@ -212,7 +212,8 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         clear, starts, ends = mapped
         for start, kind, end in plain_spans(clear):
             a, b = starts[start], ends[end - 1]
-            if text[a:b] != clear[start:end] and not any(k == kind and s < b and a < e for s, k, e in plain):
+            met = [(s, e) for s, k, e in plain if k == kind and s < b and a < e]
+            if text[a:b] != clear[start:end] and all(a <= s and e <= b and (s, e) != (a, b) for s, e in met):
                 found.append((a, kind, b, True))
     return [(KINDS[kind], start, end, disguised) for start, kind, end, disguised in sorted(found)]
 

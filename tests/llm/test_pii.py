@@ -47,7 +47,6 @@ def test_plain_spans_equal_the_patterns(letters):
         ("write john.smith [at] mail (dot) example [dot] com now", "email", "john.smith [at] mail (dot) example [dot] com"),
         ("ask john at example dot com today", "email", "john at example dot com"),
         ("mail jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
-        ("mail jo​hn@example.com", "email", "jo​hn@example.com"),
         ("call plus one five five five two three four five six seven eight", "phone", "plus one five five five two three four five six seven eight"),
         ("card four" + " one" * 15 + " ok", "card", "four" + " one" * 15),
         ("９８.12.4.5 x", "ip", "９８.12.4.5"),
@@ -69,6 +68,15 @@ def test_plain_spans_stay_beside_disguised_ones():
     assert [(k, text[a:b], d) for k, a, b, d in pii.spans(text)] == [("email", "a@b.cd", False), ("email", "c [at] d [dot] ef", True)]
 
 
+def test_disguised_span_may_hold_a_plain_one():
+    text = "mail jo\u200bhn@example.com now"
+    assert [(k, text[a:b], d) for k, a, b, d in pii.spans(text)] == [
+        ("email", "jo\u200bhn@example.com", True),
+        ("email", "hn@example.com", False),
+    ]
+    assert pii.redacted(text) == "mail [EMAIL] now"
+
+
 def test_long_texts_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000, "a@" * 150_000, "1." * 150_000, "one " * 50_000, "+1" * 150_000, "a at " * 50_000):
         pii.spans(text)

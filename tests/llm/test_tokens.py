@@ -18,8 +18,10 @@ WORDS, BYTES = tokenizer("word_bpe_49k.json"), tokenizer("byte_bpe_50k.json")
 def ids_of(path, text, end):
     from tokenizers import Tokenizer
 
-    made = ids_of.made.setdefault(path, Tokenizer.from_file(path))
-    made.encode_special_tokens = True
+    if path not in ids_of.made:
+        ids_of.made[path] = Tokenizer.from_file(path)
+        ids_of.made[path].encode_special_tokens = True
+    made = ids_of.made[path]
     return np.array([*made.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
