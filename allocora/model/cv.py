@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from allocora.model.gram import grams_by, make_design, solve
 from allocora.model.spec import ModelSpec
 from allocora.operators.ordered import with_order
-from allocora.runtime import collect_bounded
+from allocora.runtime import collect_bounded, small_table
 
 
 def key_fold(df: DataFrame, unit: str, k: int = 5, fold: str = "fold") -> DataFrame:
@@ -58,16 +58,17 @@ def balanced_fold(df: DataFrame, unit: str, k: int = 5, fold: str = "fold") -> D
     classes = collect_bounded(sizes.groupBy("_size").count(), 100_000, "unit sizes")
     sequences = fold_order([(r["_size"], r["count"]) for r in classes], k)
     placed = with_order(sizes, unit, {"_at": F.col("before")}, ["_size"])
-    choice = None
-    for size, sequence in sequences.items():
-        start = max(len(sequence) - k, 0)
-        folds = F.array(*[F.lit(f) for f in sequence])
-        at = F.when(F.col("_at") < start, F.col("_at")).otherwise(start + (F.col("_at") - start) % k)
-        picked = F.get(folds, at.cast("int"))
-        here = F.col("_size") == size
-        choice = F.when(here, picked) if choice is None else choice.when(here, picked)
-    folds = placed.select(unit, choice.alias(fold))
-    return df.join(folds, unit)
+    spark = df.sparkSession
+    # A row per place of the sequences; a sequence is a start and one cycle, however many units there are.
+    places = [(size, at, f) for size, sequence in sequences.items() for at, f in enumerate(sequence)]
+    starts = [(size, max(len(sequence) - k, 0)) for size, sequence in sequences.items()]
+    place_of = small_table(spark.createDataFrame(places, f"_size int, _place long, `{fold}` int"))
+    start_of = small_table(spark.createDataFrame(starts, "_size int, _start long"))
+    turn = F.col("_start") + (F.col("_at") - F.col("_start")) % k
+    at_place = placed.join(start_of, "_size").withColumn(
+        "_place", F.when(F.col("_at") < F.col("_start"), F.col("_at")).otherwise(turn)
+    )
+    return df.join(at_place.join(place_of, ["_size", "_place"]).select(unit, fold), unit)
 
 
 def group_cv(df: DataFrame, spec: ModelSpec, fold: str = "fold") -> DataFrame:

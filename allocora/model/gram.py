@@ -19,20 +19,21 @@ from allocora.model.spec import Design, ModelSpec, dummy_name
 from allocora.runtime import collect_bounded
 
 MAX_CELLS = 200_000
+MAX_LEVELS = 10_000
 ALIAS_TOLERANCE = 1e-10
 
 
 def make_design(df: DataFrame, spec: ModelSpec) -> Design:
-    """Centres of the numeric terms and levels of the categorical ones, in one pass."""
+    """Centres of the numeric terms and levels of the categorical ones; a categorical has a bounded number of levels."""
     terms = spec.numeric_terms
     row = df.agg(
         F.avg(F.col(spec.outcome)).alias("_y"),
         *[F.avg(spec.term_column(t)).alias(f"_c{i}") for i, t in enumerate(terms)],
-        *[F.collect_set(c).alias(f"_l{i}") for i, (c, _) in enumerate(spec.categorical)],
     ).first()
     levels, references = {}, {}
-    for i, (c, reference) in enumerate(spec.categorical):
-        levels[c] = sorted(row[f"_l{i}"])
+    for c, reference in spec.categorical:
+        found = collect_bounded(df.select(c).filter(F.col(c).isNotNull()).distinct(), MAX_LEVELS, f"levels of {c}")
+        levels[c] = sorted(r[0] for r in found)
         present = reference in levels[c]
         references[c] = reference if present else (levels[c][0] if levels[c] else None)
     centres = {t: float(row[f"_c{i}"] or 0.0) for i, t in enumerate(terms)}

@@ -157,6 +157,28 @@ def cv_balanced_folds(s: Stages) -> DataFrame:
     return cv.balanced_fold(s.model.select("unit", "period"), "unit").select("unit", "fold").distinct()
 
 
+CV_BALANCED_SQL = BALANCED_SQL[: BALANCED_SQL.index("FINAL")].rstrip() + """,
+dealt AS MATERIALIZED (SELECT m.*, w.fold FROM model m JOIN walk w ON w.unit = m.unit),
+""" + sql.ols("cv", "(SELECT m.* EXCLUDE (fold), f.fold FROM dealt m JOIN (SELECT unnest(range(5)) AS fold) f ON m.fold <> f.fold) t",
+    sql.design_list(), 16, group="fold", cov=False).lstrip() + """,
+held AS (SELECT t.fold, t.log_outcome AS y, t.log_outcome - list_dot_product(""" + sql.design_list() + """, q.b) AS e
+  FROM dealt t JOIN cv_b q ON q.g = t.fold),
+folds AS (SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, avg(abs(e)) AS mae FROM held GROUP BY fold)
+FINAL """
+
+
+@query("model_group_cv_balanced", CV_BALANCED_SQL + "SELECT fold, n, round(r2, 6) AS r2, round(mae, 6) AS mae FROM folds", uses="model")
+def model_group_cv_balanced(s: Stages) -> DataFrame:
+    return cv.group_cv(cv.balanced_fold(s.model, "unit"), SPEC).select("fold", "n", *r6("r2", "mae"))
+
+
+@query("model_group_cv_balanced_summary", CV_BALANCED_SQL + """
+SELECT round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std FROM folds""", uses="model")
+def model_group_cv_balanced_summary(s: Stages) -> DataFrame:
+    folds = cv.group_cv(cv.balanced_fold(s.model, "unit"), SPEC)
+    return cv.cv_summary(folds).select(*r6("r2_mean", "r2_std", "mae_mean", "mae_std"))
+
+
 INTER_LIST = sql.design_list((*sql.NUMERICS, f"need * (period >= {SPLIT_PERIOD})::INT"))
 INTER_SQL = "WITH " + sql.ols("ix", "model", INTER_LIST, 17) + f""",
 cell AS (SELECT b.b[2] AS pre, b.b[8] AS shift, v22.v AS v22, v88.v AS v88, v28.v AS v28 FROM ix_b b
