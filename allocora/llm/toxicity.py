@@ -29,6 +29,7 @@ RIDGE = 1e-4
 SUPPORT, EXPECTED, IMPURITY = 3, 12, 0.02
 #: Subsequences of three letters within this many characters; each character skipped counts as DECAY.
 SPAN, DECAY = 5, 0.6
+TILT = 0.01
 #: One text in this many sets the probabilities.
 APART = 3
 #: Decision values below count as this one: far from any insult.
@@ -178,7 +179,9 @@ class Model:
         return out
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
-        return np.interp(decision, self.knots, self.shares)
+        """The curve, tilted a little, so that a larger decision value always counts for more."""
+        share = np.interp(decision, self.knots, self.shares)
+        return (1 - TILT) * share + TILT / (1 + np.exp(-np.asarray(decision, np.float64)))
 
 
 def fragments(text: str | None) -> set[str]:
@@ -209,22 +212,18 @@ def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _curve(decision: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising curve from decision values to probabilities: neighbours whose shares fall are pooled."""
+    """Rising curve from decision values to probabilities: neighbours whose shares fall are pooled, between pools it is straight."""
     order = np.argsort(decision, kind="stable")
-    pools: list[list[float]] = []  # sum of decisions, toxic ones, all
-    last = None
+    pools: list[tuple[float, float, int, int]] = []  # least and largest decision, toxic ones, all
     for x, t in zip(decision[order].tolist(), toxic[order].tolist(), strict=True):
-        if x == last:
-            pools[-1] = [pools[-1][0] + x, pools[-1][1] + t, pools[-1][2] + 1]
-        else:
-            pools.append([x, float(t), 1.0])
-        last = x
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            more = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], more, strict=True)]
-    knots = np.array([x / n for x, _, n in pools])
+        low, high, up, n = x, x, int(t), 1
+        while pools and (pools[-1][1] == low or pools[-1][2] * n >= up * pools[-1][3]):
+            low, _, more, count = pools.pop()
+            up, n = up + more, n + count
+        pools.append((low, high, up, n))
     prior = toxic.mean()
-    return knots, np.maximum.accumulate(np.array([(t + prior) / (n + 1) for _, t, n in pools]))
+    shares = np.maximum.accumulate([(up + prior) / (n + 1) for *_, up, n in pools])
+    return np.array([x for low, high, *_ in pools for x in (low, high)]), np.repeat(shares, 2)
 
 
 def _different(texts: list[set[str]]) -> list[set[str]]:
@@ -310,7 +309,10 @@ def fit(texts: list[tuple[bool, set[str]]], seed: int = 5) -> Model:
     apart = sorted({w for _, found in kept_apart for w in found})
     known.update(zip(apart, model.decide(apart).tolist(), strict=True))
     worst = np.array([max((known[w] for w in found), default=model.floor) for _, found in kept_apart])
-    return Model(model.weights, model.bias, *_curve(worst, np.array([t for t, _ in kept_apart], bool)))
+    # A witness is a text of its own, too: few texts hold just one of the rarer ones.
+    worst = np.concatenate([worst, [known[w] for w in sure]])
+    toxic = np.array([t for t, _ in kept_apart] + [True] * len(sure), bool)
+    return Model(model.weights, model.bias, *_curve(worst, toxic))
 
 
 def trained(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder: int = 1) -> Model:
