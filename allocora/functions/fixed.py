@@ -110,6 +110,19 @@ SUMMARY_SENTENCES = {
 }
 REGION_SHARE_MIN_UNITS = 5
 
+# Where a unit lies among the others.
+POSITION_TEXTS = {
+    "below": ("More underfunded than ", " of countries"),
+    "above": ("Better funded than ", " of countries"),
+    "on": "Right on the model line",
+}
+
+# Words for how a trend, a gap and the size of a gap move.
+DIRECTION_WORDS = ("Rising", "Falling", "Flat")
+GAP_WORDS = ("closing", "widening", "flat")
+ABS_GAP_WORDS = ("Too few years", "Narrowing", "Widening", "Steady")
+MAP_MARKER = "thin data"
+
 # Words of the colour scale's ticks.
 SCALE_WORDS = {
     "zero": "as predicted",

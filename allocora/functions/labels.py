@@ -13,23 +13,21 @@ from allocora.functions.text import as_column
 
 def direction(annual_pct: Column | str, band: float = fixed.DIRECTION_PCT) -> Column:
     pct = as_column(annual_pct)
-    return F.when(pct > band, "Rising").when(pct < -band, "Falling").otherwise("Flat")
+    up, down, level = fixed.DIRECTION_WORDS
+    return F.when(pct > band, up).when(pct < -band, down).otherwise(level)
 
 
 def gap_status(gap: Column | str, slope: Column | str) -> Column:
     """Whether a gap moves toward zero; looks at the direction now, not past a crossing."""
     move = as_column(gap) * as_column(slope)
-    return F.when(move < 0, "closing").when(move > 0, "widening").otherwise("flat")
+    closing, widening, level = fixed.GAP_WORDS
+    return F.when(move < 0, closing).when(move > 0, widening).otherwise(level)
 
 
 def abs_gap_trend(slope: Column | str, n: Column | str, band: float = fixed.ABS_GAP_SLOPE) -> Column:
     s = as_column(slope)
-    return (
-        F.when(as_column(n) < 3, "Too few years")
-        .when(s < -band, "Narrowing")
-        .when(s > band, "Widening")
-        .otherwise("Steady")
-    )
+    few, narrowing, widening, steady = fixed.ABS_GAP_WORDS
+    return F.when(as_column(n) < 3, few).when(s < -band, narrowing).when(s > band, widening).otherwise(steady)
 
 
 def stars(p: Column | str) -> Column:

@@ -55,11 +55,15 @@ def relative_position(units: DataFrame, score: str) -> DataFrame:
     return placed.withColumn("position", position_text(F.col(score), F.col("below"), F.col("above")))
 
 
+def _between(words: tuple[str, str], text: Column) -> Column:
+    return F.concat(F.lit(words[0]), text, F.lit(words[1]))
+
+
 def position_text(score: Column, below: Column, above: Column) -> Column:
     return (
-        F.when(score < 0, F.concat(F.lit("More underfunded than "), percent(above), F.lit(" of countries")))
-        .when(score > 0, F.concat(F.lit("Better funded than "), percent(below), F.lit(" of countries")))
-        .when(score == 0, "Right on the model line")
+        F.when(score < 0, _between(fixed.POSITION_TEXTS["below"], percent(above)))
+        .when(score > 0, _between(fixed.POSITION_TEXTS["above"], percent(below)))
+        .when(score == 0, fixed.POSITION_TEXTS["on"])
     )
 
 

@@ -67,7 +67,7 @@ def thin_headline_units(units: DataFrame) -> DataFrame:
 
 
 def map_rows(units: DataFrame) -> DataFrame:
-    marker = F.when(F.col("thin_data"), "thin data").otherwise("")
+    marker = F.when(F.col("thin_data"), fixed.MAP_MARKER).otherwise("")
     return relative_position(units, "score_mean").withColumn("marker", marker)
 
 

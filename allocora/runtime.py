@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_TABLE_ROWS = 10_000
+SMALL_TABLE_BYTES = 32 << 20
 
 _local_scratch: dict[str, str] = {}
 _stage_tables: dict[str, list[str]] = {}
@@ -78,7 +79,7 @@ def stage(
     path = scratch_path(spark, label)
     if bucket_by is None:
         df.write.parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     table = f"allocora_{label}_{uuid.uuid4().hex}"
     (
         (df if partitioned else by_unit(df, bucket_by))
@@ -99,14 +100,14 @@ def drop_stage_tables(spark: SparkSession) -> None:
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it is proven to have at most ``max_rows`` rows.
+    """Broadcast ``df`` if it is proven to have at most ``max_rows`` rows and ``SMALL_TABLE_BYTES`` bytes.
 
     One bounded fetch both proves the size and keeps the rows. Beyond the bound
     the frame comes back as it was and the join stays a shuffle join, which
     adaptive execution splits where a key is hot.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > SMALL_TABLE_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 

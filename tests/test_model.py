@@ -178,6 +178,12 @@ def test_balanced_folds_on_frame(data):
     assert {r.unit: r.fold for r in out} == expected
 
 
+def test_balanced_folds_with_one_very_large_unit(spark):
+    df = spark.range(3000).selectExpr("IF(id < 2000, 0, id) AS unit", "id AS period")
+    loads = {r.fold: r["count"] for r in cv.balanced_fold(df, "unit").groupBy("fold").count().collect()}
+    assert loads == {0: 2000, 1: 250, 2: 250, 3: 250, 4: 250}
+
+
 def test_coefficient_table(spark, data):
     _, df = data
     rows = score.coefficient_rows(spark, cluster.cluster_fit(df, gram.fit(df, SPEC)))
