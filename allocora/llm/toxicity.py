@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -16,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from allocora.llm.common import fold
+from allocora.llm.common import fold, least_hashed
 from allocora.runtime import small_table
 
 #: Labelled documents the machine is fitted on, toxic and not, and the longest text among them, in bytes.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2500, 5000, 200_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 40_000
 #: Landmarks from either side, rounds of picking witnesses and hard negatives, and their number.
 LANDMARKS, ROUNDS, NEGATIVES = 128, 3, 2000
 RIDGE = 1e-4
@@ -323,10 +324,12 @@ def trained(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", modulus) != held_remainder))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = (F.xxhash64("doc_id"), "doc_id")
-    chosen = known.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(
-        known.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN)
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    up, down = (
+        least_hashed(known.filter(F.col("toxic") == side), want, counts.get(side, 0), "doc_id")
+        for side, want in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
     )
+    chosen = up.unionByName(down)
     chosen = small_table(chosen.select(F.col("doc_id").alias("__doc"), "toxic"))
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(chosen, F.col("doc_id") == F.col("__doc"))
 
@@ -342,7 +345,10 @@ def trained(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder
         .limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
         .toArrow()
     )
-    return fit([(t == 1, set(f.split())) for t, f in zip(table["toxic"].to_pylist(), table["found"].to_pylist(), strict=True)])
+    # One object per word, however many texts hold it: the driver keeps the words of all of them.
+    texts = [(t.as_py() == 1, set(map(sys.intern, f.as_py().split()))) for t, f in zip(table["toxic"], table["found"], strict=True)]
+    del table
+    return fit(texts)
 
 
 _decided: dict[str, float] = {}
