@@ -139,6 +139,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(df: DataFrame, want: int, total: int, *columns: str) -> DataFrame:
+    """About ``want`` of ``total`` rows at most: those with the least hashes of ``columns``, ties by the columns.
+
+    Rows far above the cut are dropped where they are read, so that tasks do not
+    each hand on ``want`` rows. Small tables are taken whole.
+    """
+    share = min(1.0, (2 * want + 100) / max(total, 1))
+    cut = int(-(2.0**63) + share * 2.0**64)
+    hashed = F.xxhash64(*columns)
+    near = df if share >= 1 else df.filter(hashed < F.lit(cut))
+    return near.orderBy(hashed, *columns).limit(want)
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
