@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import heapq
+import math
 import re
 import sys
 import unicodedata
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,10 @@ RIDGE = 1e-4
 #: A witness is found in this many different toxic texts at least, would be expected in this many clean
 #: ones by chance, and is found in this share of them at most.
 SUPPORT, EXPECTED, IMPURITY = 3, 12, 0.02
+#: So many of all words, were they ordinary, may be found in toxic texts as often as a witness by chance.
+CHANCE = 10
+#: Texts whose sets of fragments have this Jaccard similarity count as one.
+ALIKE = 0.8
 #: Subsequences of three letters within this many characters; each character skipped counts as DECAY.
 SPAN, DECAY = 5, 0.6
 TILT = 0.01
@@ -227,33 +232,55 @@ def _curve(decision: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([x for low, high, *_ in pools for x in (low, high)]), np.repeat(shares, 2)
 
 
-def _different(texts: list[set[str]]) -> list[set[str]]:
-    """One of each group of texts with much the same fragments: those that share one of a few least hashes."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for found in texts:
-        hashes = [zlib.crc32(w.encode()) for w in found]
-        least = {(k, min(h * (2 * k + 1) * 2654435761 % 4294967291 for h in hashes)) for k in range(4)} if found else set()
-        if not least & seen:
-            out.append(found)
-        seen |= least
+def _different(texts: list[set[str]]) -> list[frozenset[str]]:
+    """One of each group of copies: of equal sets of fragments, and of those at a Jaccard similarity of ``ALIKE`` or more.
+
+    Two sets that much alike share a word among the rarest 1 - ``ALIKE`` of either;
+    those that do are compared, with the ones kept only, so no copy is missed and
+    nothing else is dropped.
+    """
+    sets = list(dict.fromkeys(map(frozenset, texts)))
+    held = Counter(w for found in sets for w in found)
+    by_word: dict[str, list[int]] = defaultdict(list)
+    out: list[frozenset[str]] = []
+    for found in sets:
+        size = len(found)
+        # a little below the share, so that rounding takes no word away
+        rarest = heapq.nsmallest(size - math.ceil(ALIKE * size - 1e-9) + 1, found, key=lambda w: (held[w], w))
+        near = {at for w in rarest for at in by_word[w] if ALIKE * size <= len(out[at]) + 1e-9 and ALIKE * len(out[at]) <= size + 1e-9}
+        if any(len(found & out[at]) >= ALIKE * len(found | out[at]) for at in near):
+            continue
+        for w in rarest:
+            by_word[w].append(len(out))
+        out.append(found)
     return out
 
 
+def _by_chance(c: int, d: int, share: float) -> float:
+    """How likely ``c`` or more of ``c`` + ``d`` texts are toxic ones if each is with probability ``share``."""
+    n = c + d
+    odds, rest = math.log(share), math.log1p(-share)
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * odds + (n - k) * rest) for k in range(c, n + 1))
+
+
 def witnesses(toxic: list[set[str]], down: Counter, n_down: int) -> list[str]:
     """Fragments that tell toxic texts, the most frequent first.
 
     Copies of a text count once, so that the other words of a text with an insult
-    are not taken for one. A fragment must be found so often that clean texts would
-    hold it too if it were not an insult, and hardly be found there.
+    are not taken for one; every other text counts. A fragment must be found so
+    often that clean texts would hold it too if it were not an insult, and hardly be
+    found there. Of many ordinary words a few are found in toxic texts only by
+    chance: one counts only if no more than ``CHANCE`` of all words would come out so.
     """
     different = _different(toxic)
     up = Counter(w for found in different for w in found)
     expected = n_down / max(1, len(different))
+    share = len(different) / max(1, len(different) + n_down)
+    tried = sum(up[w] + down[w] >= SUPPORT for w in up.keys() | down.keys())
     return [
         w
         for w, c in sorted(up.items(), key=lambda x: (-x[1], x[0]))
-        if c >= SUPPORT and c * expected >= EXPECTED and down[w] <= IMPURITY * c * expected
+        if c >= SUPPORT and c * expected >= EXPECTED and down[w] <= IMPURITY * c * expected and tried * _by_chance(c, down[w], share) <= CHANCE
     ]
 
 

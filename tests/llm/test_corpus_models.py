@@ -56,6 +56,40 @@ def test_inserted_letter_is_stepped_over(machine):
     assert worst(machine, "blarxghed") > worst(machine, "gordalem") + 0.5
 
 
+def test_only_copies_are_dropped():
+    draw = random.Random(7)
+    texts = [{"the", "and", *(prose(draw, 30).lower().split())} for _ in range(300)]
+    near = [t - {sorted(t)[0]} | {"other"} for t in texts[:40]]
+    far = [set(sorted(t)[: len(t) // 2]) | {f"new{i}" for i in range(10)} for t in texts[40:80]]
+    mixed = [*texts, *texts[:20], *near, *far, set(), set()]
+    alike = lambda a, b: a == b or len(a & b) >= toxicity.ALIKE * len(a | b)
+    kept = []
+    for t in mixed:
+        if not any(alike(t, k) for k in kept):
+            kept.append(t)
+    assert toxicity._different(mixed) == kept
+    assert len(kept) >= len(texts) + len(far)
+
+
+def test_every_different_text_counts_for_a_witness():
+    draw = random.Random(8)
+    up = [{"the", "and", "of", *draw.sample(range(400), 20)} for _ in range(300)]
+    up = [{str(w) for w in t} | ({"snorvik"} if i % 30 == 0 else set()) for i, t in enumerate(up)]
+    down = [{"the", "and", "of", *map(str, draw.sample(range(400), 20))} for _ in range(2000)]
+    counts = Counter(w for t in down for w in t)
+    assert toxicity.witnesses(up, counts, len(down)) == ["snorvik"]
+    assert toxicity.witnesses(up[:1] * 500, counts, len(down)) == []
+
+
+def test_rare_words_are_no_witnesses_by_chance():
+    draw = random.Random(9)
+    texts = [{f"w{draw.randrange(40_000)}" for _ in range(60)} for _ in range(2400)]
+    counts = Counter(w for t in texts[300:] for w in t)
+    up = Counter(w for t in texts[:300] for w in t)
+    assert sum(c >= toxicity.SUPPORT and w not in counts for w, c in up.items()) > 15
+    assert len(toxicity.witnesses(texts[:300], counts, 2100)) <= 5
+
+
 def test_kernel_of_unit_vectors():
     marks = toxicity.Landmarks(["idiot", "moron", "banana"])
     kernel = marks.kernel(["idiot", "idixot", "xyz", "banana", ""])
