@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS, weights: tu
         .withColumn("left", F.col("left") - F.sum("cap").over(by_cap) + F.col("cap"))
         .withColumn("weights_left", F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("capped", F.col("cap") * F.col("weights_left") <= F.col("left") * F.col("weight"))
-        .withColumn("first", F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "weights_left", "left"))).over(Window.partitionBy()))
+        .withColumn("first", F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), -F.col("weights_left"), "weights_left", "left"))).over(Window.partitionBy()))
     )
     shared = F.col("weight") * F.col("first.left") / F.col("first.weights_left")
     return ordered.select(

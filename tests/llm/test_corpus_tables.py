@@ -118,6 +118,14 @@ def test_targets_equal_sharing_again_and_again(spark, seed):
     assert sum(r["target"] for r in found) == pytest.approx(sum(sizes.values()))
 
 
+@pytest.mark.parametrize("sizes", [[100] * 6, [100, 200, 300], [100, 200, 300, 100, 200, 300, 1, 0]])
+def test_tied_sources_share_alike(spark, sizes):
+    sizes = {f"s{k}": n for k, n in enumerate(sizes)}
+    found = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in found} == pytest.approx(waterfill(sizes))
+    assert sum(r["target"] for r in found) == pytest.approx(sum(sizes.values()))
+
+
 def test_mix_comes_near_its_targets(spark):
     draw = random.Random(3)
     data = [(i, prose(draw, 20), "en", f"s{i % 5 * (i % 2)}", 0) for i in range(4000)]
