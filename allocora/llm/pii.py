@@ -87,6 +87,13 @@ AT_WORDS = ("at", "arroba", "arobase")
 DOT_WORDS = ("dot", "point", "punkt", "punto")
 #: "look at the dot" names no host.
 ARTICLES = ("the", "a", "an", "this", "that")
+#: "available at example.com" is no address: words that come before a place.
+BEFORE_PLACE = frozenset(
+    "look looks looked looking see visit online available found find read more info information details us me you him her them it here "
+    "shop shops shopped shopping buy bought order ordered sold work works worked working live lives meet stay site website page and or".split()
+)
+#: Ends of a host after a spoken at and a written dot, besides those of two letters.
+HOST_ENDS = frozenset("com org net edu gov mil int info biz name pro app dev cloud online site shop blog tech".split())
 #: Words and digits in a row that are read as one number.
 LEAST_SPELLED = 7
 
@@ -102,7 +109,7 @@ _SIGN_WORD = "|".join(SIGN_WORDS)
 _THREE_WORDS = re.compile(rf"(?:{_NUMBER_WORD})[\x20.-]+(?:{_NUMBER_WORD}|{_SIGN_WORD}|[0-9]+)[\x20.-]+(?:{_NUMBER_WORD})")
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER_WORD}|{_SIGN_WORD}|\+?[0-9]+)(?!\w)[\x20.-]*)+")
 _TOKEN = re.compile(r"(?i)[^\W\d_]+|\+?[0-9]+|[.-]")
-_HAS_AT = re.compile(rf"(?i)\x20(?:{_AT})\x20|[\[({{<][\x20\t]*(?:{_AT}|{_DOT}|[@.])[\x20\t]*[\])}}>]")
+_HAS_AT = re.compile(rf"(?i)\x20(?:{_AT})\x20|[\[({{<][\x20\t]*(?:{_AT}|{_DOT}|[@.])[\x20\t]*[\])}}>]|@[A-Za-z0-9.-]++\x20++(?:{_DOT})\x20")
 _SPOKEN_DOT = re.compile(rf"(?i)\x20(?:{_DOT})\x20")
 
 Mapped = tuple[str, list[int], list[int]]  # text, and for each character the source's start and end
@@ -148,10 +155,24 @@ def _signs(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "@" if m[1] else "."
 
 
+def _written_host(name: str, sign: str, host: str) -> bool:
+    """Whether name, at as a word and a host with written dots are an address.
+
+    The host ends in two letters or one of ``HOST_ENDS``, in lower case or all of it
+    in upper case ("at work.It" is a sentence's end), and the word before is none of
+    ``BEFORE_PLACE``.
+    """
+    end = host.rpartition(".")[2]
+    known = len(end) == 2 or end.lower() in HOST_ENDS
+    return sign != "@" and known and (end.islower() or host.isupper()) and name.lower() not in BEFORE_PLACE
+
+
 def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
-    """name at host dot tld."""
+    """name at host dot tld; name at host.tld under the rule of ``_written_host``."""
     for m in _SPOKEN.finditer(text):
-        if not _SPOKEN_DOT.search(m[4]) or m[3].lower() in ARTICLES or not m[4].rpartition(" ")[2].rpartition(".")[2].isalpha():
+        if m[3].lower() in ARTICLES or not m[4].rpartition(" ")[2].rpartition(".")[2].isalpha():
+            continue
+        if not _SPOKEN_DOT.search(m[4]) and not _written_host(m[1], m[2], m[3] + m[4]):
             continue
         for sign in _SPOKEN_SIGN.finditer(text, m.start(2), m.end()):
             yield sign.start(), sign.end(), "@" if sign[1] else "."

@@ -58,6 +58,21 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert pii.redacted(text) == text.replace(source, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(
+    "source",
+    ["john@example dot com", "john@mail-1 dot example dot com", "JOHN@EXAMPLE  DOT  COM", "john at example.com", "j.doe at mail.example.co.uk", "JOHN AT EXAMPLE.COM", "juan arroba ejemplo.es"],
+)
+@pytest.mark.parametrize("around", ["{}", "({}) gorda", "lemnu {} gorda", "we met at noon, {} gorda"])
+def test_half_spoken_addresses_stand_alone(source, around):
+    text = around.format(source)
+    assert [(k, text[a:b], d) for k, a, b, d in pii.spans(text)] == [("email", source, True)]
+
+
+@pytest.mark.parametrize("text", ["available at example.com", "back at work.It rained", "see us at example.org", "error at main.html", "at example.com"])
+def test_places_are_no_addresses(text):
+    assert pii.spans(text) == []
+
+
 @pytest.mark.parametrize("text", ["look at the dot com", "one two three", "she ran at dawn", "un deux trois soleil", "Straße at Ñandú"])
 def test_plain_prose_is_left_alone(text):
     assert pii.spans(text) == []
