@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -107,6 +108,10 @@ _SPOKEN_SIGN = re.compile(rf"(?i)\x20+(?:({_AT})|({_DOT}))\x20+")
 _NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SIGN_WORD = "|".join(SIGN_WORDS)
 _THREE_WORDS = re.compile(rf"(?:{_NUMBER_WORD})[\x20.-]+(?:{_NUMBER_WORD}|{_SIGN_WORD}|[0-9]+)[\x20.-]+(?:{_NUMBER_WORD})")
+# Two groups of digits and a dot between, one of the three as a word.
+_DOTTED_WORDS = re.compile(
+    rf"(?:{_NUMBER_WORD}|[0-9])[\x20-]+(?:{_DOT})[\x20-]+(?:{_NUMBER_WORD}|[0-9])|(?:{_NUMBER_WORD})\.(?:{_NUMBER_WORD}|[0-9])|[0-9]\.(?:{_NUMBER_WORD})"
+)
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER_WORD}|{_SIGN_WORD}|\+?[0-9]+)(?!\w)[\x20.-]*)+")
 _TOKEN = re.compile(r"(?i)[^\W\d_]+|\+?[0-9]+|[.-]")
 _HAS_AT = re.compile(rf"(?i)\x20(?:{_AT})\x20|[\[({{<][\x20\t]*(?:{_AT}|{_DOT}|[@.])[\x20\t]*[\])}}>]|@[A-Za-z0-9.-]++\x20++(?:{_DOT})\x20")
@@ -178,23 +183,78 @@ def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
             yield sign.start(), sign.end(), "@" if sign[1] else "."
 
 
+DOT_SIGNS = (*DOT_WORDS, ".")
+
+Token = tuple[int, int, str]  # start, end, lower-cased text
+
+
+def _one_number(tokens: list[Token], edge: int) -> list[Token]:
+    """Of the digits beside an address's first (-1) or last (0) dot, those that belong to it: a number, or digits one by one."""
+    if len(tokens[edge][2]) > 1 and tokens[edge][2].isdigit():
+        return [tokens[edge]]
+    alone = [at for at, t in enumerate(tokens) if len(t[2]) > 1 and t[2].isdigit()]
+    return tokens[alone[-1] + 1 :] if edge and alone else tokens[: alone[0]] if alone else tokens
+
+
+def _dotted(tokens: list[Token]) -> Iterator[list[Token]]:
+    """Four groups of digits with exactly three dots between that the detector takes, at least one of the tokens a word.
+
+    A dot before a blank ends a sentence and is none; what follows a plus is a phone.
+    """
+    groups: list[list[Token]] = [[]]
+    dots: list[Token] = []
+    plus = False
+    for at, token in enumerate([*tokens, (-1, -1, "")]):
+        start, end, text = token
+        if text.isdigit() or text in DIGIT_WORDS:
+            groups[-1].append(token)
+        elif groups[-1] and (text in DOT_WORDS or (text == "." and at + 1 < len(tokens) and tokens[at + 1][0] == end)):
+            groups.append([])
+            dots.append(token)
+        else:
+            groups = groups if groups[-1] else groups[:-1]
+            if len(groups) == 4 and not plus:
+                groups = [_one_number(groups[0], -1), groups[1], groups[2], _one_number(groups[3], 0)]
+                found = sorted([t for group in groups for t in group] + dots[:3])
+                clear = "".join(DIGIT_WORDS.get(t[2]) or SIGN_WORDS.get(t[2]) or t[2] for t in found)
+                if any(t[2].isalpha() for t in found) and plain_spans(clear) == [(0, 1, len(clear))]:
+                    yield found
+            groups, dots = [[]], []
+            plus = text[:1] == "+" or text == "plus" or (plus and text in DOT_SIGNS)
+
+
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
-    """Digits as words: a run of enough of them becomes digits and signs without blanks between words."""
+    """Digits as words: a run of enough of them, or of four groups with dots between, becomes digits and signs without blanks."""
     for m in _SPELLED.finditer(text):
         tokens = [(t.start(), t.end(), t[0].lower()) for t in _TOKEN.finditer(text, m.start(), m.end())]
-        while tokens and (tokens[-1][2] in ".-" or tokens[-1][2] in SIGN_WORDS):
-            tokens.pop()
-        spelled = [t for t in tokens if t[2] in DIGIT_WORDS]
-        if len(spelled) < 3 or sum(t[2] not in ".-" and t[2] not in SIGN_WORDS for t in tokens) < LEAST_SPELLED:
-            continue
-        for at, (start, end, token) in enumerate(tokens):
-            new = DIGIT_WORDS.get(token) or SIGN_WORDS.get(token) or token
-            after = tokens[at + 1][0] if at + 1 < len(tokens) else end
-            joined = at + 1 < len(tokens) and (new != token or tokens[at + 1][2] in DIGIT_WORDS or tokens[at + 1][2] in SIGN_WORDS)
-            if new != token:
-                yield start, end, new
-            if joined and after > end:
-                yield end, after, ""
+        done = 0
+        for found in _dotted(tokens):
+            at = bisect.bisect_left(tokens, found[0])
+            yield from _long_number(tokens[done:at])
+            yield from _as_digits(found, whole=True)
+            done = at + len(found)
+        yield from _long_number(tokens[done:])
+
+
+def _long_number(tokens: list[Token]) -> Iterator[tuple[int, int, str]]:
+    """Three words for digits at least, among ``LEAST_SPELLED`` words and digits."""
+    while tokens and (tokens[-1][2] in ".-" or tokens[-1][2] in SIGN_WORDS):
+        tokens.pop()
+    spelled = [t for t in tokens if t[2] in DIGIT_WORDS]
+    if len(spelled) >= 3 and sum(t[2] not in ".-" and t[2] not in SIGN_WORDS for t in tokens) >= LEAST_SPELLED:
+        yield from _as_digits(tokens)
+
+
+def _as_digits(tokens: list[Token], whole: bool = False) -> Iterator[tuple[int, int, str]]:
+    """Words become digits and signs; blanks go beside words, or all of them."""
+    for at, (start, end, token) in enumerate(tokens):
+        new = DIGIT_WORDS.get(token) or SIGN_WORDS.get(token) or token
+        after = tokens[at + 1][0] if at + 1 < len(tokens) else end
+        joined = at + 1 < len(tokens) and (whole or new != token or tokens[at + 1][2] in DIGIT_WORDS or tokens[at + 1][2] in SIGN_WORDS)
+        if new != token:
+            yield start, end, new
+        if joined and after > end:
+            yield end, after, ""
 
 
 def normalised(text: str) -> Mapped | None:
@@ -207,7 +267,8 @@ def normalised(text: str) -> Mapped | None:
         folded = text
     if _HAS_AT.search(folded):
         steps += [_signs, _spoken]
-    if _THREE_WORDS.search(folded.lower()):
+    lowered = folded.lower()
+    if _THREE_WORDS.search(lowered) or _DOTTED_WORDS.search(lowered):
         steps.append(_spelled)
     if not steps:
         return None

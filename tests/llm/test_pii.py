@@ -73,6 +73,37 @@ def test_places_are_no_addresses(text):
     assert pii.spans(text) == []
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "eight dot eight dot eight dot eight",
+        "one dot one dot one dot one",
+        "one two seven dot zero dot zero dot one",
+        "192 dot 168 dot 0 dot 1",
+        "10.0 dot 0.1",
+        "Eins.zwei.drei.vier",
+        "un point 2 point trois point 4",
+    ],
+)
+@pytest.mark.parametrize("around", ["{}", "gorda {}, lemnu", "{}. Two of them", "in 2024 {}", "{} 500 times"])
+def test_short_spelled_addresses(source, around):
+    text = around.format(source)
+    assert [(k, text[a:b], d) for k, a, b, d in pii.spans(text)] == [("ip", source, True)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["one dot two dot three", "one. Two. Three. Four.", "300 dot 1 dot 1 dot 1", "1 dot 2 dot 3 dot 4 dot 5", "3 point 5", "one - two dot three dot four"],
+)
+def test_other_dotted_numbers_are_left_alone(text):
+    assert pii.spans(text) == []
+
+
+def test_long_dotted_texts_take_linear_time():
+    for text in ("1 dot " * 50_000, "one.2." * 50_000, "1 dot 2 dot 3 dot 4 x " * 10_000, "1 dot 2 dot 3 dot 4 - " * 10_000, "a@" + "b dot " * 50_000, "a@b" * 50_000):
+        pii.spans(text)
+
+
 @pytest.mark.parametrize("text", ["look at the dot com", "one two three", "she ran at dawn", "un deux trois soleil", "Straße at Ñandú"])
 def test_plain_prose_is_left_alone(text):
     assert pii.spans(text) == []
