@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allocora.llm import hmm, langid, mixing, neighbours, packing, pii, simhash, sketch, token_files, toxicity
+from allocora.llm import hmm, langid, mixing, neighbours, packing, pii, simhash, sketch, token_files, toxicity, whitening
 from allocora.llm.common import documents, fold
 from allocora.runtime import scratch_path
 
@@ -123,3 +123,8 @@ ORACLES["op9_neighbours"] = neighbours.ORACLE
 @query
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
