@@ -12,9 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from allocora.llm.common import written
-from allocora.runtime import shuffle_width
+from allocora.runtime import shuffle_width, stage
 
 WINDOW = 35
 #: Words of a block, after which a task starts the next, and bytes of text cut into words at once.
@@ -95,17 +95,19 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield packed(batch)
 
     rows = docs.select(F.col(id_col).cast(id_type).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, schema), "word_blocks")
+    return stage(rows.mapInArrow(run, schema), "word_blocks", bucket_by="block", partitioned=True)
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
-    raw = numbers.astype("<i4").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """32-bit numbers as their length and four planes of bytes, of which the upper ones are nearly free."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _numbers(body: bytes) -> np.ndarray:
     size = int.from_bytes(body[:8], "little")
-    return np.frombuffer(pa.decompress(body[8:], size, "zstd", asbytes=True) if size else b"", "<i4")
+    planes = np.frombuffer(pa.decompress(body[8:], size, "zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
 def _vocabulary(body: bytes, size: int) -> list[bytes]:
@@ -161,15 +163,12 @@ def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
 
 
 def _steps(cells: np.ndarray) -> bytes:
-    """Sorted numbers as steps of one width: its byte, then the steps."""
-    steps = np.diff(cells, prepend=np.uint32(0))
-    top = int(steps.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-    return bytes([width]) + steps.astype(f"<u{width}").tobytes()
+    """Sorted numbers as their steps."""
+    return _squeezed(np.diff(cells, prepend=np.uint32(0)))
 
 
 def _from_steps(body: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(body, f"<u{body[0]}", offset=1), dtype=np.int64)
+    return np.cumsum(_numbers(body), dtype=np.int64)
 
 
 def _bits(flags: np.ndarray) -> bytes:
@@ -229,10 +228,9 @@ class Block:
         return np.cumsum(edges[:-1]) > 0
 
 
-def _sorted_rows(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of one key after the other, from batches sorted by it."""
-    rows = (row for batch in batches for row in batch.to_pylist())
-    return ((k, list(group)) for k, group in groupby(rows, lambda row: row[key]))
+def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one; of a batch only one is turned into Python's values at a time."""
+    return (batch.slice(at, 1).to_pylist()[0] for batch in batches for at in range(batch.num_rows))
 
 
 def _merged_sketch(cells: int) -> Callable[[list[dict]], Iterator[bytes]]:
@@ -271,7 +269,8 @@ def _answered(asked: DataFrame, slices: int, answers: Callable[[list[dict]], Ite
     """What blocks ask of a slice, answered in the task of that slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, rows in _sorted_rows(batches, "slice"):
+        for at, group in groupby(_each(batches), lambda row: row["slice"]):
+            rows = list(group)
             columns = [[row["block"] for row in rows], [at] * len(rows), list(answers(rows))]
             kinds = [pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "slice", "body"])
@@ -281,10 +280,9 @@ def _answered(asked: DataFrame, slices: int, answers: Callable[[list[dict]], Ite
 
 
 def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each block's own row, then its answers in the order of slices, next to each other."""
-    own = blocks.withColumns({"slice": F.lit(-2), "body": F.lit(None).cast("binary")})
-    both = own.unionByName(answers, allowMissingColumns=True)
-    return both.repartition(shuffle_width(blocks.sparkSession), "block").sortWithinPartitions("block", "slice")
+    """Each block with its answers, of which it has one per slice at most; the blocks stay where their buckets are."""
+    own = answers.groupBy("block").agg(F.collect_list(F.struct("slice", "body")).alias("answers"))
+    return blocks.join(own, "block", "left")
 
 
 def _rows(rows: list[tuple[int, int, bytes, bytes | None]]) -> pa.RecordBatch:
@@ -330,19 +328,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     estimates = _answered(asked, 2 * slices, _merged_sketch(cells))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, (own, *answers) in _sorted_rows(batches, "block"):
-            block = Block(own, window)
-            chosen = block.estimated({a["slice"]: a["body"] for a in answers}, slices, cells)
+        for row in _each(batches):
+            block = Block(row, window)
+            chosen = block.estimated({a["slice"]: a["body"] for a in row["answers"] or []}, slices, cells)
             pairs, counts, _ = block.distinct(chosen)
             cut = _cuts(_cell_keys(pairs[:, 0], slices, 1), slices)
-            out = [(at, -1, _bits(chosen), None)]
+            # Behind the slices come the candidates' places, which only pass through to come back with the answers.
+            out = [(row["block"], slices + row["block"] % slices, _bits(chosen), None)]
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[s], cut[s + 1])
-                out.append((at, s, pairs[part].astype("<u8").tobytes(), _bits(counts[part] > 1)))
+                out.append((row["block"], s, pairs[part].astype("<u8").tobytes(), _bits(counts[part] > 1)))
             yield _rows(out)
 
-    found = written(_with_answers(blocks.drop("ids"), estimates).mapInArrow(candidates, "block long, slice int, body binary, twice binary"), "candidates")
-    exact = _answered(found.filter("slice >= 0"), slices, _grouped)
+    def grouped(rows: list[dict]) -> Iterator[bytes]:
+        return _grouped(rows) if rows[0]["slice"] < slices else (row["body"] for row in rows)
+
+    found = _with_answers(blocks.drop("ids"), estimates).mapInArrow(candidates, "block long, slice int, body binary, twice binary")
+    exact = _answered(found, 2 * slices, grouped)
     schema = T.StructType(
         [
             T.StructField(id_col, id_type),
@@ -353,8 +355,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (own, chosen, *answers) in _sorted_rows(batches, "block"):
+        for own in _each(batches):
             block = Block(own, window)
+            *answers, chosen = sorted(own["answers"], key=lambda a: a["slice"])
             candidate = _flags(chosen["body"], len(block.at))
             pairs, _, places = block.distinct(candidate)
             cut = _cuts(_cell_keys(pairs[:, 0], slices, 1), slices)
@@ -372,10 +375,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lengths = block.lengths[first:last]
                 kept = kept_before[ends[first + 1 : last + 1]] - kept_before[ends[first:last]]
                 columns = [pa.array(lengths), pa.array(lengths - kept), pa.array(texts, pa.binary()).cast(pa.string())]
-                ids = pa.array(own["ids"][first:last], pa.from_numpy_dtype(np.int64) if id_type == T.LongType() else None)
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(own["ids"][first:last], to_arrow_type(id_type)), *columns], names=schema.names)
 
-    return _with_answers(blocks, exact.unionByName(found.filter("slice = -1").drop("twice"))).mapInArrow(cleaned, schema)
+    return _with_answers(blocks, exact).mapInArrow(cleaned, schema)
 
 
 #: The same rows in DuckDB's SQL.
