@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allocora.llm import hmm, langid, mixing, neighbours, packing, pii, simhash, sketch, substrings, token_files, toxicity, whitening
+from allocora.llm import hmm, langid, mixing, neighbours, packing, pii, prefix_trie, simhash, sketch, substrings, token_files, toxicity, whitening
 from allocora.llm.common import documents, fold
 from allocora.runtime import scratch_path
 
@@ -125,6 +125,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
 @query
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.without_repeats(documents(spark, sf_dir))
