@@ -434,7 +434,8 @@ def trie(turns: DataFrame, conversations: DataFrame, chunk: int = CHUNK) -> Data
         F.greatest(F.sum("leaf"), F.lit(1).cast("long")).alias("n_leaves"),
         F.sum("t_bytes").alias("saved_tokens"),
     )
-    root = first.filter("n_convs > 0").withColumns({c: F.lit(0).cast("long") for c in key}).join(digests, key, "left")
+    at_root = digests.filter("depth = 0").first()
+    root = first.filter("n_convs > 0").withColumns({"depth": F.lit(0).cast("long"), "ends": F.lit(at_root and at_root["ends"]).cast("string")})
     least = conversations.agg(F.min("conv")).first()[0]
     known = whole.filter("parent is not null")
     beyond = whole.filter("parent is null AND depth > 1").unionByName(opened.filter("depth > 1")).drop("parent")
