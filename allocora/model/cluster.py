@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from allocora.functions.tails import normal_two_sided
@@ -16,48 +16,70 @@ from allocora.model.gram import Solution
 from allocora.model.spec import dummy_name
 
 
-def cluster_scores(df: DataFrame, s: Solution) -> DataFrame:
-    """Σ x·e per cluster, one column per fitted term."""
+def _score_sums(s: Solution, rows: Column, name: str) -> list[Column]:
+    """Per fitted term Σ x·e over the rows of a fit, and their number."""
     design = s.design
-    residual = F.col(design.spec.outcome) - design.linear(s.coefficients)
-    rows = df.withColumn("_e", residual)
-    sums = []
+    e = F.col(design.spec.outcome) - design.linear(s.coefficients)
+    sums = [F.count_if(rows).alias(f"{name}_n")]
     for i, term in enumerate(s.kept):
         if term == "Intercept":
-            x = F.col("_e")
+            x = e
         elif term in design.centres:
-            x = design.centred(term) * F.col("_e")
+            x = design.centred(term) * e
         else:
             column, level = next((c, v) for c, v in design.dummies if dummy_name(c, v) == term)
-            x = F.when(F.col(column) == F.lit(level), F.col("_e")).otherwise(F.lit(0.0))
-        sums.append(F.sum(x).alias(f"u{i}"))
-    return rows.groupBy(design.spec.cluster).agg(*sums)
+            x = F.when(F.col(column) == F.lit(level), e).otherwise(F.lit(0.0))
+        sums.append(F.sum(F.when(rows, x).otherwise(F.lit(0.0))).alias(f"{name}_{i}"))
+    return sums
 
 
-def cluster_meat(df: DataFrame, s: Solution) -> tuple[np.ndarray, int]:
-    """Σ over clusters of score·score', added up per batch, then per task, then overall."""
-    k = s.rank
-    columns = [f"u{i}" for i in range(k)]
+def cluster_scores(df: DataFrame, fits: Mapping[str, Solution], where: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per cluster with the score sums of all fits, each over its own complete rows for which ``where`` holds."""
+    clusters = {s.design.spec.cluster for s in fits.values()}
+    if len(clusters) != 1:
+        raise ValueError("the fits of one pass need one cluster column")
+    sums = []
+    for at, (name, s) in enumerate(fits.items()):
+        rows = F.lit(True)
+        for c in s.design.spec.inputs:
+            rows = rows & F.col(c).isNotNull()
+        if where and name in where:
+            rows = rows & F.coalesce(where[name], F.lit(False))
+        sums += _score_sums(s, rows, f"u{at}")
+    return df.groupBy(*clusters).agg(*sums)
+
+
+def cluster_meats(df: DataFrame, fits: Mapping[str, Solution], where: Mapping[str, Column] | None = None) -> dict[str, tuple[np.ndarray, int]]:
+    """Per fit Σ over clusters of score·score' and the number of clusters, from one pass over the rows.
+
+    A task adds up a block per fit. The blocks meet row by row, so the driver gets
+    one row per fitted term of each fit.
+    """
+    sizes = [s.rank for s in fits.values()]
+    columns = [[f"u{at}_{i}" for i in range(k)] for at, k in enumerate(sizes)]
+    wide = max(sizes)
 
     def outer_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, clusters = np.zeros((k, k)), 0
+        totals = [np.zeros((k, wide)) for k in sizes]
+        clusters = [0] * len(sizes)
         for batch in batches:
-            u = batch[columns].to_numpy(float)
-            total += u.T @ u
-            clusters += len(u)
-        yield pd.DataFrame({"clusters": [clusters], "cells": [total.ravel().tolist()]})
-
-    parts = cluster_scores(df, s).select(*columns).mapInPandas(outer_sums, "clusters bigint, cells array<double>")
-    cells = (
-        parts.select("clusters", F.posexplode("cells").alias("pos", "v"))
-        .groupBy("pos")
-        .agg(F.sum("v").alias("v"), F.sum("clusters").alias("clusters"))
-        .collect()
-    )
-    meat = np.zeros(k * k)
-    for r in cells:
-        meat[r["pos"]] = r["v"]
-    return meat.reshape(k, k), int(cells[0]["clusters"]) if cells else 0
+            for at, k in enumerate(sizes):
+                u = batch[columns[at]].to_numpy(float)
+                totals[at][:, :k] += u.T @ u
+                clusters[at] += int((batch[f"u{at}_n"] > 0).sum())
+        for at, k in enumerate(sizes):
+            rows = pd.DataFrame(totals[at], columns=[f"c{i}" for i in range(wide)])
+            yield rows.assign(fit=at, term=np.arange(k), clusters=clusters[at])
+
+    schema = ", ".join([*(f"c{i} double" for i in range(wide)), "fit int", "term int", "clusters bigint"])
+    parts = cluster_scores(df, fits, where).drop(*{s.design.spec.cluster for s in fits.values()}).mapInPandas(outer_sums, schema)
+    added = parts.groupBy("fit", "term").agg(F.sum("clusters").alias("clusters"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(wide)])
+    meats = [np.zeros((k, k)) for k in sizes]
+    clusters = [0] * len(sizes)
+    for r in added.collect():
+        meats[r["fit"]][r["term"]] = [r[f"c{i}"] for i in range(sizes[r["fit"]])]
+        clusters[r["fit"]] = int(r["clusters"])
+    return {name: (meats[at], clusters[at]) for at, name in enumerate(fits)}
 
 
 @dataclass(frozen=True)
@@ -85,11 +107,18 @@ class ClusteredFit:
         return self.combination({term: 1.0})
 
 
+def cluster_fits(df: DataFrame, fits: Mapping[str, Solution], where: Mapping[str, Column] | None = None) -> dict[str, ClusteredFit]:
+    """Sandwich covariances by cluster with the usual small-sample factor, of any number of fits in one pass."""
+    out = {}
+    for name, (meat, clusters) in cluster_meats(df, fits, where).items():
+        s = fits[name]
+        factor = clusters / (clusters - 1) * (s.n - 1) / (s.n - s.rank)
+        centred = s.inverse @ meat @ s.inverse * factor
+        shift = s.uncentre()
+        out[name] = ClusteredFit(s, shift @ centred @ shift.T, clusters)
+    return out
+
+
 def cluster_fit(df: DataFrame, s: Solution) -> ClusteredFit:
-    """Sandwich covariance by cluster with the usual small-sample factor."""
-    rows = s.design.spec.complete(df)
-    meat, clusters = cluster_meat(rows, s)
-    factor = clusters / (clusters - 1) * (s.n - 1) / (s.n - s.rank)
-    centred = s.inverse @ meat @ s.inverse * factor
-    shift = s.uncentre()
-    return ClusteredFit(s, shift @ centred @ shift.T, clusters)
+    """The same for one fit."""
+    return cluster_fits(df, {"": s})[""]

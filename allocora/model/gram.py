@@ -19,7 +19,8 @@ from allocora.model.spec import Design, ModelSpec, dummy_name
 from allocora.runtime import collect_bounded
 
 MAX_CELLS = 200_000
-MAX_LEVELS = 10_000
+#: Levels that may become dummies; the driver solves for all of them. Effects with more are absorbed, see ``absorb``.
+MAX_LEVELS = 500
 ALIAS_TOLERANCE = 1e-10
 
 

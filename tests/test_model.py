@@ -115,6 +115,39 @@ def test_nested_and_split_from_one_pass(data):
     assert gram.solve(parts[True]).coefficients["a"] == pytest.approx(beta[1], abs=1e-8)
 
 
+def test_many_fits_share_one_pass(data):
+    pdf, df = data
+    rows = df.withColumn("late", F.col("period") >= 2003)
+    design = gram.make_design(df, SPEC)
+    fits = score.nested_models(gram.gram(df, design), {"small": ("a",), "both": ("a", "b"), "all": design.terms[1:]})
+    parts = {side: gram.solve(g) for side, g in gram.grams_by(rows, design, "late").items()}
+    where = {str(side): F.col("late") == side for side in parts}
+    together = cluster.cluster_fits(rows, fits | {str(side): s for side, s in parts.items()}, where)
+    for name, s in fits.items():
+        alone = cluster.cluster_fit(df, s)
+        assert together[name].clusters == alone.clusters
+        np.testing.assert_allclose(together[name].covariance, alone.covariance, rtol=1e-9, atol=1e-14)
+    for side, s in parts.items():
+        alone = cluster.cluster_fit(rows.filter(F.col("late") == side), s)
+        assert together[str(side)].clusters == alone.clusters == pdf[(pdf.period >= 2003) == side].unit.nunique()
+        np.testing.assert_allclose(together[str(side)].covariance, alone.covariance, rtol=1e-9, atol=1e-14)
+    plan = cluster.cluster_scores(rows, fits | {str(side): s for side, s in parts.items()}, where)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(unit") == 1
+
+
+def test_fits_of_one_pass_need_one_cluster(data):
+    _, df = data
+    other = ModelSpec("y", ("a",), cluster="period")
+    with pytest.raises(ValueError, match="one cluster"):
+        cluster.cluster_fits(df, {"x": gram.fit(df, SPEC), "y": gram.fit(df, other)})
+
+
+def test_too_many_levels_for_dummies(spark):
+    df = spark.range(2000).selectExpr("id AS unit", "CAST(id AS DOUBLE) AS y", "id AS level")
+    with pytest.raises(ValueError, match="levels of level"):
+        gram.fit(df, ModelSpec("y", (), (("level", None),)))
+
+
 def test_vif_matches_regressions(data):
     pdf, df = data
     rows = df.withColumn("c", F.col("a") + F.col("b") * 0.3 + F.col("y"))

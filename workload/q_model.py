@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from allocora.functions import fixed
-from allocora.model import cluster, cv, gram, score
+from allocora.model import absorb, cluster, cv, gram, score
 from allocora.model.spec import ModelSpec
 from allocora.plans.order_panel import SPEC, SPLIT_PERIOD
 from workload import sql
@@ -100,6 +100,35 @@ def model_fit_stats(s: Stages) -> DataFrame:
     return stats.select("n", *r6("r2", "adj_r2", "mae"))
 
 
+# Unit effects by demeaning, period effects as dummies demeaned like the rest; the units count in the degrees of freedom.
+ABSORB_TERMS = ("need", "log_size")
+ABSORB_SQL = "WITH ab_rows AS (SELECT unit, period, " + ", ".join(
+    f"{x} - avg({x}) OVER w AS {name}"
+    for name, x in [(c, c) for c in ("log_outcome", *ABSORB_TERMS)] + [(f"p{p}", f"(period = {p})::INT") for p in sql.PERIODS]
+) + " FROM model WINDOW w AS (PARTITION BY unit))," + sql.ols("ab", "ab_rows", "[" + ", ".join([*ABSORB_TERMS, *[f"p{p}" for p in sql.PERIODS]]) + "]", 8) + """,
+ab_size AS (SELECT count(*) AS n, count(DISTINCT unit) AS units FROM model)
+FINAL """
+
+
+def _absorbed(s: Stages) -> absorb.AbsorbedFit:
+    return absorb.fit_absorbed(s.model, absorb.AbsorbSpec("log_outcome", ABSORB_TERMS, ("unit", "period"), "unit"))
+
+
+@query("model_absorbed", ABSORB_SQL + """
+SELECT t.term, round(c.coef, 6) AS coef, round(c.se * sqrt((z.n - 8.0) / (z.n - 8 - z.units)), 6) AS se, z.n, z.units + 8 AS coefficients
+FROM (VALUES (1, 'need'), (2, 'log_size')) t(i, term) JOIN ab_coef c ON c.i = t.i, ab_size z""", uses="model")
+def model_absorbed(s: Stages) -> DataFrame:
+    f = _absorbed(s)
+    rows = [(t, f.term(t)["estimate"], f.term(t)["se"], f.n, f.rank) for t in f.kept]
+    columns = "term string, coef double, se double, n bigint, coefficients bigint"
+    return s.spark.createDataFrame(rows, columns).select("term", *r6("coef", "se"), "n", "coefficients")
+
+
+@query("model_absorbed_scores", ABSORB_SQL + "SELECT unit, period, round(e, 6) AS score FROM ab_e", uses="model")
+def model_absorbed_scores(s: Stages) -> DataFrame:
+    return absorb.add_absorbed_scores(s.model, _absorbed(s)).select("unit", "period", *r6("score"))
+
+
 VIF = ["need", "composite", "log_wealth"]
 
 
@@ -232,11 +261,11 @@ UNION ALL SELECT 'pre', b.n, round(c.coef, 6), round(c.se, 6) FROM pre_b b JOIN
 def model_split_sample(s: Stages) -> DataFrame:
     rows = s.model.withColumn("side", F.when(F.col("period") < SPLIT_PERIOD, "pre").otherwise("post"))
     design = gram.make_design(SPEC.complete(rows), SPEC)
+    sides = {side: gram.solve(g) for side, g in gram.grams_by(SPEC.complete(rows), design, "side").items()}
     out = []
-    for side, g in gram.grams_by(SPEC.complete(rows), design, "side").items():
-        f = cluster.cluster_fit(rows.filter(F.col("side") == side), gram.solve(g))
+    for side, f in cluster.cluster_fits(rows, sides, {side: F.col("side") == side for side in sides}).items():
         t = f.term("need")
-        out.append((side, g.n, t["estimate"], t["se"]))
+        out.append((side, f.solution.n, t["estimate"], t["se"]))
     return s.spark.createDataFrame(out, "side string, n bigint, coef double, se double").select("side", "n", *r6("coef", "se"))
 
 
@@ -298,8 +327,8 @@ def model_nested_specs(s: Stages) -> DataFrame:
     dummies = [t for t in full.terms if "[" in t]
     models = {"base": BASE, "with size": SIZED, "full": (*SIZED, *dummies)}
     out = []
-    for name, found in score.nested_models(full, models).items():
-        f = cluster.cluster_fit(rows, found)
+    for name, f in cluster.cluster_fits(rows, score.nested_models(full, models)).items():
+        found = f.solution
         for term in found.kept:
             if "[" not in term:
                 t = f.term(term)
