@@ -52,7 +52,7 @@ def fold_order(sizes: Sequence[tuple[int, int]], k: int) -> dict[int, list[int]]
 def balanced_fold(df: DataFrame, unit: str, k: int = 5, fold: str = "fold") -> DataFrame:
     """Folds of nearly equal row counts: units by size, largest first, to the lightest fold.
 
-    Units of one size are taken in key order. Needs whole-number keys.
+    Units of one size are taken in key order; keys may be of any type that has one.
     """
     sizes = df.groupBy(unit).agg(F.count("*").cast("int").alias("_size"))
     classes = collect_bounded(sizes.groupBy("_size").count(), 100_000, "unit sizes")

@@ -1,6 +1,7 @@
 """Ranks, running sums and exact quantiles without a single-task sort.
 
-Approximate cut points split the values into ranges of similar row counts. Order
+Numbers are cut by sketches, any other orderable type (texts, dates, binaries) by
+Spark's own range partitioning of the distinct values. Approximate cut points split the values into ranges of similar row counts. Order
 within a range is settled by one task per group and range; the counts and sums of
 the earlier ranges, a small table, are added to it. A value that alone fills more
 than a range becomes a range of its own, whose rows need no sorting at all.
@@ -17,8 +18,9 @@ from itertools import accumulate, pairwise
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from allocora.runtime import shuffle_width, small_table
+from allocora.runtime import shuffle_width, small_table, stage
 
 #: Sketches are merged in this many groups of tasks first, so that no task meets those of all.
 SKETCH_GROUPS = 64
@@ -94,6 +96,21 @@ def _join_ranges(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> Data
     return rows.join(renamed, condition, "inner").drop(*[f"_k_{c}" for c in keys])
 
 
+def _is_number(df: DataFrame, value: str) -> bool:
+    return isinstance(df.schema[value].dataType, T.NumericType)
+
+
+def _range_counted(counted: DataFrame, value: str, by: Sequence[str], ranges: int | None) -> DataFrame:
+    """Distinct values per group, dealt to range partitions in the order of group and value; ``_range`` is the partition.
+
+    Spark samples the rows for the cut points. A value is one row here however many
+    rows have it, so no range is filled by a hot value.
+    """
+    width = ranges or shuffle_width(counted.sparkSession)
+    dealt = counted.repartitionByRange(width, *by, value).withColumn("_range", F.spark_partition_id())
+    return stage(dealt, "value_ranges")
+
+
 def order_by_value(
     df: DataFrame,
     value: str,
@@ -110,12 +127,16 @@ def order_by_value(
     figures = {"ties": F.count("*"), **(sums or {})}
     sums = list(sums or {})
     rows = df.filter(F.col(value).isNotNull())
-    cut = find_ranges(rows, value, ranges)
     counted = rows.groupBy(*by, value).agg(*[e.alias(c) for c, e in figures.items()])
-    ranged = cut.mark(counted, value)
     counts = ["ties", *sums]
-    # Totals of the ranges come from the rows, which combine to a few before their shuffle.
-    offsets = small_table(_offsets(cut.mark(rows, value), by, figures), OFFSET_ROWS)
+    if _is_number(df, value):
+        cut = find_ranges(rows, value, ranges)
+        ranged = cut.mark(counted, value)
+        # Totals of the ranges come from the rows, which combine to a few before their shuffle.
+        offsets = small_table(_offsets(cut.mark(rows, value), by, figures), OFFSET_ROWS)
+    else:
+        ranged = _range_counted(counted, value, by, ranges)
+        offsets = small_table(_offsets(ranged, by, {c: F.sum(c) for c in counts}), OFFSET_ROWS)
     local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     running = ranged.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_run_{c}") for c in counts])
     return _join_ranges(running, offsets, by).select(
@@ -150,11 +171,14 @@ def with_order(
 
     ``keep`` limits the columns that are carried along.
 
-    Rows are shuffled once, by group and range. Rows with a hot value are not
-    shuffled: their figures are those of their range.
+    Rows with a number are shuffled once, by group and range. Rows with a hot value
+    are not shuffled: their figures are those of their range. Values of other types
+    are counted first and their figures joined back.
     """
     keep = list(keep or df.columns)
     rows = df.filter(F.col(value).isNotNull())
+    if not _is_number(df, value):
+        return _with_counted_order(df, value, columns, by, ranges, keep)
     cut = find_ranges(rows, value, ranges)
     ranged = cut.mark(rows, value)
     offsets = small_table(_offsets(ranged, by, {"n": F.count("*")}), OFFSET_ROWS)
@@ -185,6 +209,35 @@ def with_order(
     return ordered.select(*keep, *[e.alias(c) for c, e in columns.items()])
 
 
+def _with_counted_order(
+    df: DataFrame, value: str, columns: Mapping[str, Column], by: Sequence[str], ranges: int | None, keep: Sequence[str]
+) -> DataFrame:
+    """Figures of the distinct values, joined back to the rows.
+
+    A value that fills more than a range meets its rows by broadcast, so that these
+    are not shuffled; there are no more such values than ranges.
+    """
+    width = ranges or shuffle_width(df.sparkSession)
+    placed = stage(order_by_value(df, value, by, ranges=ranges), "value_places")
+    figures = placed.withColumnsRenamed({c: f"_k_{c}" for c in (*by, value)})
+    all_rows = placed.agg(F.sum("ties")).first()[0] or 0
+    hot = figures.filter(F.col("ties") * width > all_rows)
+    rows = df.select(*dict.fromkeys((*keep, *by, value)))
+
+    def met(part: DataFrame, table: DataFrame) -> DataFrame:
+        same = part[value] == table[f"_k_{value}"]
+        for c in by:
+            same = same & part[c].eqNullSafe(table[f"_k_{c}"])
+        return part.join(table, same, "left").drop(*[f"_k_{c}" for c in (*by, value)])
+
+    if hot.isEmpty():
+        return met(rows, figures).select(*keep, *[e.alias(c) for c, e in columns.items()])
+    marked = met(rows, small_table(hot, width + 1))
+    rest = met(marked.filter("ties IS NULL").drop("before", "ties", "total"), figures)
+    found = marked.filter("ties IS NOT NULL").unionByName(rest)
+    return found.select(*keep, *[e.alias(c) for c, e in columns.items()])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:

@@ -211,6 +211,14 @@ def test_balanced_folds_on_frame(data):
     assert {r.unit: r.fold for r in out} == expected
 
 
+def test_balanced_folds_on_text_keys(data):
+    pdf, df = data
+    out = cv.balanced_fold(df.select(F.concat(F.lit("u"), F.col("unit")).alias("unit"), "period"), "unit").select("unit", "fold").distinct().collect()
+    sizes = pdf.assign(unit="u" + pdf.unit.astype(str)).groupby("unit").size().reset_index(name="n").sort_values(["n", "unit"], ascending=[False, True])
+    expected = dict(zip(sizes.unit, lightest_fold_first(sizes.n, 5)))
+    assert {r.unit: r.fold for r in out} == expected
+
+
 def test_balanced_folds_with_one_very_large_unit(spark):
     df = spark.range(3000).selectExpr("IF(id < 2000, 0, id) AS unit", "id AS period")
     loads = {r.fold: r["count"] for r in cv.balanced_fold(df, "unit").groupBy("fold").count().collect()}

@@ -42,6 +42,32 @@ def test_rows_without_group_are_a_group(spark):
     assert {r.id: r.r for r in out.collect()} == {1: 2, 2: 1, 3: 1}
 
 
+@pytest.mark.parametrize("hot_share", [0.0, 0.5])
+@pytest.mark.parametrize("kind", ["string", "date", "binary", "boolean"])
+def test_ranks_of_other_types(spark, kind, hot_share):
+    pdf = frame_of(n=1500, hot_share=hot_share)
+    pdf.loc[pdf.index % 7 == 0, "g"] = None
+    numbers = spark_frame(spark, pdf)
+    tenth = F.round(F.col("v") * 10).cast("int")
+    made = {
+        "string": F.concat(F.lit("é"), tenth.cast("string")),
+        "date": F.date_add(F.lit("2000-01-01").cast("date"), tenth),
+        "binary": F.encode(tenth.cast("string"), "utf-8"),
+        "boolean": tenth > 3,
+    }
+    df = numbers.select("id", "g", made[kind].alias("v"))
+    out = with_order(df, "v", {"lo": min_rank(), "avg": average_rank(), "n": F.col("total")}, ["g"]).toPandas().sort_values("id")
+    keys = {"string": lambda v: f"é{round(v * 10)}", "date": lambda v: round(v * 10), "binary": lambda v: str(round(v * 10)), "boolean": lambda v: round(v * 10) > 3}
+    values = pdf["v"].map(keys[kind], na_action="ignore")
+    codes = values.map({v: i for i, v in enumerate(sorted(values.dropna().unique()))})
+    by_group = codes.groupby(pdf["g"].fillna("none"))
+    assert len(out) == len(pdf)
+    np.testing.assert_allclose(out["lo"].to_numpy(float), by_group.rank(method="min").to_numpy())
+    np.testing.assert_allclose(out["avg"].to_numpy(float), by_group.rank().to_numpy())
+    whole = with_order(df.limit(0), "v", {"lo": min_rank()})
+    assert whole.collect() == []
+
+
 def test_quantiles_match_numpy(spark):
     pdf = frame_of()
     probs = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "p9": 0.9}

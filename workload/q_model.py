@@ -208,6 +208,25 @@ def model_group_cv_balanced_summary(s: Stages) -> DataFrame:
     return cv.cv_summary(folds).select(*r6("r2_mean", "r2_std", "mae_mean", "mae_std"))
 
 
+# The same folds with keys that are text, in the order of their characters.
+TEXT_SQL = BALANCED_SQL.replace("count(*) DESC, unit)", "count(*) DESC, CAST(unit AS VARCHAR))")
+CV_TEXT_SQL = CV_BALANCED_SQL.replace("count(*) DESC, unit)", "count(*) DESC, CAST(unit AS VARCHAR))")
+
+
+def _coded(s: Stages) -> DataFrame:
+    return s.model.withColumn("code", F.col("unit").cast("string"))
+
+
+@query("cv_balanced_folds_text", TEXT_SQL.replace("FINAL SELECT unit, fold", "FINAL SELECT CAST(unit AS VARCHAR) AS code, fold"), uses="model")
+def cv_balanced_folds_text(s: Stages) -> DataFrame:
+    return cv.balanced_fold(_coded(s).select("code", "period"), "code").select("code", "fold").distinct()
+
+
+@query("model_group_cv_balanced_text", CV_TEXT_SQL + "SELECT fold, n, round(r2, 6) AS r2, round(mae, 6) AS mae FROM folds", uses="model")
+def model_group_cv_balanced_text(s: Stages) -> DataFrame:
+    return cv.group_cv(cv.balanced_fold(_coded(s), "code"), SPEC).select("fold", "n", *r6("r2", "mae"))
+
+
 INTER_LIST = sql.design_list((*sql.NUMERICS, f"need * (period >= {SPLIT_PERIOD})::INT"))
 INTER_SQL = "WITH " + sql.ols("ix", "model", INTER_LIST, 17) + f""",
 cell AS (SELECT b.b[2] AS pre, b.b[8] AS shift, v22.v AS v22, v88.v AS v88, v28.v AS v28 FROM ix_b b

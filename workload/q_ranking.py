@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from allocora.functions import fixed
 from allocora.operators import ranking
 from allocora.operators.aggregates import extreme_row
-from allocora.operators.ordered import exact_quantiles
+from allocora.operators.ordered import exact_quantiles, min_rank, with_order
 from allocora.operators.reshape import complete_cases, fill_within_unit
 from allocora.plans.order_panel import INPUTS
 from allocora.plans.reports import region_gap
@@ -39,6 +39,15 @@ def win_tier_pct(s: Stages) -> DataFrame:
     return ranking.tier_ranks(rows, "n_orders", "region").select("unit", "region", "period", "tier_rank", "tier_pct")
 
 
+@query("win_text_rank", """
+SELECT unit, period, CASE WHEN tier IS NOT NULL THEN CAST(rank() OVER (PARTITION BY region, tier IS NULL ORDER BY tier) AS INTEGER) END AS tier_place,
+       CAST(rank() OVER (PARTITION BY region ORDER BY CAST(unit AS VARCHAR)) AS INTEGER) AS code_place FROM panel""")
+def win_text_rank(s: Stages) -> DataFrame:
+    rows = s.panel.select("unit", "period", "region", "tier", F.col("unit").cast("string").alias("code"))
+    placed = with_order(rows, "tier", {"tier_place": min_rank()}, ["region"])
+    return with_order(placed, "code", {"code_place": min_rank()}, ["region"]).select("unit", "period", "tier_place", "code_place")
+
+
 @query("win_group_size", "SELECT unit, tier, tier_n FROM units", uses="units")
 def win_group_size(s: Stages) -> DataFrame:
     return s.units.select("unit", "tier", "tier_n")
