@@ -7,12 +7,13 @@ from functools import reduce
 from itertools import combinations_with_replacement
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from allocora.functions.numeric import count_where, ratio, share, skewness_corrected
-from allocora.operators.ordered import average_rank, exact_quantiles, with_order
+from allocora.operators.ordered import Ranges, find_ranges_of
+from allocora.operators.quantiles import column_quantiles
 from allocora.runtime import small_table
 
 
@@ -24,7 +25,7 @@ def sum_by_key(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, the missing one included, with their percentage."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", 100.0 * F.col("n") / total)
 
 
@@ -44,28 +45,21 @@ def crosstab(
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, quartiles, spread, extremes and skew of each column.
-
-    All moments come from one aggregate of one row; only quartiles need the values
-    one below the other.
-    """
-    long = df.select(*columns).unpivot([], [F.col(c) for c in columns], "column", "value")
-    kind = long.schema["value"].dataType
+    """Count, mean, quartiles, spread, extremes and skew of each column, in two reads."""
     figures = [
         F.struct(
             F.lit(c).alias("column"),
             F.count(c).alias("n"),
             F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"),
-            F.min(c).cast(kind).alias("min"),
-            F.max(c).cast(kind).alias("max"),
+            F.min(c).cast("double").alias("min"),
+            F.max(c).cast("double").alias("max"),
             skewness_corrected(c).alias("skew"),
         )
         for c in columns
     ]
-    shape = df.agg(F.array(*figures).alias("_shape")).select(F.inline("_shape"))
-    quartiles = exact_quantiles(long, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, by=["column"])
-    return shape.join(quartiles, "column", "left")
+    quartiles, shape = column_quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75}, figures=[F.array(*figures).alias("_shape")])
+    return shape.select(F.inline("_shape")).join(quartiles.drop("n"), "column", "left")
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -149,10 +143,41 @@ def correlation_by_group(df: DataFrame, x: str, y: str, by: Sequence[str] = (),
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of complete pairs, ties at their average rank."""
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = with_order(with_order(pairs, x, {"_rx": average_rank()}, keep=[y]), y, {"_ry": average_rank()}, keep=["_rx"])
-    return ranked.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    """Rank correlation of complete pairs, ties at their average rank.
+
+    Three reads of the two columns: one finds the cut points of both, one counts
+    their ranges, one ranks the rows within the ranges, first of x, then of y. A
+    range that is a single value needs no order, so its rows stay spread.
+    """
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    cuts = dict(zip(("_x", "_y"), find_ranges_of(pairs, ["_x", "_y"]), strict=True))
+    ranked = pairs
+    for c, cut in cuts.items():
+        ranked = cut.mark(ranked, c).withColumnRenamed("_range", f"{c}_range")
+    sides = [F.struct(F.lit(c).alias("side"), F.col(f"{c}_range").alias("range")) for c in cuts]
+    counted = ranked.select(F.explode(F.array(*sides)).alias("_s")).groupBy("_s.side", "_s.range").count().collect()
+    for c, cut in cuts.items():
+        ranked = ranked.withColumn(f"{c}_rank", _average_rank(c, cut, {r["range"]: r["count"] for r in counted if r["side"] == c}))
+    return ranked.agg(F.count("*").alias("n"), F.corr("_x_rank", "_y_rank").alias("rho"))
+
+
+def _average_rank(column: str, cut: Ranges, rows: Mapping[int, int]) -> Column:
+    """Average rank from the rows of the lower ranges and the order within the own one."""
+    count = len(cut.splits)
+    lower = [sum(rows.get(i, 0) for i in range(at)) for at in range(count)]
+    own = F.col(f"{column}_range")
+    before = F.element_at(F.array(*[F.lit(v).cast("long") for v in lower]), own + 1)
+    if not cut.hot:
+        spread, hot = F.lit(0), F.lit(False)
+    else:
+        hot = own.isin(*cut.hot)
+        # Rows of a hot value are ranked by their range alone; the window only has to leave them where they are.
+        spread = F.when(hot, F.spark_partition_id()).otherwise(F.lit(-1))
+    alike = F.element_at(F.array(*[F.lit(rows.get(i, 0)).cast("long") for i in range(count)]), own + 1)
+    local = Window.partitionBy(own, spread).orderBy(F.when(~hot, F.col(column)))
+    peers = Window.partitionBy(own, spread, F.when(~hot, F.col(column)))
+    ties = F.when(hot, alike).otherwise(F.count("*").over(peers))
+    return before + F.when(hot, F.lit(0)).otherwise(F.rank().over(local) - 1) + (ties + 1) / F.lit(2.0)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -187,13 +212,15 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Quartiles and whiskers (extremes within 1.5 interquartile ranges) per group."""
+    """Quartiles and whiskers (extremes within 1.5 interquartile ranges) per group; rows without a group are one."""
     rows = df.filter(F.col(value).isNotNull())
-    boxes = exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    quartiles, _ = column_quantiles(rows, [value], {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    boxes = quartiles.select(*[F.col(b).alias(f"_box_{b}") for b in by], "q1", "median", "q3")
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_box_{b}")) for b in by])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        rows.join(small_table(boxes), list(by))
+        rows.join(small_table(boxes), same)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.count("*").alias("n"),
@@ -204,11 +231,20 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def flag_counts(df: DataFrame, flags: Sequence[str], unit: str = "unit") -> DataFrame:
-    """Rows, share and distinct units of each 0/1 flag."""
-    wide = df.agg(
+    """Rows, share and distinct units of each 0/1 flag.
+
+    Rows become one row per unit with a mark per flag, and the marks are counted, so
+    no row is multiplied by the number of flags.
+    """
+    per_unit = df.groupBy(unit).agg(
         F.count("*").alias("_n"),
         *[F.sum(f).alias(f"{f}_rows") for f in flags],
-        *[F.countDistinct(F.when(F.col(f) == 1, F.col(unit))).alias(f"{f}_units") for f in flags],
+        *[F.coalesce(F.bool_or(F.col(f) == 1), F.lit(False)).alias(f"{f}_mark") for f in flags],
+    )
+    wide = per_unit.agg(
+        F.sum("_n").alias("_n"),
+        *[F.sum(f"{f}_rows").alias(f"{f}_rows") for f in flags],
+        *[F.count_if(F.col(f"{f}_mark") & F.col(unit).isNotNull()).alias(f"{f}_units") for f in flags],
     )
     cells = [
         F.struct(

@@ -43,9 +43,9 @@ def attach(df: DataFrame, lookup: DataFrame, keys: Sequence[str] | str) -> DataF
 
 
 def membership_flag(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
-    """1 where the key is among ``members``, else 0."""
+    """1 where the key is among ``members``, else 0; members proven few are broadcast, so hot keys stay where they are."""
     ids = members.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(1))
-    return df.join(ids, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
+    return df.join(small_table(ids), key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
 
 
 def aligned_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

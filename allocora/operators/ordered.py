@@ -51,7 +51,12 @@ class Ranges:
 
 
 def find_ranges(rows: DataFrame, value: str, ranges: int | None = None) -> Ranges:
-    """Cut the non-null values by quantile sketches, in one pass without a shuffle of rows.
+    """Cut the non-null values of one column, as :func:`find_ranges_of` does."""
+    return find_ranges_of(rows, [value], ranges)[0]
+
+
+def find_ranges_of(rows: DataFrame, values: Sequence[str], ranges: int | None = None) -> list[Ranges]:
+    """Cut the non-null values of each column by quantile sketches, in one pass without a shuffle of rows.
 
     Groups of tasks have cut points of their own; the cut points of all values are
     found among those, weighted by the groups' rows. Results do not depend on where
@@ -60,9 +65,14 @@ def find_ranges(rows: DataFrame, value: str, ranges: int | None = None) -> Range
     """
     n = ranges or shuffle_width(rows.sparkSession)
     probs = [i / n for i in range(1, n)] or [0.5]
-    sketch = F.percentile_approx(_number(value), probs, max(10_000, 20 * n))
     groups = rows.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_group"))
-    found = groups.agg(sketch.alias("cuts"), F.count(value).alias("rows")).select("cuts", "rows").collect()
+    accuracy = max(10_000, 20 * n)
+    figures = [F.struct(F.percentile_approx(_number(v), probs, accuracy).alias("cuts"), F.count(v).alias("rows")).alias(f"_{i}") for i, v in enumerate(values)]
+    found = groups.agg(*figures).collect()
+    return [_cut([r[f"_{i}"] for r in found], probs) for i in range(len(values))]
+
+
+def _cut(found: Sequence, probs: Sequence[float]) -> Ranges:
     weighted = sorted((c, r["rows"] / len(r["cuts"])) for r in found for c in r["cuts"] or [] if not math.isnan(c))
     reached = list(accumulate(w for _, w in weighted))
     cuts = [weighted[min(bisect_left(reached, p * reached[-1]), len(weighted) - 1)][0] for p in probs] if weighted else [0.0]
@@ -71,7 +81,7 @@ def find_ranges(rows: DataFrame, value: str, ranges: int | None = None) -> Range
     return Ranges(tuple(splits), tuple(i for i, v in enumerate(splits) if v in repeated))
 
 
-def _offsets(ranged: DataFrame, by: Sequence[str], counts: Mapping[str, Column]) -> DataFrame:
+def range_offsets(ranged: DataFrame, by: Sequence[str], counts: Mapping[str, Column]) -> DataFrame:
     """Per group and range: its own figures, those of the earlier ranges and of the whole group."""
     totals = ranged.groupBy(*by, "_range").agg(*[e.alias(f"_in_{c}") for c, e in counts.items()])
     # One row per group and range: small, and never the rows themselves.
@@ -86,7 +96,7 @@ def _offsets(ranged: DataFrame, by: Sequence[str], counts: Mapping[str, Column])
     )
 
 
-def _join_ranges(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+def join_ranges(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join on group and range; rows without a group belong together too."""
     keys = [*by, "_range"]
     renamed = offsets.withColumnsRenamed({c: f"_k_{c}" for c in keys})
@@ -133,13 +143,13 @@ def order_by_value(
         cut = find_ranges(rows, value, ranges)
         ranged = cut.mark(counted, value)
         # Totals of the ranges come from the rows, which combine to a few before their shuffle.
-        offsets = small_table(_offsets(cut.mark(rows, value), by, figures), OFFSET_ROWS)
+        offsets = small_table(range_offsets(cut.mark(rows, value), by, figures), OFFSET_ROWS)
     else:
         ranged = _range_counted(counted, value, by, ranges)
-        offsets = small_table(_offsets(ranged, by, {c: F.sum(c) for c in counts}), OFFSET_ROWS)
+        offsets = small_table(range_offsets(ranged, by, {c: F.sum(c) for c in counts}), OFFSET_ROWS)
     local = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     running = ranged.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_run_{c}") for c in counts])
-    return _join_ranges(running, offsets, by).select(
+    return join_ranges(running, offsets, by).select(
         *by,
         value,
         "ties",
@@ -181,21 +191,21 @@ def with_order(
         return _with_counted_order(df, value, columns, by, ranges, keep)
     cut = find_ranges(rows, value, ranges)
     ranged = cut.mark(rows, value)
-    offsets = small_table(_offsets(ranged, by, {"n": F.count("*")}), OFFSET_ROWS)
+    offsets = small_table(range_offsets(ranged, by, {"n": F.count("*")}), OFFSET_ROWS)
     local = Window.partitionBy(*by, "_range").orderBy(value)
     peers = Window.partitionBy(*by, "_range", value)
     sorted_rows = ranged.filter(~cut.is_hot()).select(
         "*", (F.rank().over(local) - 1).alias("_run"), F.count("*").over(peers).alias("ties")
     )
     parts = [
-        _join_ranges(sorted_rows, offsets, by).select(
+        join_ranges(sorted_rows, offsets, by).select(
             *keep, (F.col("_off_n") + F.col("_run")).alias("before"), "ties", F.col("_all_n").alias("total")
         )
     ]
     if cut.hot:
         hot_rows = ranged.filter(cut.is_hot())
         parts.append(
-            _join_ranges(hot_rows, offsets, by).select(
+            join_ranges(hot_rows, offsets, by).select(
                 *keep, F.col("_off_n").alias("before"), F.col("_in_n").alias("ties"), F.col("_all_n").alias("total")
             )
         )
@@ -248,7 +258,7 @@ def exact_quantiles(
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, value)
     ranged = find_ranges(rows, value, ranges).mark(rows, value)
-    offsets = _offsets(ranged, by, {"n": F.count("*")})
+    offsets = range_offsets(ranged, by, {"n": F.count("*")})
 
     def positions(p: float) -> tuple[Column, Column, Column]:
         at = F.lit(float(p)) * (F.col("_all_n") - 1)
@@ -262,7 +272,7 @@ def exact_quantiles(
         for position in positions(p)[1:]:
             wanted = wanted | holds(F.col("_off_n"), F.col("_in_n"), position)
     counted = (
-        _join_ranges(ranged, small_table(offsets.filter(wanted)), by)
+        join_ranges(ranged, small_table(offsets.filter(wanted)), by)
         .groupBy(*by, "_range", value, "_off_n", "_all_n")
         .agg(F.count("*").alias("ties"))
     )

@@ -12,6 +12,7 @@ from allocora.functions import fixed, text
 from allocora.functions.labels import abs_gap_trend
 from allocora.functions.numeric import count_where, ratio, share
 from allocora.operators.concentration import gini, top_k_shares
+from allocora.operators.quantiles import column_quantiles
 from allocora.operators.ranking import extremes, relative_position
 from allocora.operators.sets import keys_missing_from
 from allocora.operators.trend import line_at, region_series
@@ -311,15 +312,17 @@ def forecast_curve(panel: DataFrame, projection: DataFrame, first: int, base: in
 
 
 def growth_by_profile(projection: DataFrame) -> DataFrame:
-    """Median, mean and count of growth per profile, over all and over significant trends."""
-    from allocora.operators.ordered import exact_quantiles
-
+    """Median, mean and count of growth per profile, over all and over significant trends; no profile is a group too."""
     growth = projection.select("profile", "annual_pct", F.explode(
         F.when(F.col("trend_significant"), F.array(F.lit("all"), F.lit("significant"))).otherwise(F.array(F.lit("all")))
     ).alias("trends"))
     keys = ["trends", "profile"]
-    medians = exact_quantiles(growth, "annual_pct", {"median": 0.5}, keys)
-    return growth.groupBy(*keys).agg(F.avg("annual_pct").alias("mean"), F.count("*").alias("n")).join(medians, keys)
+    medians, means = column_quantiles(
+        growth, ["annual_pct"], {"median": 0.5}, keys, [F.avg("annual_pct").alias("mean"), F.count("*").alias("n")]
+    )
+    medians = medians.select(F.col("trends").alias("_trends"), F.col("profile").alias("_profile"), "median")
+    same = (F.col("trends") == F.col("_trends")) & F.col("profile").eqNullSafe(F.col("_profile"))
+    return means.join(medians, same, "left").drop("_trends", "_profile")
 
 
 def growth_verdict(growth: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from allocora.operators.aggregates import box_stats, describe, histogram, spearman
+from allocora.operators import quantiles
+from allocora.operators.aggregates import box_stats, describe, flag_counts, histogram, spearman
 from allocora.operators.concentration import concentration_facts, gini, lorenz, top_k_shares
 from allocora.operators.ordered import average_rank, exact_quantiles, find_ranges, min_rank, order_by_value, with_order
+from allocora.operators.quantiles import column_quantiles
 from allocora.operators.ranking import quartile_profile, relative_position, tier_ranks
 
 
@@ -205,6 +207,48 @@ def test_describe_and_box(spark):
         assert (box.whisker_low, box.whisker_high) == (kept.min(), kept.max())
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 200])
+def test_quantiles_of_many_columns_and_groups(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    pdf = frame_of(n=4000, hot_share=0.3)
+    pdf["w"] = np.random.default_rng(2).normal(size=len(pdf)).round(4)
+    pdf.loc[pdf.index % 9 == 0, "g"] = None
+    pdf["none"] = None
+    df = spark_frame(spark, pdf[["id", "g", "v"]]).join(spark.createDataFrame(pdf[["id", "w"]]), "id").withColumn("none", F.lit(None).cast("double"))
+    probs = {"least": 0.0, "q1": 0.25, "q2": 0.5, "p99": 0.99, "most": 1.0}
+    found, figures = column_quantiles(df, ["v", "w", "none"], probs, ["g"], [F.count("*").alias("rows")])
+    found = {(r.g, r["column"]): r for r in found.collect()}
+    assert {r.g: r["rows"] for r in figures.collect()} == pdf.g.fillna("").value_counts().rename({"": None}).to_dict()
+    assert {c for _, c in found} == {"v", "w"} and {g for g, _ in found} == {None, "a", "b", "c"}
+    for (g, c), r in found.items():
+        values = pdf[pdf.g.isna() if g is None else pdf.g == g][c].dropna()
+        assert r.n == len(values)
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.quantile(values, p), abs=1e-12)
+    whole, _ = column_quantiles(df, ["v", "none"], probs)
+    assert [r["column"] for r in whole.collect()] == ["v"]
+    assert column_quantiles(df.limit(0), ["v"], probs)[0].collect() == []
+
+
+def test_a_wrongly_placed_quantile_fails(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_bracket", lambda c, probs: F.array(*[F.lit(1e9) for _ in range(2 * len(probs))]))
+    with pytest.raises(Exception, match="placed a quantile wrongly"):
+        column_quantiles(spark_frame(spark, frame_of()), ["v"], {"q": 0.5})[0].collect()
+
+
+def test_box_of_rows_without_group(spark):
+    df = spark.createDataFrame([(None, float(v)) for v in range(9)] + [("a", 1.0), ("b", None)], "g string, v double")
+    found = {r.g: (r.median, r.n) for r in box_stats(df, "v", ["g"]).collect()}
+    assert found == {None: (4.0, 9), "a": (1.0, 1)}
+
+
+def test_flag_counts_multiply_no_rows(spark):
+    df = spark.createDataFrame([(1, 1, 0), (1, 1, None), (2, 0, 0), (None, 1, 1)], "unit long, a int, b int")
+    counted = flag_counts(df, ["a", "b"])
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert {r.flag: (r.n_rows, r.pct, r.n_units) for r in counted.collect()} == {"a": (3, 75.0, 1), "b": (1, 25.0, 0)}
+
+
 def test_histogram_counts(spark):
     pdf = frame_of()
     out = histogram(spark_frame(spark, pdf), "v", 20).orderBy("bin").toPandas()

@@ -317,6 +317,18 @@ def agg_box_stats(s: Stages) -> DataFrame:
     )
 
 
+@query("agg_box_stats_missing_group", """
+WITH v AS (SELECT CASE WHEN n_periods >= 5 THEN tier END AS tier, score_mean FROM units),
+q AS (SELECT tier, count(*) AS n, quantile_cont(score_mean, 0.25) AS q1, median(score_mean) AS median, quantile_cont(score_mean, 0.75) AS q3 FROM v GROUP BY tier)
+FINAL SELECT q.tier, q.n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(score_mean) FILTER (score_mean >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
+       round(max(score_mean) FILTER (score_mean <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high
+FROM q JOIN v u ON u.tier IS NOT DISTINCT FROM q.tier GROUP BY ALL""", uses="units")
+def agg_box_stats_missing_group(s: Stages) -> DataFrame:
+    rows = s.units.select("score_mean", F.when(F.col("n_periods") >= 5, F.col("tier")).alias("tier"))
+    return agg.box_stats(rows, "score_mean", ["tier"]).select("tier", "n", *r6("q1", "median", "q3", "whisker_low", "whisker_high"))
+
+
 @query("agg_flag_counts", " UNION ALL ".join(
     f"SELECT '{f}' AS flag, CAST(sum({f}) AS BIGINT) AS n_rows, round(100.0 * sum({f}) / count(*), 6) AS pct, count(DISTINCT CASE WHEN {f} = 1 THEN unit END) AS n_units FROM {src}"
     for f, src in (("flag_a", "panel"), ("flag_b", "panel"), ("neither", "(SELECT *, CASE WHEN flag_a = 0 AND flag_b = 0 THEN 1 ELSE 0 END AS neither FROM panel) x"))))
