@@ -14,6 +14,7 @@ from allocora.functions import fixed
 from allocora.functions.labels import direction, gap_status
 from allocora.functions.numeric import count_where
 from allocora.functions.tails import trend_p_value
+from allocora.operators.slopes import median_slope
 
 
 def trend_fit(df: DataFrame, by: Sequence[str], y: str, period: str = "period", origin: int = 2000) -> DataFrame:
@@ -129,8 +130,9 @@ def theil_sen(series: DataFrame, by: Sequence[str], y: str, period: str = "perio
     """Median of the slopes between all periods of a group's series; NULL without two different periods.
 
     ``series`` has about one row per group and period, so a group's points fit one
-    row. No pair becomes a row: slopes are evaluated lag by lag, in memory bounded
-    by the block of :func:`median_slope`. Points of one period make no pair.
+    row. No pair becomes a row: pairs are counted as inversions, in time n log n and
+    memory bounded by the block of :func:`median_slope`. Points of one period make no
+    pair.
     """
     points = F.array_sort(F.collect_list(F.struct(F.col(period).cast("double").alias("t"), F.col(y).cast("double").alias("v"))))
     known = series.filter(F.col(y).isNotNull() & F.col(period).isNotNull())
@@ -146,43 +148,3 @@ def theil_sen(series: DataFrame, by: Sequence[str], y: str, period: str = "perio
             yield batch[list(by)].assign(theil_sen=pd.Series(medians, index=batch.index, dtype=object))
 
     return grouped.mapInPandas(slopes, schema)
-
-
-def median_slope(t: np.ndarray, v: np.ndarray, block: int = 1_000_000) -> float | None:
-    """Exact median of the slopes of all pairs with different ``t``, of points sorted by ``t``; None without a pair.
-
-    Halves the value range by counting until at most ``block`` slopes are left
-    between the bounds, then sorts those.
-    """
-
-    def by_lag():
-        for lag in range(1, len(t)):
-            apart = t[lag:] - t[:-lag]
-            some = apart > 0
-            yield (v[lag:] - v[:-lag])[some] / apart[some]
-
-    pairs = sum(len(s) for s in by_lag())
-    if not pairs:
-        return None
-    want = ((pairs - 1) // 2, pairs // 2)
-    low = min(float(s.min(initial=np.inf)) for s in by_lag())
-    high = max(float(s.max(initial=-np.inf)) for s in by_lag())
-    below, inside = 0, pairs
-    while inside > block and low < high:
-        middle = low + (high - low) / 2
-        if middle >= high:
-            break
-        upto = sum(int(np.count_nonzero(s <= middle)) for s in by_lag())
-        if upto > want[1]:
-            high, inside = middle, upto - below
-        elif upto <= want[0]:
-            low, inside, below = float(np.nextafter(middle, np.inf)), inside - (upto - below), upto
-        else:
-            # The two middle slopes lie on either side.
-            left = max(float(s[s <= middle].max(initial=-np.inf)) for s in by_lag())
-            right = min(float(s[s > middle].min(initial=np.inf)) for s in by_lag())
-            return (left + right) / 2
-    if low == high:
-        return low
-    rest = np.sort(np.concatenate([s[(s >= low) & (s <= high)] for s in by_lag()]))
-    return float((rest[want[0] - below] + rest[want[1] - below]) / 2)

@@ -1,13 +1,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from allocora.functions.labels import abs_gap_trend, direction, gap_status
 from allocora.functions.tails import chi2_tail, normal_two_sided, trend_p_value
 from allocora.operators import rank_tests, trend
-from allocora.operators.trend import median_slope
+from allocora.operators.slopes import count_inversions, inversions, median_slope
 
 
 def t_tail(r2, n):
@@ -102,6 +103,57 @@ def test_median_slope_in_small_blocks(m, tied):
     assert median_slope(t, v, block=50) == pytest.approx(brute_theil_sen(t, v), abs=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 100])
+def test_inversions(n):
+    order = np.random.default_rng(n).permutation(n)
+    expected = {(int(order[p]), int(order[q])) for p in range(n) for q in range(p + 1, n) if order[p] > order[q]}
+    larger, smaller = inversions(order)
+    assert sorted(zip(larger.tolist(), smaller.tolist())) == sorted(expected)
+    assert count_inversions(order) == len(expected)
+
+
+@pytest.mark.parametrize("kind", ["equal periods", "few values", "one line", "flat", "far off", "steps"])
+@pytest.mark.parametrize("m", [60, 151])
+def test_median_slope_of_awkward_points(kind, m):
+    rng = np.random.default_rng(m)
+    t = np.arange(m, dtype=float)
+    v = rng.normal(size=m)
+    if kind == "equal periods":
+        t = np.sort(rng.integers(0, 12, m)).astype(float)
+    elif kind == "few values":
+        v = rng.integers(0, 3, m).astype(float)
+    elif kind == "one line":
+        v = 0.1 * t + 3
+    elif kind == "flat":
+        v = np.zeros(m)
+    elif kind == "far off":
+        t, v = t * 1e-3 + 1e6, v * 1e-6 + 1e5
+    else:
+        v = np.floor(t / 7)
+    i, j = np.triu_indices(m, 1)
+    i, j = i[t[j] > t[i]], j[t[j] > t[i]]
+    expected = float(np.median((v[j] - v[i]) / (t[j] - t[i])))
+    shuffled = rng.permutation(m)
+    assert median_slope(t[shuffled], v[shuffled], block=40) == pytest.approx(expected, rel=1e-12, abs=1e-15)
+
+
+def test_one_long_series(spark):
+    import time
+
+    rng = np.random.default_rng(8)
+    n = 100_000
+    t = np.arange(n, dtype=float)
+    v = 0.25 * t + rng.standard_cauchy(n)
+    start = time.perf_counter()
+    found = median_slope(t, v)
+    assert time.perf_counter() - start < 30
+    assert found == pytest.approx(0.25, abs=1e-4)
+    # The same points as a smaller block of slopes sees them.
+    assert median_slope(t, v, block=200_000) == found
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "period": t.astype(int), "v": v}))
+    assert trend.theil_sen(df, ["g"], "v").first().theil_sen == found
+
+
 def test_rank_tests_by_hand(spark):
     groups = {"a": [1.0, 2, 2, 5], "b": [2.0, 6, 7], "c": [3.0, 8, 9, 9, 10]}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
