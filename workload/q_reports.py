@@ -13,7 +13,6 @@ from allocora.plans.order_panel import BASE_PERIOD, HORIZON, INPUTS
 from workload.registry import Stages, query, r6, rnd
 from workload.sql import signed2, text2
 
-FIRST = 1995
 WORDS = reports.Wording()
 
 
@@ -102,7 +101,7 @@ SELECT u.unit, concat_ws(chr(10), 'Country: ' || u.unit_name || ' (region: ' ||
  '% per year, trend ' || CASE WHEN p.trend_significant THEN 'statistically significant' ELSE 'not statistically significant' END || ').') AS facts
 FROM units u LEFT JOIN regional r ON r.region = u.region LEFT JOIN projection p ON p.unit = u.unit""", uses="all")
 def report_facts_text(s: Stages) -> DataFrame:
-    return reports.facts_text(_facts(s), FIRST, BASE_PERIOD, HORIZON, WORDS)
+    return reports.facts_text(_facts(s), s.periods[0], BASE_PERIOD, HORIZON, WORDS)
 
 
 @query("report_fit_by_tier", """
@@ -152,18 +151,25 @@ def report_exclusions(s: Stages) -> DataFrame:
     return rows.select("unit", "unit_name", "missing_inputs", "periods", *r6("total"), "total_text")
 
 
-def _meaning_sql() -> str:
-    groups = {"under": "profile IN ('Chronically Underfunded', 'Underfunded')", "over": "profile = 'Over-Resourced'", "near": "profile = 'Adequately Funded'"}
-    cases = []
-    for (group, way), said in reports.MEANINGS.items():
-        filled = said.replace("'", "''").replace("{outcome_word}", WORDS.outcome)
-        filled = filled.replace("{name}", "' || unit_name || '").replace("{profile}", "' || lower(profile) || '")
-        cases.append(f"WHEN {groups[group]} AND direction = '{way}' THEN '{filled}'")
-    caveat = reports.CAVEAT.replace("{periods}", "' || n_periods || '")
-    return f"SELECT unit, CASE {' '.join(cases)} END || CASE WHEN trend_significant THEN '' ELSE '{caveat}' END AS meaning FROM projection"
-
-
-@query("report_meaning", _meaning_sql(), uses="projection")
+@query("report_meaning", """
+SELECT unit, CASE
+  WHEN profile IN ('Chronically Underfunded', 'Underfunded') AND direction = 'Rising'
+    THEN unit_name || ' starts ' || lower(profile) || '; its adaptation aid rises, but rising with everyone else does not close the gap.'
+  WHEN profile IN ('Chronically Underfunded', 'Underfunded') AND direction = 'Falling'
+    THEN unit_name || ' is ' || lower(profile) || ' and its adaptation aid is falling, so the shortfall grows.'
+  WHEN profile IN ('Chronically Underfunded', 'Underfunded') AND direction = 'Flat'
+    THEN unit_name || ' is ' || lower(profile) || ' and its adaptation aid stays level, so the shortfall remains.'
+  WHEN profile = 'Over-Resourced' AND direction = 'Rising'
+    THEN unit_name || ' is over-resourced and its adaptation aid still rises, so the lead grows.'
+  WHEN profile = 'Over-Resourced' AND direction = 'Falling'
+    THEN unit_name || ' is over-resourced and its adaptation aid is falling, back toward need.'
+  WHEN profile = 'Over-Resourced' AND direction = 'Flat'
+    THEN unit_name || ' is over-resourced and its adaptation aid stays level, so the lead remains.'
+  WHEN profile = 'Adequately Funded' AND direction = 'Rising' THEN unit_name || ' tracks need; a rising path keeps it near the model line.'
+  WHEN profile = 'Adequately Funded' AND direction = 'Falling' THEN unit_name || ' tracks need; a falling path keeps it near the model line for now.'
+  WHEN profile = 'Adequately Funded' AND direction = 'Flat' THEN unit_name || ' tracks need; a flat path keeps it near the model line.' END
+  || CASE WHEN trend_significant THEN '' ELSE ' The trend is not statistically significant (' || n_periods || ' observed periods): an illustration, not a forecast.' END AS meaning
+FROM projection""", uses="projection")
 def report_meaning(s: Stages) -> DataFrame:
     return reports.meanings(s.projection, WORDS)
 
@@ -188,9 +194,9 @@ def report_coverage(s: Stages) -> DataFrame:
 
 @query("report_region_lines", """
 SELECT r.region, g.period, round(x.gap, 6) AS observed, round(r.gap_base + r.slope * (g.period - 2001), 6) AS fitted, round(r.gap_horizon, 6) AS gap_horizon
-FROM regional r CROSS JOIN (SELECT unnest(range(1995, 2009))::INTEGER AS period) g LEFT JOIN series x ON x.region = r.region AND x.period = g.period""", uses="regional")
+FROM regional r CROSS JOIN (SELECT unnest(range(min(period), 2009))::INTEGER AS period FROM panel) g LEFT JOIN series x ON x.region = r.region AND x.period = g.period""", uses="regional")
 def report_region_lines(s: Stages) -> DataFrame:
-    lines = reports.region_lines(s.scored, s.regional, FIRST, HORIZON)
+    lines = reports.region_lines(s.scored, s.regional, s.periods[0], HORIZON)
     return lines.select("region", "period", *r6("observed", "fitted", "gap_horizon")).orderBy("gap_horizon", "region", "period")
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from allocora.functions import fixed, labels, numeric, text
 from allocora.operators import reshape
+from allocora.plans.order_panel import HORIZON
 from allocora.runtime import scratch_path
 from allocora.sources import files
 from workload.registry import Stages, query, r6, rnd
 
-YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
+# Columns that the checking SQL has to name; the queries take the periods they find.
+SQL_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 CSV_SCHEMA = "unit bigint, label string, period int, outcome double, tier string"
 
 
@@ -24,9 +26,9 @@ def _labelled(s: Stages) -> DataFrame:
 
 def _wide(s: Stages) -> DataFrame:
     """One text column per year, headed like ``1995 [YR1995]``, and an empty trailing column."""
-    wide = s.panel.groupBy("unit").pivot("period", YEARS).agg(F.first("n_orders"))
-    cells = [F.coalesce(F.col(str(y)).cast("string"), F.lit("..")).alias(f"{y} [YR{y}]") for y in YEARS]
-    return wide.select("unit", *cells, F.lit(None).cast("string").alias("Unnamed: 8"))
+    wide = s.panel.groupBy("unit").pivot("period", s.periods).agg(F.first("n_orders"))
+    cells = [F.coalesce(F.col(str(y)).cast("string"), F.lit("..")).alias(f"{y} [YR{y}]") for y in s.periods]
+    return wide.select("unit", *cells, F.lit(None).cast("string").alias(f"Unnamed: {len(cells) + 1}"))
 
 
 @query("src_csv_scan", """
@@ -38,7 +40,7 @@ def src_csv_scan(s: Stages) -> DataFrame:
 
 
 @query("src_csv_preamble", """
-WITH y AS (SELECT unnest(range(1995, 2002))::INTEGER AS period)
+WITH y AS (SELECT unnest(range(min(period), max(period) + 1))::INTEGER AS period FROM panel)
 FINAL SELECT CAST(u.unit AS VARCHAR) AS unit, y.period, CAST(p.n_orders AS DOUBLE) AS n_orders
 FROM (SELECT DISTINCT unit FROM panel) u CROSS JOIN y LEFT JOIN panel p ON p.unit = u.unit AND p.period = y.period""")
 def src_csv_preamble(s: Stages) -> DataFrame:
@@ -55,7 +57,7 @@ def src_csv_preamble(s: Stages) -> DataFrame:
     files.csv_text(wide).mapInArrow(whole_file, "line string").write.text(path)
     read = files.read_csv_with_preamble(s.spark, path, 4, "unit", r"^\d+$", footer=[foot])
     clean = reshape.plain_year_headers(reshape.drop_columns_like(read, "^Unnamed"))
-    long = reshape.unpivot_years(clean, ["unit"], 1995, 2001, "n_orders")
+    long = reshape.unpivot_years(clean, ["unit"], s.periods[0], s.periods[-1], "n_orders")
     return long.withColumn("n_orders", reshape.clean_number("n_orders"))
 
 
@@ -119,13 +121,13 @@ WITH y AS (SELECT unnest(range(1996, 2001))::INTEGER AS period)
 FINAL SELECT u.unit, y.period, p.tier AS tier
 FROM (SELECT DISTINCT unit FROM panel) u CROSS JOIN y LEFT JOIN panel p ON p.unit = u.unit AND p.period = y.period""")
 def reshape_unpivot(s: Stages) -> DataFrame:
-    wide = s.panel.groupBy("unit").pivot("period", YEARS).agg(F.first("tier"))
-    headed = wide.toDF("unit", *[f"{y} [YR{y}]" for y in YEARS])
+    wide = s.panel.groupBy("unit").pivot("period", s.periods).agg(F.first("tier"))
+    headed = wide.toDF("unit", *[f"{y} [YR{y}]" for y in s.periods])
     return reshape.unpivot_years(reshape.plain_year_headers(headed), ["unit"], 1996, 2000, "tier")
 
 
 @query("proj_drop_columns_regex", """
-SELECT unit, """ + ", ".join(f"coalesce(CAST(max(n_orders) FILTER (period = {y}) AS VARCHAR), '..') AS \"{y}\"" for y in YEARS) + """
+SELECT unit, """ + ", ".join(f"coalesce(CAST(max(n_orders) FILTER (period = {y}) AS VARCHAR), '..') AS \"{y}\"" for y in SQL_YEARS) + """
 FROM panel GROUP BY unit""")
 def proj_drop_columns_regex(s: Stages) -> DataFrame:
     return reshape.plain_year_headers(reshape.drop_columns_like(_wide(s), "^Unnamed"))
@@ -235,10 +237,10 @@ def label_ordered_levels(s: Stages) -> DataFrame:
 
 @query("encode_dummies", """
 SELECT unit, period, CAST(tier = 'L' AS INTEGER) AS "tier_L", CAST(tier = 'LM' AS INTEGER) AS "tier_LM", CAST(tier = 'UM' AS INTEGER) AS "tier_UM",
-""" + ", ".join(f"CAST(period = {y} AS INTEGER) AS \"year_{y}\"" for y in YEARS[1:]) + " FROM model", uses="model")
+""" + ", ".join(f"CAST(period = {y} AS INTEGER) AS \"year_{y}\"" for y in SQL_YEARS[1:]) + " FROM model", uses="model")
 def encode_dummies(s: Stages) -> DataFrame:
     rows = s.model.select("unit", "period", "tier")
-    return reshape.dummies(reshape.dummies(rows, "tier", fixed.TIER_ORDER), "period", YEARS, "year").drop("tier")
+    return reshape.dummies(reshape.dummies(rows, "tier", fixed.TIER_ORDER), "period", s.periods, "year").drop("tier")
 
 
 @query("fmt_ordinal_and_signed", """
@@ -272,6 +274,6 @@ def distinct_sorted(s: Stages) -> DataFrame:
 
 
 @query("forecast_grid", """
-SELECT unit, CAST(unnest(range(1995, 2009)) AS INTEGER) AS period FROM (SELECT DISTINCT unit FROM panel) u""")
+SELECT unit, CAST(unnest(range((SELECT min(period) FROM panel), 2009)) AS INTEGER) AS period FROM (SELECT DISTINCT unit FROM panel) u""")
 def forecast_grid(s: Stages) -> DataFrame:
-    return s.panel.select("unit").distinct().select("unit", F.explode(F.sequence(F.lit(1995), F.lit(2008))).alias("period"))
+    return s.panel.select("unit").distinct().select("unit", F.explode(F.sequence(F.lit(s.periods[0]), F.lit(HORIZON))).alias("period"))

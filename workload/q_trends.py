@@ -190,7 +190,7 @@ def trend_scatter_fit(s: Stages) -> DataFrame:
 
 @query("forecast_curve", """
 SELECT q.unit, g.period, round(exp(q.intercept + q.slope * g.period) - 1, 4) AS curve, round(p.outcome, 6) AS observed, CASE WHEN g.period <= 2001 THEN 'fitted' ELSE 'projected' END AS part
-FROM projection q CROSS JOIN (SELECT unnest(range(1995, 2009))::INTEGER AS period) g LEFT JOIN panel p ON p.unit = q.unit AND p.period = g.period""", uses="projection")
+FROM projection q CROSS JOIN (SELECT unnest(range(min(period), 2009))::INTEGER AS period FROM panel) g LEFT JOIN panel p ON p.unit = q.unit AND p.period = g.period""", uses="projection")
 def forecast_curve(s: Stages) -> DataFrame:
-    curve = reports.forecast_curve(s.panel, s.projection, 1995, BASE_PERIOD, HORIZON)
+    curve = reports.forecast_curve(s.panel, s.projection, s.periods[0], BASE_PERIOD, HORIZON)
     return curve.select("unit", "period", rnd("curve", 4).alias("curve"), *r6("observed"), "part")

@@ -98,6 +98,16 @@ class Stages:
 
         return self._once("projection", make)
 
+    @property
+    def periods(self) -> list[int]:
+        """All periods from the first to the last that the panel holds."""
+
+        def make():
+            ends = self.panel.agg(F.min("period").alias("first"), F.max("period").alias("last")).first()
+            return list(range(ends["first"], ends["last"] + 1)) if ends["first"] is not None else []
+
+        return self._once("periods", make)
+
     @property
     def regional(self) -> DataFrame:
         return region_gap_trend(self.scored, op.BASE_PERIOD, op.HORIZON)
