@@ -29,7 +29,8 @@ _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 #: A word and signs after it, of which no pre-tokenizer makes one piece. The apostrophe is left out: it starts pieces like 't.
 _WORD_AND_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
-CACHE_PIECES = 600_000
+#: Pieces of one generation of a cache; there are two, and longer pieces are not kept.
+CACHE_PIECES = 300_000
 CACHE_PIECE_CHARS = 40
 
 
@@ -39,17 +40,29 @@ def ascii_lower(text: str) -> str:
 
 
 class _Pieces(dict):
-    """Bytes of pieces, found when first asked for; long pieces are not kept."""
+    """Bytes of pieces, found when first asked for; long pieces are not kept.
+
+    A full cache becomes the older generation; what is asked for again moves into the
+    new one, and the rest goes when that is full in turn. So frequent pieces stay.
+    """
 
     def __init__(self, find: Callable[[str], bytes]):
         self.find = find
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.find(piece)
+        found = self.older.get(piece)
+        if found is None:
+            found = self.find(piece)
         if len(piece) <= CACHE_PIECE_CHARS:
             self[piece] = found
         return found
 
+    def bound(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.older = self.copy()
+            self.clear()
+
 
 def _byte_letters() -> list[str]:
     """The character that byte-level vocabularies write for each byte: itself if it can be seen, else one from 256 on."""
@@ -63,8 +76,8 @@ class WordEncoder:
 
     A text is cut where a space follows something that is not blank, which is where
     the vocabularies' own pre-tokenizers cut too, so that pieces can be encoded one
-    by one. The tokenizers library encodes them; what it gives is kept for at most
-    ``CACHE_PIECES`` short pieces per worker, because words repeat. ``keep_blanks``
+    by one. The tokenizers library encodes them; what it gives is kept per worker for
+    a bounded number of short pieces, the ones used last, because words repeat. ``keep_blanks``
     says whether blanks belong to tokens (byte-level vocabularies) or separate them
     (vocabularies with word ends, in lower case).
     """
@@ -77,7 +90,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.keep_blanks = keep_blanks
         self.letters = _byte_letters()
-        self.words = _Pieces(self._word)
+        self.signs = _Pieces(self._word)
         self.plain = _Pieces(self._plain)
         self.spaced = _Pieces(lambda piece: self._plain(" " + piece))
 
@@ -86,7 +99,12 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         """A piece that the pre-tokenizer leaves whole, straight through the library's model."""
-        tokens = self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))
+        body = word[1:] if word[0] == " " else word
+        if body.isascii() and body.isprintable() and " " not in body:
+            written = self.letters[32] + body if body is not word else body
+        else:
+            written = "".join([self.letters[b] for b in word.encode()])
+        tokens = self.tokenizer.model.tokenize(written)
         return array("I", [t.id for t in tokens]).tobytes()
 
     def _plain(self, piece: str) -> bytes:
@@ -94,8 +112,11 @@ class WordEncoder:
         found = _WORD_AND_SIGNS.fullmatch(piece, len(space))
         if found is None:
             return self._whole(piece)
-        signs = found[2]
-        return self.words[space + found[1]] + (self.words[signs] if signs else b"")
+        word, signs = found.groups()
+        if not signs:
+            return self._word(piece)
+        # The word is kept once, as the piece without signs.
+        return (self.spaced if space else self.plain)[word] + self.signs[signs]
 
     def _encode(self, text: str) -> bytes:
         if not self.keep_blanks:
@@ -116,9 +137,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        for cache in (self.words, self.plain, self.spaced):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
+        for cache in (self.signs, self.plain, self.spaced):
+            cache.bound()
         return [self._encode(text) if text else b"" for text in texts]
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from corpus_data import SCHEMA, frame, rows
 
-from allocora.llm import packing, token_files
+from allocora.llm import common, packing, token_files
 from allocora.llm.common import word_encoder
 from allocora.llm.queries import tokenizer
 
@@ -136,3 +136,20 @@ def test_crc_of_query(spark):
     ids = ids_of(BYTES, "some text", 2).tobytes()
     row = spark.createDataFrame([(bytearray(ids),)], "tokens binary").select(F.crc32("tokens")).collect()[0]
     assert row[0] == zlib.crc32(ids)
+
+
+def test_generations_keep_what_is_used(monkeypatch):
+    monkeypatch.setattr(common, "CACHE_PIECES", 3)
+    asked = []
+
+    def find(piece):
+        asked.append(piece)
+        return piece.encode()
+
+    pieces = common._Pieces(find)
+    for turn in range(10):
+        for piece in ("often", f"once {turn}", f"also {turn}", f"third {turn}"):
+            assert pieces[piece] == piece.encode()
+        pieces.bound()
+    assert asked.count("often") == 1 and len(asked) == 31
+    assert len(pieces) + len(pieces.older) <= 8
