@@ -73,7 +73,10 @@ def _codes(word: str) -> list[int]:
 
 
 def _windows(words: list[str]) -> tuple[list[list[int]], np.ndarray]:
-    """Codes of words and of their parts between signs, long ones in windows, and the word each belongs to."""
+    """Codes of words and of their parts between signs, long ones in windows, and the word each belongs to.
+
+    Windows start half a window apart, so that up to half a window of letters lies whole in one.
+    """
     out, owner = [], []
     for at, word in enumerate(words):
         forms = [_codes(word)]
@@ -81,7 +84,7 @@ def _windows(words: list[str]) -> tuple[list[list[int]], np.ndarray]:
             parts = _PARTS.findall(word)
             forms += [[27, *filter(None, map(_letter, part)), 28] for part in parts if len(parts) > 1]
         for codes in forms:
-            for start in range(0, max(1, len(codes) - SPAN), WINDOW):
+            for start in range(0, max(1, len(codes) - WINDOW // 2 - SPAN), WINDOW // 2):
                 out.append(codes[start : start + WINDOW + SPAN])
                 owner.append(at)
     return out, np.array(owner, np.int64)
@@ -124,7 +127,7 @@ def _norms(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _sparse(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(positions, subsequences, values) of words as vectors of unit length; the kernel of two words is their product."""
-    for part, codes in _by_length([codes[: WINDOW + SPAN] for codes in map(_codes, words)]):
+    for part, codes in _by_length(list(map(_codes, words))):
         ids, weights = _features(codes)
         if ids.shape[1]:
             yield part, ids, weights / np.maximum(_norms(ids, weights), 1e-12)[:, None]
@@ -195,7 +198,7 @@ def fragments(text: str | None) -> set[str]:
     if not text:
         return set()
     found = set(text.lower().split())
-    if sum(len(w) == 1 for w in found) >= 3:
+    if any(len(w) == 1 for w in found):
         found.update("".join(m[0].split()) for m in _SINGLES.finditer(text.lower()))
     return found
 
@@ -347,7 +350,9 @@ def trained(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder
     """Fit on a sample of the labelled documents outside the held-out fold.
 
     At most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled ids, in the order of a
-    hash; of an id's rows, each counts. Null labels, ids or texts are left out.
+    hash, and of their different texts up to ``SAMPLE_BYTES`` bytes at most twice as
+    many as of ids, in the order of a hash of id and words. Null labels, ids or texts
+    are left out.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", modulus) != held_remainder))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -368,7 +373,8 @@ def trained(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_remainder
     table = (
         rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
         .mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("found", T.StringType())]))
-        .orderBy("doc_id", "found")
+        .distinct()
+        .orderBy(F.xxhash64("doc_id", "found"), "doc_id", "found")
         .limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
         .toArrow()
     )

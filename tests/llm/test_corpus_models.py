@@ -280,3 +280,19 @@ def test_language_of_pages(spark):
 )
 def test_address_parts(url, parts):
     assert langid.address_parts(url) == parts
+
+
+def test_few_different_letters_apart_are_put_together():
+    assert "boob" in toxicity.fragments("such b o o b again")
+    assert "aaaa" in toxicity.fragments("a a a a")
+    assert toxicity.fragments("not a b here") == {"not", "a", "b", "here"}
+
+
+def test_windows_overlap_by_half():
+    word = "x" * 30 + "snorvikgorda" + "y" * 40
+    codes, _ = toxicity._windows([word])
+    inner = toxicity._codes("snorvikgorda")[1:-1]
+    for shift in range(60):
+        codes, _ = toxicity._windows(["x" * shift + "snorvikgorda" + "y" * 70])
+        assert any(c[i : i + len(inner)] == inner for c in codes for i in range(len(c)))
+    assert len(toxicity._windows(["x" * 43])[0]) == 1
