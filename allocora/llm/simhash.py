@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def one_per_component(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the smallest doc_id (null first).
 
-    Ties between different texts go to the smaller text hash; of repeated rows one
-    stays. Columns stay as they are.
+    Ties between different texts go to the smaller text hash; of rows with equal id
+    and text the first in the order of all columns stays. Columns stay as they are.
     """
     found = near_duplicates(docs, shingle, max_bits)
     chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count("*").alias("rows"))
@@ -279,5 +279,5 @@ def one_per_component(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = M
     def rows(keys: DataFrame) -> DataFrame:
         return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash")))
 
-    repeated = rows(small_table(kept.filter("__rows > 1"))).dropDuplicates(["__doc", "__hash"])
-    return rows(kept.filter("__rows = 1")).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    repeated = rows(small_table(kept.filter("__rows > 1"))).groupBy("__doc", "__hash").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return rows(kept.filter("__rows = 1")).select(*docs.columns).unionByName(repeated.select("__row.*"))

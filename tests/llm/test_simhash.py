@@ -99,3 +99,10 @@ def test_empty_table(spark):
 def test_hex_form(spark):
     row = spark.createDataFrame([(-1,), (5,)], "f long").select(F.lpad(F.lower(F.hex("f")), 16, "0")).collect()
     assert [r[0] for r in row] == ["f" * 16, "0" * 15 + "5"]
+
+
+def test_of_equal_rows_always_the_same_stays(spark):
+    data = [(1, "one two three four five", lang, source, 23) for lang, source in (("en", "b"), ("de", "a"), ("en", "a"), (None, "c"))]
+    for order in (data, data[::-1], data[2:] + data[:2]):
+        kept = simhash.one_per_component(spark.createDataFrame(order, SCHEMA).repartition(3)).collect()
+        assert [(r["lang"], r["source"]) for r in kept] == [(None, "c")]
