@@ -4,71 +4,101 @@ from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from allocora.runtime import shuffle_width, stage
+from allocora.runtime import shuffle_width, small_table, stage
 
 #: Vectors in a block. A tile holds two blocks' products, 16 MB.
 BLOCK = 2048
-#: Query blocks that share a column of the grid.
-GRID_QUERIES = 4
+#: Full blocks dealt to a packing task.
+TASK_BLOCKS = 4
+#: Bytes of candidate blocks in a cell of the grid; a task holds one cell at a time.
+CELL_BYTES = 64 << 20
 
-_BLOCKS = "block long, dim int, query boolean, n int, ids binary, vectors binary, quantised binary, scale binary, norm binary, error binary"
+_PARTS = ("ids", "vectors", "quantised", "scale", "norm", "error")
+_BLOCKS = "block long, dim int, query boolean, col long, " + ", ".join(f"{p} binary" for p in _PARTS)
 _FOUND = "query_block long, query_row int, query_id long, score double, vec_id long"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cell_blocks(dim: int, item: int, cell_bytes: int = CELL_BYTES) -> int:
+    """Candidate blocks in a cell, whatever the number of vectors."""
+    return max(1, cell_bytes // (BLOCK * (dim * (item + 1) + 32)))
+
+
+def column(task: int, number: int, blocks: int, most_tasks: int) -> int:
+    """Column of a task's ``number``-th candidate block, so that none gets more than ``blocks``.
+
+    ``most_tasks`` tasks at most share a column, which keeps small tables parallel;
+    a task with more blocks than its share opens a column for the rest.
+    """
+    share = min(blocks, TASK_BLOCKS + 2)
+    tasks = max(1, min(most_tasks, blocks // share))
+    return (task // tasks) << 32 | (number // share)
+
+
+def _packing(item: int, most_tasks: int, cell_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Vectors of a task by dimension, packed into matrices and quantised to int8."""
-    waiting: dict[tuple[int, bool], list[tuple[int, np.ndarray]]] = {}
-    block = itertools.count(TaskContext.get().partitionId() << 32)
-
-    def packed(dim: int, query: bool, rows: list[tuple[int, np.ndarray]]) -> dict:
-        vectors = np.stack([v for _, v in rows])
-        scale = np.abs(vectors).max(axis=1) / 127.0
-        quantised = np.rint(vectors / scale[:, None]).astype(np.int8)
-        error = np.linalg.norm(vectors - quantised * scale[:, None], axis=1)
-        return {
-            "block": next(block),
-            "dim": dim,
-            "query": query,
-            "n": len(rows),
-            "ids": np.array([i for i, _ in rows], np.int64).tobytes(),
-            "vectors": vectors.tobytes(),
-            "quantised": quantised.tobytes(),
-            "scale": scale.tobytes(),
-            "norm": np.linalg.norm(vectors, axis=1).tobytes(),
-            "error": error.tobytes(),
-        }
-
-    schema = pa.schema(
-        [("block", pa.int64()), ("dim", pa.int32()), ("query", pa.bool_()), ("n", pa.int32())]
-        + [(n, pa.binary()) for n in ("ids", "vectors", "quantised", "scale", "norm", "error")]
-    )
-    for batch in batches:
-        out = []
-        for i, vector, query in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            if i is None or not vector or None in vector:
-                continue
-            found = np.array(vector, np.float64)
-            if not np.isfinite(found).all() or not found.any():
-                continue
-            for kind in (False, True) if query else (False,):
-                rows = waiting.setdefault((len(found), kind), [])
-                rows.append((i, found))
-                if len(rows) == BLOCK:
-                    out.append(packed(len(found), kind, rows))
-                    rows.clear()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, bool], list[tuple[int, np.ndarray]]] = {}
+        task = TaskContext.get().partitionId()
+        block = itertools.count(task << 32)
+        numbers: dict[int, int] = {}
+
+        def packed(dim: int, query: bool, rows: list[tuple[int, np.ndarray]]) -> dict:
+            vectors = np.stack([v for _, v in rows])
+            scale = np.abs(vectors).max(axis=1) / 127.0
+            quantised = np.rint(vectors / scale[:, None]).astype(np.int8)
+            error = np.linalg.norm(vectors - quantised * scale[:, None], axis=1)
+            col = None
+            if not query:
+                number = numbers[dim] = numbers.get(dim, -1) + 1
+                col = column(task, number, cell_blocks(dim, item, cell_bytes), most_tasks)
+            return {
+                "block": next(block),
+                "dim": dim,
+                "query": query,
+                "col": col,
+                "ids": np.array([i for i, _ in rows], np.int64).tobytes(),
+                "vectors": vectors.astype(f"f{item}").tobytes(),
+                "quantised": quantised.tobytes(),
+                "scale": scale.tobytes(),
+                "norm": np.linalg.norm(vectors, axis=1).tobytes(),
+                "error": error.tobytes(),
+            }
+
+        schema = pa.schema(
+            [("block", pa.int64()), ("dim", pa.int32()), ("query", pa.bool_()), ("col", pa.int64())]
+            + [(p, pa.binary()) for p in _PARTS]
+        )
+        for batch in batches:
+            out = []
+            for i, vector, query in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if i is None or not vector or None in vector:
+                    continue
+                found = np.array(vector, np.float64)
+                if not np.isfinite(found).all() or not found.any():
+                    continue
+                for kind in (False, True) if query else (False,):
+                    rows = waiting.setdefault((len(found), kind), [])
+                    rows.append((i, found))
+                    if len(rows) == BLOCK:
+                        out.append(packed(len(found), kind, rows))
+                        rows.clear()
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        out = [packed(*key, rows) for key, rows in waiting.items() if rows]
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
-    out = [packed(*key, rows) for key, rows in waiting.items() if rows]
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
+
+    return blocks
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,8 +119,11 @@ def tile(q: dict, c: dict, k: int) -> Iterator[tuple[int, float, int]]:
     dim = q["dim"]
     at = lambda row, name, kind: np.frombuffer(row[name], kind)
     qx, cx = (at(r, "quantised", np.int8).reshape(-1, dim).astype(np.float32 if dim <= 1000 else np.float64) for r in (q, c))
-    qv, cv = (at(r, "vectors", np.float64).reshape(-1, dim) for r in (q, c))
     ids, own = at(c, "ids", np.int64), at(q, "ids", np.int64)
+    qv, cv = (
+        at(r, "vectors", f"f{len(r['vectors']) // (n * dim)}").reshape(n, dim).astype(np.float64)
+        for r, n in ((q, len(own)), (c, len(ids)))
+    )
     scale, norm, error = (at(c, n, np.float64) for n in ("scale", "norm", "error"))
     q_scale, q_norm, q_error = (at(q, n, np.float64) for n in ("scale", "norm", "error"))
     for first in range(0, len(qx), 256):
@@ -137,15 +170,18 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """Each query's ``k`` nearest rows by inner product: query_id, rank (from 1), vec_id, score.
 
     Vectors are packed into blocks and written once as a table. Query blocks and
-    candidate blocks meet on a grid: each query block goes to every column, each
-    candidate block to every row, so that a pair of blocks meets once, in a task of
-    its own, whatever the vectors are. A tile's int8 products and their error
+    candidate blocks meet on a grid: a column has at most ``cell_bytes`` of candidate
+    blocks (or one block) and every query block goes to every column, so that a pair of blocks meets
+    once, whatever the vectors are. The grid has several rows, to each of which all
+    candidates go, only while the columns are too few to keep the tasks busy. A task
+    holds the candidates of one cell and streams the query blocks past them. A tile's int8 products and their error
     bounds leave few pairs to compute on the original vectors; heaps of ``k``
-    merge a task's tiles, then a query's tasks. The result is exact.
+    merge a query block's tiles, then a query's cells. The result is exact.
 
     A vector that is null, empty, zero or has null or non-finite components takes
     no part, nor does a null id. Only vectors of the same length are compared. Rows
@@ -153,35 +189,45 @@ def nearest(
     are rows of their own, on both sides. Ties go to the smaller id. With fewer
     candidates than ``k`` all are returned; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
+    width = shuffle_width(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long"), vector_col, F.coalesce(is_query, F.lit(False)))
-    dealt = rows.repartition(max(1, vectors.count() // (4 * BLOCK)))  # else many tasks' last blocks would be small
-    blocks = stage(dealt.mapInArrow(_blocks, _BLOCKS), "blocks")
-    counted = {r["query"]: r["count"] for r in blocks.groupBy("query").count().collect()}
-    tall = max(1, -(-counted.get(True, 0) // GRID_QUERIES))
-    wide = max(1, min(counted.get(False, 0), -(-4 * shuffle_width(spark) // tall)))
+    item = 4 if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else 8
+    tasks = max(1, vectors.count() // (TASK_BLOCKS * BLOCK))
+    dealt = rows.repartition(tasks)  # else many tasks' last blocks would be small
+    blocks = stage(dealt.mapInArrow(_packing(item, max(1, tasks // width), cell_bytes), _BLOCKS), "blocks")
+    columns = blocks.filter("NOT query").select("dim", "col").distinct()
+    n_columns = max(1, columns.count())
+    tall = max(1, min(blocks.filter("query").count(), -(-2 * width // n_columns)))
+    candidates = blocks.filter("NOT query").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))))
     queries = (
         blocks.filter("query")
+        .drop("col")
         .withColumn("y", F.pmod(F.hash("block"), F.lit(tall)))
-        .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
-        .select("x", "y", F.col("dim").alias("q_dim"), F.struct("dim", "ids", "vectors", "quantised", "scale", "norm", "error", "block").alias("q"))
+        .join(small_table(columns), "dim")
     )
-    candidates = (
-        blocks.filter("NOT query")
-        .withColumn("x", F.pmod(F.hash("block"), F.lit(wide)))
-        .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))))
-        .select("x", "y", F.col("dim").alias("c_dim"), F.struct("ids", "vectors", "quantised", "scale", "norm", "error").alias("c"))
+    cells = (
+        candidates.unionByName(queries)
+        .repartition(n_columns * tall, "dim", "col", "y")
+        .sortWithinPartitions("dim", "col", "y", "query", "block")
+        .select("dim", "col", "y", "query", "block", *_PARTS)
     )
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict = {}
+        cell, held = None, []
         for batch in batches:
             for at in range(batch.num_rows):
-                q, c = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                own = np.frombuffer(q["ids"], np.int64)
-                for row, score, vec_id in tile(q, c, k):
-                    _push(heaps, (q["block"], row, int(own[row])), score, vec_id, k)
-        yield from _rows(heaps)
+                row = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
+                if (row["dim"], row["col"], row["y"]) != cell:
+                    cell, held = (row["dim"], row["col"], row["y"]), []
+                if not row["query"]:
+                    held.append(row)
+                    continue
+                heaps: dict = {}
+                own = np.frombuffer(row["ids"], np.int64)
+                for candidates in held:
+                    for at_row, score, vec_id in tile(row, candidates, k):
+                        _push(heaps, (row["block"], at_row, int(own[at_row])), score, vec_id, k)
+                yield from _rows(heaps)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict = {}
@@ -201,8 +247,7 @@ def nearest(
                 names=["query_id", "rank", "vec_id", "score"],
             )
 
-    met = queries.join(candidates.hint("shuffle_hash"), (["x", "y"])).filter("q_dim = c_dim").select("q", "c")
-    found = met.mapInArrow(tiles, _FOUND)
+    found = cells.mapInArrow(tiles, _FOUND)
     return found.repartition("query_block", "query_row").mapInArrow(
         merge, "query_id long, rank int, vec_id long, score double"
     )

@@ -161,6 +161,30 @@ def test_neighbours_equal_sql(spark, monkeypatch, block):
     assert found == sorted(in_duckdb(neighbours.ORACLE, embeddings=table))
 
 
+def test_neighbours_in_many_columns(spark):
+    draw = np.random.default_rng(9)
+    table = draw.normal(size=(20_000, 4)).round(2)
+    table[::3] = table[0]  # one vector holds a third of all rows
+    frame_ = spark.createDataFrame([(i, v) for i, v in enumerate(table.tolist())], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(frame_, F.col("vec_id") % 500 == 0, 5, cell_bytes=1)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+    for q in range(0, 20_000, 500):
+        score = neighbours.exact_scores(np.broadcast_to(table[q], table.shape), table)
+        best = [i for i in np.lexsort((np.arange(len(score)), -score)) if i != q][:5]
+        assert [got[q, r] for r in range(1, 6)] == best
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 6, 93])
+@pytest.mark.parametrize("most_tasks", [1, 7, 1000])
+def test_no_cell_grows_with_the_vectors(blocks, most_tasks):
+    uneven = {task: 5 + task % 4 for task in range(3000)} | {17: 500}
+    held = Counter(neighbours.column(task, n, blocks, most_tasks) for task, many in uneven.items() for n in range(many))
+    assert max(held.values()) <= blocks
+    share = min(blocks, neighbours.TASK_BLOCKS + 2)
+    groups = -(-3000 // max(1, min(most_tasks, blocks // share)))
+    assert len(held) <= groups * -(-8 // share) + -(-500 // share)
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     found = neighbours.nearest(few, F.col("vec_id") % 20 == 0).collect()
