@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from allocora.functions.text import name_key, trim_unicode
 from allocora.runtime import small_table
 
 
+#: Letters in a gram of a name.
+GRAM = 4
+#: Grams known as frequent; the others count as equally rare.
+FREQUENT_GRAMS = 4096
+#: Aliases of one length that may share a gram before they are compared by shortened forms.
+MOST_ALIASES = 1000
+
+
 class DuplicateKeyError(ValueError):
     """A lookup would multiply the rows it is joined to."""
 
@@ -74,6 +82,73 @@ def shortened(key: str, max_edits: int) -> Column:
     return forms
 
 
+def grams(key: str) -> Column:
+    """The different runs of ``GRAM`` letters in a text with padded ends."""
+    pad = F.lit("\u0001" * (GRAM - 1))
+    return F.array_distinct(
+        F.transform(
+            F.sequence(F.lit(1), F.length(key) + (GRAM - 1)),
+            lambda i: F.substring(F.concat(pad, F.col(key), pad), i, F.lit(GRAM)),
+        )
+    )
+
+
+def _rarest(keys: DataFrame, key: str, frequent: DataFrame, most: int) -> DataFrame:
+    """A row for each of a key's ``most`` rarest grams, with its length and whether it has no more grams than edits can change."""
+    order = Window.partitionBy(key).orderBy(F.coalesce("_n", F.lit(0)), "_gram")
+    return (
+        keys.withColumn("_grams", grams(key))
+        .select("*", (F.size("_grams") < most).alias("_short"), F.explode("_grams").alias("_gram"), F.length(key).alias("_len"))
+        .drop("_grams")
+        .join(frequent, "_gram", "left")
+        .withColumn("_rank", F.row_number().over(order))
+        .filter(F.col("_rank") <= most)
+        .drop("_rank", "_n")
+    )
+
+
+def _form_pairs(wanted: DataFrame, offered: DataFrame, max_edits: int) -> DataFrame:
+    """Pairs that share a text reachable by deletions.
+
+    Texts that share only the empty one are as far apart as the longer one is long, so
+    the first alias of each length stands for all of that length.
+    """
+    forms = offered.select("_cand", "_code", F.explode(shortened("_cand", max_edits)).alias("_form"))
+    emptied = forms.filter("_form = ''").groupBy(F.length("_cand")).agg(F.min(F.struct("_cand", "_code")).alias("_first"))
+    offers = forms.filter("_form <> ''").unionByName(emptied.select("_first._cand", "_first._code", F.lit("").alias("_form")))
+    return wanted.select("_key", F.explode(shortened("_key", max_edits)).alias("_form")).join(offers, "_form").drop("_form")
+
+
+def near_pairs(wanted: DataFrame, offered: DataFrame, max_edits: int, most_aliases: int = MOST_ALIASES) -> DataFrame:
+    """Candidates (_key, _cand, _code) that include every pair of texts at most ``max_edits`` apart.
+
+    An edit changes at most ``GRAM`` grams. So of two texts n edits apart, one of them
+    with more than n * ``GRAM`` grams, the n * ``GRAM`` + 1 rarest grams of each have one
+    in common, and the lengths differ by n at most: the join is on gram and length.
+    Texts with fewer grams, and those with a gram that more than ``most_aliases``
+    aliases of one length offer, meet by shortened forms instead. At most as many
+    aliases share a form as ``max_edits`` insertions can make of it. For a single edit
+    the forms alone are fewer and more telling than the grams.
+    """
+    if max_edits < 2:
+        return _form_pairs(wanted, offered, max_edits)
+    most = GRAM * max_edits + 1
+    counts = offered.select(F.explode(grams("_cand")).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    frequent = F.broadcast(counts.orderBy(F.desc("_n"), "_gram").limit(FREQUENT_GRAMS))
+    offers = _rarest(offered, "_cand", frequent, most)
+    probes = _rarest(wanted, "_key", frequent, most).withColumn(
+        "_len", F.explode(F.sequence(F.col("_len") - max_edits, F.col("_len") + max_edits))
+    )
+    on = ["_gram", "_len"]
+    crowded = small_table(offers.groupBy(*on).count().filter(F.col("count") > most_aliases).select(*on))
+    by_gram = probes.join(offers.join(crowded, on, "left_anti").drop("_short"), on).select("_key", "_cand", "_code")
+
+    def apart(rows: DataFrame, *names: str) -> DataFrame:
+        return rows.filter("_short").select(*names).union(rows.join(crowded, on, "left_semi").select(*names)).distinct()
+
+    return by_gram.union(_form_pairs(apart(probes, "_key"), apart(offers, "_cand", "_code"), max_edits))
+
+
 def resolve_names(
     names: DataFrame,
     aliases: DataFrame,
@@ -84,22 +159,18 @@ def resolve_names(
 ) -> DataFrame:
     """Code of each name: override, then exact alias, then nearest alias.
 
-    The nearest-alias step sees only names the first two leave over. Two texts at
-    most n edits apart share a text reachable by at most n deletions from each, so
-    an equi-join on those finds every candidate without comparing all names with
-    all aliases. Names without a code stay, with a NULL code and method.
+    The nearest-alias step sees only names the first two leave over, and compares
+    them with the aliases of :func:`near_pairs` only; of equally near aliases the
+    first counts. Names without a code stay, with a NULL code and method.
     """
     keyed = names.select(trim_unicode(name).alias(name)).distinct().withColumn("_key", name_key(name))
     alias = aliases.groupBy(name_key(name).alias("_key")).agg(F.min(code).alias("_alias"))
     over = overrides.groupBy(name_key(name).alias("_key")).agg(F.min(code).alias("_over"))
     exact = keyed.join(over, "_key", "left").join(alias, "_key", "left")
-    left_over = exact.filter(F.col("_over").isNull() & F.col("_alias").isNull()).select("_key").distinct()
-    wanted = left_over.select("_key", F.explode(shortened("_key", max_edits)).alias("_form"))
-    offered = alias.select(
-        F.col("_key").alias("_cand"), F.col("_alias").alias("_code"), F.explode(shortened("_key", max_edits)).alias("_form")
-    )
+    left_over = exact.filter("_over IS NULL AND _alias IS NULL AND _key IS NOT NULL").select("_key").distinct()
+    offered = alias.filter("_key IS NOT NULL").select(F.col("_key").alias("_cand"), F.col("_alias").alias("_code"))
     nearest = (
-        wanted.join(offered, "_form")
+        near_pairs(left_over, offered, max_edits)
         .withColumn("_d", F.levenshtein("_key", "_cand", max_edits))
         .filter(F.col("_d") >= 0)
         .groupBy("_key")

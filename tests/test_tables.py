@@ -1,5 +1,7 @@
 """Sources, cleaning, joins, text, quality and reports on small frames."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +223,31 @@ def test_fanout_guard(spark):
     assert joins.guarded_left_join(left, right.limit(1), ["k"]).count() == 2
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("most_aliases", [1000, 3])
+def test_near_names_equal_brute_force(spark, edits, most_aliases):
+    draw = random.Random(edits)
+    alias = ["", "a", "b", "zz", "aaaaaaaa", "aaaaaaaaaa", "ab", "ba", "ünï"]
+    alias += ["".join(draw.choice("abc") for _ in range(draw.randint(1, 9))) for _ in range(150)]
+    alias += [f"unit#{draw.randint(0, 9999):08d}" for _ in range(100)]
+
+    def edited(text):
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randint(0, len(text))
+            text = text[:at] + draw.choice(["", "a", "7", "x"]) + text[at + draw.randint(0, 1) :]
+        return text
+
+    names = sorted({edited(draw.choice(alias)) for _ in range(200)} | {"", "q", "qq", "qqq"})
+    alias = sorted(set(alias))
+    wanted = spark.createDataFrame([(n,) for n in names], "_key string")
+    offered = spark.createDataFrame([(a, a) for a in alias], "_cand string, _code string")
+    pairs = joins.near_pairs(wanted, offered, edits, most_aliases).withColumn("d", F.levenshtein("_key", "_cand", edits)).filter("d >= 0")
+    found = {r["_key"]: (r["d"], r["_cand"]) for r in pairs.groupBy("_key").agg(F.min(F.struct("d", "_cand")).alias("b")).select("_key", "b.*").collect()}
+    every = wanted.join(offered, F.levenshtein("_key", "_cand") <= edits).withColumn("d", F.levenshtein("_key", "_cand"))
+    best = {r["_key"]: (r["d"], r["_cand"]) for r in every.groupBy("_key").agg(F.min(F.struct("d", "_cand")).alias("b")).select("_key", "b.*").collect()}
+    assert found == best and len(best) > 100
+
+
 def test_name_resolution(spark):
     aliases = spark.createDataFrame([("Haiti", "HTI"), ("Fiji", "FJI"), ("Mali", "MLI"), ("Malo", "MLO"), ("São Tomé", "STP")], "name string, code string")
     over = spark.createDataFrame([("St. Lucia", "LCA"), ("Fiji", "OVR")], "name string, code string")
