@@ -248,6 +248,25 @@ def test_near_names_equal_brute_force(spark, edits, most_aliases):
     assert found == best and len(best) > 100
 
 
+def test_figures_of_the_writing_pass(spark):
+    rows = [("a", 1, 1.0), ("a", 2, None), ("b", 1, 2.0), ("b", 1, 3.0), (None, 1, 4.0), ("c", None, 1.0), ("c", None, None)]
+    df = spark.createDataFrame(rows, "unit string, period int, v double").repartition(3)
+    spark.sparkContext.setJobGroup("writing", "one pass")
+    written, found = quality.stage_measured(df, "measured", "unit", "period", ["v", "unit"])
+    made = len(spark.sparkContext.statusTracker().getJobIdsForGroup("writing"))
+    spark.sparkContext.setJobGroup("plain", "one pass")
+    stage(df, "plain", bucket_by="unit", sort_by=("unit", "period"))
+    assert made == len(spark.sparkContext.statusTracker().getJobIdsForGroup("plain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {"n_rows": 7, "n_units": 3, "n_repeated": 2, "v_missing": 2, "unit_missing": 1}
+    assert sorted(map(str, written.collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(quality.QualityError, match="2 repeated rows; 2 rows without v"):
+        quality.require(found, n_rows=7, n_units=3, not_null=["v"])
+    empty, none = quality.stage_measured(df.limit(0), "empty", "unit", "period")
+    assert empty.isEmpty() and none["n_rows"] == none["n_units"] == 0
+    quality.require(none)
+
+
 def test_name_resolution(spark):
     aliases = spark.createDataFrame([("Haiti", "HTI"), ("Fiji", "FJI"), ("Mali", "MLI"), ("Malo", "MLO"), ("São Tomé", "STP")], "name string, code string")
     over = spark.createDataFrame([("St. Lucia", "LCA"), ("Fiji", "OVR")], "name string, code string")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from allocora.functions import fixed
 from allocora.operators import quality
-from allocora.operators.joins import assert_unique_key
 from allocora.plans import reports
 from allocora.plans.order_panel import BASE_PERIOD, HORIZON, INPUTS
 from workload.registry import Stages, query, r6, rnd
@@ -177,13 +176,12 @@ def report_meaning(s: Stages) -> DataFrame:
 @query("quality_gate", """
 SELECT count(*) AS n_rows, count(DISTINCT unit) AS n_units, count(*) - count(need) AS need_missing, count(*) - count(tier) AS tier_missing FROM model""", uses="model")
 def quality_gate(s: Stages) -> DataFrame:
-    assert_unique_key(s.model, ["unit", "period"])
     counted = s.table("orders").agg(
         F.countDistinct("o_custkey", F.year("o_orderdate")).alias("cells"), F.countDistinct("o_custkey").alias("units")
     ).first()
     quality.expect(s.panel, n_rows=counted["cells"], n_units=counted["units"], not_null=["unit_name", "region"])
-    checked = quality.expect(s.model, not_null=["outcome", *INPUTS, "tier"])
-    return quality.measure(checked, "unit", ["need", "tier"])
+    quality.require(s.model_figures, not_null=["outcome", *INPUTS, "tier"])
+    return quality.measure(s.model, "unit", ["need", "tier"])
 
 
 @query("report_coverage", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from allocora.functions import numeric
 from allocora.model.gram import Solution, fit
 from allocora.model.score import add_scores
+from allocora.operators.quality import stage_measured
 from allocora.operators.trend import region_gap_trend, unit_projection
 from allocora.plans import order_panel as op
 from allocora.plans.unit_table import unit_table
@@ -69,7 +70,20 @@ class Stages:
 
     @property
     def model(self) -> DataFrame:
-        return self._once("model", lambda: self._bucketed(op.model_frame(self.panel), "model"))
+        return self._measured_model[0]
+
+    @property
+    def model_figures(self) -> dict[str, int]:
+        """What the quality gate looks at, measured while the model's rows were written."""
+        return self._measured_model[1]
+
+    @property
+    def _measured_model(self) -> tuple[DataFrame, dict[str, int]]:
+        complete = ["outcome", *op.INPUTS, "tier"]
+        return self._once(
+            "model",
+            lambda: stage_measured(op.model_frame(self.panel), "model", "unit", "period", complete, partitioned=True),
+        )
 
     @property
     def solution(self) -> Solution:
