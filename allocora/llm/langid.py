@@ -112,7 +112,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     pages'. A page's own share is taken out of its groups before they speak for it.
     Languages are those of ``docs.lang``.
 
-    A null or empty page is judged by its address, a null address by the rest;
+    A null or empty page is judged by its address, a null address by the rest; pages
+    without a host are a group of their own at each level of the prior;
     without any evidence the commonest language wins. Ties go to the language that
     comes first. Repeated rows are answered each. Without labelled documents the
     language is null. Other columns are ignored.

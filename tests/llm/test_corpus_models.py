@@ -268,6 +268,62 @@ def test_language_of_pages(spark):
     assert {r["language"] for r in langid.identify(made, docs.limit(0)).collect()} == {None}
 
 
+def fused_by_hand(pages, docs):
+    """Language and probability of each page, one at a time from the definitions."""
+    languages = sorted({lang for lang, _ in docs})
+    shares = []
+    for lang in languages:
+        counts = np.full(langid.BUCKETS, langid.SMOOTHING)
+        for other, text in docs:
+            if other == lang:
+                np.add.at(counts, langid.trigrams(text), 1)
+        shares.append(np.log(counts / counts.sum()).astype(np.float32).astype(np.float64))
+    likes, says, groups = [], [], []
+    for _, url, page in pages:
+        found = langid.trigrams(langid.visible_text(page))
+        weight = langid.TEMPER * min(len(found), langid.MOST_TRIGRAMS)
+        likes.append(np.array([share[found].mean() * weight if len(found) else 0.0 for share in shares]))
+        odds = np.exp(likes[-1] - likes[-1].max())
+        says.append(odds / odds.sum())
+        host, domain, suffix, path = langid.address_parts(url)
+        declared = re.search(r'<html lang="(..)"', page or "")
+        groups.append((suffix, domain, host, declared and declared[1], path))
+    whole = sum(says)
+    out = {}
+    for i, (page_id, *_) in enumerate(pages):
+        own = [sum((says[j] for j in range(len(pages)) if j != i and groups[j][level] == groups[i][level]), np.zeros(len(languages))) for level in range(5)]
+        prior = (whole + langid.SMOOTHING) / (whole.sum() + langid.SMOOTHING * len(languages))
+        for level in range(3):
+            prior = (own[level] + langid.BORROWED * prior) / (own[level].sum() + langid.BORROWED)
+        total = np.log(prior) + likes[i]
+        for level in (3, 4):
+            if groups[i][level] is not None:
+                total += np.log((own[level] + langid.SMOOTHING) / (whole + langid.SMOOTHING * (len(languages) + 1)))
+        odds = np.exp(total - total.max())
+        out[page_id] = languages[int(total.argmax())], (odds / odds.sum()).max()
+    return out
+
+
+def test_languages_equal_a_fusion_by_hand(spark):
+    draw = random.Random(10)
+    words = {lang: ["".join(draw.choice(letters) for _ in range(draw.randint(2, 6))) for _ in range(40)] for lang, letters in (("de", "aeinrstu"), ("en", "aehinost"), ("fr", "aeilnrsu"))}
+    docs = [(lang, " ".join(draw.choices(words[lang], k=draw.randint(5, 60)))) for lang in words for _ in range(12)]
+    pages = []
+    for i in range(160):
+        lang = draw.choice(list(words))
+        body = " ".join(draw.choices(words[lang], k=draw.choice([0, 1, 2, 3, 400])))
+        declared = draw.choice(["", f' lang="{lang}"', f' lang="{draw.choice(list(words))}"'])
+        host = draw.choice([f"{lang}{i % 4}.site{i % 3}.{lang}", f"www.site{i % 3}.com", "a.b.com"])
+        url = draw.choice([f"http://{host}/{lang}/{i}", f"http://{host}/{i}", None])
+        pages.append((i, url, f"<html{declared}><p>{body}</p></html>" if i % 20 else None))
+    made = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    found = {r["page_id"]: (r["language"], r["probability"]) for r in langid.identify(made, spark.createDataFrame(docs, "lang string, text string")).collect()}
+    expected = fused_by_hand(pages, docs)
+    assert {i: lang for i, (lang, _) in found.items()} == {i: lang for i, (lang, _) in expected.items()}
+    assert all(abs(found[i][1] - expected[i][1]) < 1e-9 for i in expected)
+    assert len(set(found.values())) > 100
+
+
 @pytest.mark.parametrize(
     ("url", "parts"),
     [
