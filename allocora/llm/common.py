@@ -22,7 +22,7 @@ ASCII_LOWER = {upper: upper + 32 for upper in range(65, 91)}
 _BLANK = r"\t\n\x0b\x0c\r "
 _WITH_BLANKS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _WITHOUT_BLANKS = re.compile(f"[^{_BLANK}]+")
-_BLANK_THEN_SPACE = re.compile(r"\s ")
+_BLANKS_TOGETHER = re.compile(r"\s[ \n]|\n\s")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Characters beyond ASCII that pre-tokenizers may count as blank; texts that need it are encoded whole.
 _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -61,12 +61,14 @@ def _byte_letters() -> list[str]:
 class WordEncoder:
     """Token ids of whole texts, from ids of their pieces.
 
-    A text is cut where a space follows something that is not blank, which is where
-    the vocabularies' own pre-tokenizers cut too, so that pieces can be encoded one
-    by one. The tokenizers library encodes them; what it gives is kept for at most
-    ``CACHE_PIECES`` short pieces per worker, because words repeat. ``keep_blanks``
-    says whether blanks belong to tokens (byte-level vocabularies) or separate them
-    (vocabularies with word ends, in lower case).
+    A text is cut where a space follows something that is not blank, and round line
+    ends without blanks beside them, which is where the vocabularies' own
+    pre-tokenizers cut too, so that pieces can be encoded one by one. The tokenizers
+    library encodes them; what it gives is kept for at most ``CACHE_PIECES`` short
+    pieces per worker, because words repeat; a word with signs after it shares the
+    entry of the word alone. ``keep_blanks`` says whether blanks belong to tokens
+    (byte-level vocabularies) or separate them (vocabularies with word ends, in
+    lower case).
     """
 
     def __init__(self, path: str, keep_blanks: bool):
@@ -75,27 +77,37 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.packed = [array("I", [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.keep_blanks = keep_blanks
         self.letters = _byte_letters()
-        self.words = _Pieces(self._word)
+        self.signs = _Pieces(self._word)
         self.plain = _Pieces(self._plain)
-        self.spaced = _Pieces(lambda piece: self._plain(" " + piece))
+        self.spaced = _Pieces(self._after_blank)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """A piece that the pre-tokenizer leaves whole, straight through the library's model."""
-        tokens = self.tokenizer.model.tokenize("".join([self.letters[b] for b in word.encode()]))
-        return array("I", [t.id for t in tokens]).tobytes()
+        tokens = self.model.tokenize("".join([self.letters[b] for b in word.encode()]))
+        return b"".join([self.packed[t.id] for t in tokens])
+
+    def _after_blank(self, piece: str) -> bytes:
+        """A piece after a space, or one that begins with its line end."""
+        if piece[:1] == "\n":
+            return self.plain["\n"] + self.plain[piece[1:]]
+        return self._plain(" " + piece)
 
     def _plain(self, piece: str) -> bytes:
-        space = " " if piece[:1] == " " else ""
-        found = _WORD_AND_SIGNS.fullmatch(piece, len(space))
+        """A word alone goes to the model; one with signs after it is that word's entry and the signs'."""
+        spaced = piece[:1] == " "
+        found = _WORD_AND_SIGNS.fullmatch(piece, spaced)
         if found is None:
             return self._whole(piece)
-        signs = found[2]
-        return self.words[space + found[1]] + (self.words[signs] if signs else b"")
+        if not found[2]:
+            return self._word(piece)
+        return (self.spaced if spaced else self.plain)[found[1]] + self.signs[found[2]]
 
     def _encode(self, text: str) -> bytes:
         if not self.keep_blanks:
@@ -107,8 +119,8 @@ class WordEncoder:
                 return b"".join(map(self.plain.__getitem__, text.split()))
             except UnicodeEncodeError:  # letters whose lower case depends on what is round them
                 return b"".join(map(self._whole, text.split()))
-        if not _BLANK_THEN_SPACE.search(text):
-            first, *others = text.split(" ")
+        if not _BLANKS_TOGETHER.search(text):
+            first, *others = text.replace("\n", " \n").split(" ")
             return self.plain[first] + b"".join(map(self.spaced.__getitem__, others))
         if _OTHER_BLANKS.search(text):
             return self._whole(text)
@@ -116,7 +128,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        for cache in (self.words, self.plain, self.spaced):
+        for cache in (self.signs, self.plain, self.spaced):
             if len(cache) > CACHE_PIECES:
                 cache.clear()
         return [self._encode(text) if text else b"" for text in texts]
