@@ -98,24 +98,31 @@ HOST_ENDS = frozenset("com org net edu gov mil int info biz name pro app dev clo
 #: Words and digits in a row that are read as one number.
 LEAST_SPELLED = 7
 
-_CHANGED = re.compile(f"[{''.join(LOOK_ALIKES)}{NO_WIDTH}{BLANKS}{DASHES}{DOTS}！-～]|(?![0-9])\\d")
+_CHANGED = re.compile(f"[{''.join(LOOK_ALIKES)}{NO_WIDTH}{BLANKS}{DASHES}{DOTS}！-～\U0001d400-\U0001d7cb]|(?![0-9])\\d")
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
-_BRACKETED = re.compile(rf"(?i)[\x20\t]*[\[({{<][\x20\t]*(?:({_AT}|@)|({_DOT}|\.))[\x20\t]*[\])}}>][\x20\t]*")
+_SIGN = rf"[\[({{<][\x20\t]*(?:({_AT}|@)|({_DOT}|\.))[\x20\t]*[\])}}>]"
+_BRACKETED = re.compile(rf"(?ia)(?:(?<![\x20\t])[\x20\t]++)?{_SIGN}[\x20\t]*")
+_HOST = r"[A-Za-z0-9-]++"
 _SPOKEN = re.compile(
-    rf"(?i)(?<![{_LOCAL}])([{_LOCAL}]++)(\x20++(?:{_AT})\x20++|@)([A-Za-z0-9-]++)((?:\x20++(?:{_DOT})\x20++[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++)"
+    rf"(?ia)(?<![{_LOCAL}])([{_LOCAL}]++)(\x20++(?:{_AT})\x20++|@)({_HOST})((?:\x20++(?:{_DOT})\x20++{_HOST}|\.{_HOST})++)"
 )
-_SPOKEN_SIGN = re.compile(rf"(?i)\x20+(?:({_AT})|({_DOT}))\x20+")
+_SPOKEN_SIGN = re.compile(rf"(?ia)\x20+(?:({_AT})|({_DOT}))\x20+")
+_SPOKEN_DOT = re.compile(rf"(?ia)\x20(?:{_DOT})\x20")
 _NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SIGN_WORD = "|".join(SIGN_WORDS)
-_THREE_WORDS = re.compile(rf"(?:{_NUMBER_WORD})[\x20.-]+(?:{_NUMBER_WORD}|{_SIGN_WORD}|[0-9]+)[\x20.-]+(?:{_NUMBER_WORD})")
-# Two groups of digits and a dot between, one of the three as a word.
-_DOTTED_WORDS = re.compile(
-    rf"(?:{_NUMBER_WORD}|[0-9])[\x20-]+(?:{_DOT})[\x20-]+(?:{_NUMBER_WORD}|[0-9])|(?:{_NUMBER_WORD})\.(?:{_NUMBER_WORD}|[0-9])|[0-9]\.(?:{_NUMBER_WORD})"
+_SPELLED = re.compile(rf"(?<!\w)(?:(?:{_NUMBER_WORD}|{_SIGN_WORD}|\+?[0-9]+)(?!\w)[\x20.-]*)+")
+_TOKEN = re.compile(r"[^\W\d_]+|\+?[0-9]+|[.-]")
+
+# Gates: what a transducer cannot do without, so that texts without it are passed over. All but the first read lower-cased text.
+_HAS_SIGN = re.compile(f"(?ia){_SIGN}")
+_AFTER_AT = re.compile(rf"(?:\x20(?:{_AT})\x20++|@)[a-z0-9-]++(?:\x20++(?:{_DOT})\x20|\.[a-z0-9-])")
+_WORDS = re.compile(r"\w+")
+_SPELLING = frozenset([*DIGIT_WORDS, *DOT_WORDS])
+# A word for a digit with another token of a number beside it, or a word for a dot with digits or their words on both sides.
+_BESIDE = re.compile(
+    rf"(?<!\w)(?:(?:{_NUMBER_WORD})(?!\w)[\x20.-]*(?:[+0-9]|{_NUMBER_WORD}|{_SIGN_WORD})"
+    rf"|[0-9]+(?!\w)[\x20.-]*(?:(?:{_NUMBER_WORD})(?!\w)|(?:{_DOT})\x20*(?:[0-9]|{_NUMBER_WORD})))"
 )
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:{_NUMBER_WORD}|{_SIGN_WORD}|\+?[0-9]+)(?!\w)[\x20.-]*)+")
-_TOKEN = re.compile(r"(?i)[^\W\d_]+|\+?[0-9]+|[.-]")
-_HAS_AT = re.compile(rf"(?i)\x20(?:{_AT})\x20|[\[({{<][\x20\t]*(?:{_AT}|{_DOT}|[@.])[\x20\t]*[\])}}>]|@[A-Za-z0-9.-]++\x20++(?:{_DOT})\x20")
-_SPOKEN_DOT = re.compile(rf"(?i)\x20(?:{_DOT})\x20")
 
 Mapped = tuple[str, list[int], list[int]]  # text, and for each character the source's start and end
 
@@ -140,13 +147,15 @@ def _rewrite(mapped: Mapped, edits: Iterator[tuple[int, int, str]]) -> Mapped:
 
 
 def _fold(text: str) -> Iterator[tuple[int, int, str]]:
-    """Look-alike letters, full-width forms, digits of other scripts, blanks and characters without width."""
+    """Look-alike letters, full-width and mathematical forms, digits of other scripts, blanks and characters without width."""
     for m in _CHANGED.finditer(text):
         c = m[0]
         if c in LOOK_ALIKES:
             new = LOOK_ALIKES[c]
         elif "！" <= c <= "～":
             new = chr(ord(c) - 0xFEE0)
+        elif "\U0001d400" <= c <= "\U0001d7cb":  # letters of mathematics
+            new = unicodedata.normalize("NFKC", c)
         elif c in NO_WIDTH:
             new = ""
         else:
@@ -225,8 +234,9 @@ def _dotted(tokens: list[Token]) -> Iterator[list[Token]]:
 
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
     """Digits as words: a run of enough of them, or of four groups with dots between, becomes digits and signs without blanks."""
-    for m in _SPELLED.finditer(text):
-        tokens = [(t.start(), t.end(), t[0].lower()) for t in _TOKEN.finditer(text, m.start(), m.end())]
+    lowered = _lower(text)
+    for m in _SPELLED.finditer(lowered):
+        tokens = [(t.start(), t.end(), t[0]) for t in _TOKEN.finditer(lowered, m.start(), m.end())]
         done = 0
         for found in _dotted(tokens):
             at = bisect.bisect_left(tokens, found[0])
@@ -257,24 +267,49 @@ def _as_digits(tokens: list[Token], whole: bool = False) -> Iterator[tuple[int,
             yield end, after, ""
 
 
+def _lower(text: str) -> str:
+    """``text`` in lower case, character by character, so that places stay."""
+    lowered = text.lower()
+    return lowered if len(lowered) == len(text) else "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
+
+
+def _may_fold(text: str) -> bool:
+    return not text.isascii() and _CHANGED.search(text) is not None
+
+
+def _may_have_signs(text: str) -> bool:
+    return _HAS_SIGN.search(text) is not None
+
+
+def _may_be_spoken(text: str) -> bool:
+    """A host after an at that reads on after a dot; without a word for at or dot there is nothing to rewrite."""
+    lowered = text.lower()
+    signs = [f" {word} " for word in AT_WORDS + DOT_WORDS]
+    return any(sign in lowered for sign in signs) and _AFTER_AT.search(lowered) is not None
+
+
+def _may_be_spelled(text: str) -> bool:
+    """Both kinds of spelled numbers hold a word for a digit with a token beside it or a word for a dot between digits."""
+    lowered = _lower(text)
+    return not _SPELLING.isdisjoint(_WORDS.findall(lowered)) and _BESIDE.search(lowered) is not None
+
+
+#: Each transducer with its gate, which looks at what the transducers before it made.
+STEPS: tuple[tuple[Callable[[str], bool], Callable[[str], Iterator[tuple[int, int, str]]]], ...] = (
+    (_may_fold, _fold),
+    (_may_have_signs, _signs),
+    (_may_be_spoken, _spoken),
+    (_may_be_spelled, _spelled),
+)
+
+
 def normalised(text: str) -> Mapped | None:
     """``text`` without its disguises and where each character came from; None if there are none."""
-    steps: list[Callable[[str], Iterator[tuple[int, int, str]]]] = []
-    if not text.isascii() and _CHANGED.search(text):
-        steps.append(_fold)
-        folded = _rewrite(_same(text), _fold(text))[0]
-    else:
-        folded = text
-    if _HAS_AT.search(folded):
-        steps += [_signs, _spoken]
-    lowered = folded.lower()
-    if _THREE_WORDS.search(lowered) or _DOTTED_WORDS.search(lowered):
-        steps.append(_spelled)
-    if not steps:
-        return None
-    mapped = _same(text)
-    for step in steps:
-        mapped = _rewrite(mapped, step(mapped[0]))
+    mapped: Mapped | None = None
+    for may, step in STEPS:
+        seen = mapped[0] if mapped else text
+        if may(seen):
+            mapped = _rewrite(mapped or _same(text), step(seen))
     return mapped
 
 
