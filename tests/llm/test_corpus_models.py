@@ -230,6 +230,29 @@ def test_hmm_scores(spark, monkeypatch):
     assert hmm.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_hmm_counts_meet_in_buckets(spark, monkeypatch):
+    """Blocks exchange slices of their word lists, not a row per word; totals come back to the right words."""
+    tables, write = {}, hmm.written
+    monkeypatch.setattr(hmm, "written", lambda df, label: tables.setdefault(label, write(df, label)))
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 1500)
+    draw = random.Random(5)
+    data = [(i, " ".join(f"w{int(draw.paretovariate(0.4)) % 5000}" for _ in range(200)), "", "", 0) for i in range(60)]
+    data += [(60, None, "", "", 0), (61, "", "", "", 0), (61, "w1 w1 onlyhere", "", "", 0), (None, "W1 w2", "", "", 0)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    counts = Counter(w for i, t, *_ in data if not held(i) for w in [*(t or "").lower().split(), None])
+    known = sorted((-1 if i is None else i, sum(counts[w] > 0 for w in [*(t or "").lower().split(), None])) for i, t, *_ in data)
+    for bucket_words in (400_000, 300):
+        monkeypatch.setattr(hmm, "BUCKET_WORDS", bucket_words, raising=False)
+        tables.clear()
+        found = hmm.score(spark.createDataFrame(data, SCHEMA)).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"]) for r in found) == known
+        blocks, rows_of_counts = tables["hmm_blocks"].count(), tables["hmm_counts"].count()
+        entries = tables["hmm_blocks"].select(F.sum(F.octet_length("shapes") / 2)).first()[0]
+        buckets = int(entries) // bucket_words + 1
+        assert blocks > 4 and entries > 2000
+        assert rows_of_counts <= (blocks + 1) * buckets
+
+
 def test_order_of_words_matters(spark):
     draw = random.Random(1)
     words = [[f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]]
