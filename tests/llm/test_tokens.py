@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from corpus_data import SCHEMA, frame, rows
 
-from allocora.llm import packing, token_files
+from allocora.llm import common, packing, token_files
 from allocora.llm.common import word_encoder
 from allocora.llm.queries import tokenizer
 
@@ -40,6 +40,31 @@ def test_encoder_equals_library(path, blanks):
     assert encoder.encode([None, ""]) == [b"", b""]
 
 
+def test_plain_text_needs_no_search(monkeypatch):
+    """Words between single blanks cost a split and a look-up, and a word met first one call of the model."""
+
+    class Refused:
+        def __getattr__(self, name):
+            raise AssertionError(name)
+
+    encoder = common.WordEncoder(BYTES, True)
+    text = "Unseen words stand between single blanks\nand line ends\nhere"
+    for name in ("_BLANKS_TOGETHER", "_OTHER_BLANKS"):
+        monkeypatch.setattr(common, name, Refused())
+    assert encoder.encode([text])[0] == ids_of(BYTES, text, 0)[:-1].tobytes()
+    encoder.encode([text])
+    monkeypatch.setattr(common, "_WORD_AND_SIGNS", Refused())
+    assert encoder.encode(["Unseen others stand"])[0] == ids_of(BYTES, "Unseen others stand", 0)[:-1].tobytes()
+
+
+def test_blanks_together_equals_its_search():
+    draw = random.Random(6)
+    blanks = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    for _ in range(20000):
+        text = "".join(draw.choice(["a", "é", "漢", " ", "\n", draw.choice(blanks)]) for _ in range(draw.randint(0, 6)))
+        assert common._blanks_together(text) == (common._BLANKS_TOGETHER.search(text) is not None), repr(text)
+
+
 def test_difference_balances():
     draw = random.Random(1)
     sizes = [draw.randint(1, 512) for _ in range(900)]
